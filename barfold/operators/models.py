@@ -38,6 +38,10 @@ class Forecaster:
     def get_params(self) -> dict:
         return {}
 
+    def tuned(self, params: dict) -> Forecaster:
+        """An unfitted copy with some parameters changed."""
+        return self.reset().set_params(**params)
+
     def set_params(self, **params) -> Forecaster:
         """Set known parameters; unknown names are ignored."""
         for name, value in params.items():

@@ -88,7 +88,7 @@ def score_grid(
         ):
             samples = fitting.fold_samples(plan, fold, model.data_format, picked)
             for trial, params in enumerate(tried):
-                loss = fitting.fit_one(model.reset().set_params(**params), samples)
+                loss = fitting.fit_one(model.tuned(params), samples)
                 rows.append((key[0], trial, fold.index, loss))
         return pd.DataFrame(rows, columns=result.fieldNames())
 

@@ -9,6 +9,7 @@ all rows before it.)
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Sequence
 
@@ -132,13 +133,15 @@ def walk_forward(
     val_ratio: float = 0.1,
     lags: int = 0,
     folds_per_task: int = FOLDS_PER_TASK,
+    params: DataFrame | None = None,
 ) -> DataFrame:
     """Per fold: trim, reset, scale, fit, predict, scale back.
 
     One row per ``(asset, fold_idx, step)`` with the predicted row's ``time``,
     ``prediction`` (or ``prediction_<label>``), and the fold's ``val_loss``,
     ``val_active`` and ``last_train_label_ts``. ``lags`` builds that many lagged
-    return features inside the task, so they are never shuffled. Series are
+    return features inside the task, so they are never shuffled. ``params`` has
+    model parameters per asset as JSON (``asset, params``). Series are
     expected on the grid of the schedule (see ``quality.verify_grid``); folds
     without training or test rows are left out.
     """
@@ -160,15 +163,16 @@ def walk_forward(
             T.StructField("_last", T.LongType()),
         ]
     )
-    asset = panel.asset
+    asset, tuned = panel.asset, params is not None
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         done = []
         picked = fitting.input_positions(plan, model)
+        chosen = json.loads(pdf["_params"].iloc[0] or "{}") if tuned else {}
         for fold in fitting.iter_folds(
             plan, chunk_range(plan.n_folds, folds_per_task, int(key[1])), pdf
         ):
-            fresh = model.reset()
+            fresh = model.tuned(chosen)
             samples = fitting.fold_samples(plan, fold, model.data_format, picked)
             loss = fitting.fit_one(fresh, samples)
             values = fitting.forecast(plan, fold, fresh, samples)
@@ -197,6 +201,8 @@ def walk_forward(
         return pd.concat(done, ignore_index=True)
 
     chunks = fold_chunks(panel, schedule, columns, folds_per_task, lags + 1 if lags else 0)
+    if tuned:
+        chunks = chunks.join(params.select(asset, F.col("params").alias("_params")), asset, "left")
     raw = chunks.groupBy(asset, "_chunk").applyInPandas(run, result)
     return raw.select(
         asset,

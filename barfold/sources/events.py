@@ -29,18 +29,22 @@ def _order() -> Column:
     ).cast("decimal(19,0)")
 
 
-def ticks(events: DataFrame, cohort_users: int | None = COHORT_USERS) -> Panel:
+def ticks(
+    events: DataFrame, cohort_users: int | None = COHORT_USERS, *, price_offset: float = 1.0
+) -> Panel:
     """Every event as one row of its series: not on a grid, one row per event."""
     df = events.select(
         event_asset(cohort_users).alias("asset"),
         F.col("ts").alias("time"),
-        (F.col("value") + 1.0).alias("close"),
+        (F.col("value") + F.lit(price_offset)).alias("close"),
         F.lit(1.0).alias("volume"),
     )
     return Panel(df, ohlcv={"close": "close", "volume": "volume"})
 
 
-def hourly_bars(events: DataFrame, cohort_users: int | None = COHORT_USERS) -> Panel:
+def hourly_bars(
+    events: DataFrame, cohort_users: int | None = COHORT_USERS, *, price_offset: float = 1.0
+) -> Panel:
     """Gap-free hourly OHLCV bars of all series over the hours the events span.
 
     Empty hours repeat the last close; hours before the first event of a series
@@ -51,7 +55,7 @@ def hourly_bars(events: DataFrame, cohort_users: int | None = COHORT_USERS) -> P
         event_asset(cohort_users).alias("asset"),
         blocks.floor_time(F.col("ts"), "hour").alias("time"),
         _order().alias("order"),
-        (F.col("value") + 1.0).alias("price"),
+        (F.col("value") + F.lit(price_offset)).alias("price"),
     )
     bars = rows.groupBy("asset", "time").agg(
         F.min_by("price", "order").alias("open"),
