@@ -51,9 +51,13 @@ def read_bars(
     ohlcv: Mapping[str, str] | None = None,
     use_cols: Sequence[str] | None = None,
     schema: T.StructType = MASTER_SCHEMA,
+    asset_from: str = "file",
     **csv_options,
 ) -> Panel:
-    """Bars out of header CSV files, one file per asset; explicit options beat the preset.
+    """Bars out of header CSV files; explicit options beat the preset.
+
+    The asset is the file's name (``asset_from="file"``) or, for folders such as
+    ``export_csv`` writes, the partition ``asset=`` (``"folder"``).
 
     ``use_cols`` keeps the time column and the named ones in the given order;
     names the files do not have are skipped.
@@ -76,7 +80,8 @@ def read_bars(
         raise ValueError(f"time column {time_col!r} not found in the schema")
     if use_cols is not None:
         columns = [c for c in dict.fromkeys([time_col, *use_cols]) if c in columns]
-    table = raw.select(asset_of_file().alias("asset"), *columns)
+    asset = asset_of_file() if asset_from == "file" else F.col("asset").cast("string")
+    table = raw.select(asset.alias("asset"), *columns)
     timed = normalize_time(table, time_col, "time")
     values = [c for c in columns if c != time_col]
     doubles = [c for c in values if isinstance(schema[c].dataType, T.DoubleType)]
@@ -99,6 +104,11 @@ def asset_names(panel: Panel) -> list[str]:
     return [r[0] for r in rows]
 
 
+def _unless(column: str, header: str) -> Column:
+    """Header rows as NULL, whatever the order in which filter and cast are run."""
+    return F.when(F.col(column) != header, F.col(column))
+
+
 def epoch_to_ts(epoch: Column) -> Column:
     """Epoch milliseconds or microseconds, told apart by size, to UTC without zone."""
     value = epoch.cast("long")
@@ -131,9 +141,10 @@ def normalize_klines(raw: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataF
     Of rows with equal time the first by ``order`` is kept; remaining ties are
     broken by the values, so that the result never depends on task timing.
     """
-    values = [F.col(c).cast("double").alias(c) for c in OHLCV]
-    bars = raw.filter(F.col("open_time") != schema.KLINE_HEADER).select(
-        "asset", epoch_to_ts(F.col("open_time")).alias("time"), *order, *values
+    data = F.col("open_time") != schema.KLINE_HEADER
+    values = [F.when(data, F.col(c)).cast("double").alias(c) for c in OHLCV]
+    bars = raw.filter(data).select(
+        "asset", epoch_to_ts(_unless("open_time", schema.KLINE_HEADER)).alias("time"), *order, *values
     )
     rank = F.struct(*order, *OHLCV)
     best = bars.groupBy("asset", "time").agg(
@@ -145,12 +156,14 @@ def normalize_klines(raw: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataF
 def normalize_funding(raw: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Raw funding rows to one rate per hour: the last one of the hour."""
     require_utc(raw.sparkSession)
-    at = epoch_to_ts(F.col("calc_time"))
-    rates = raw.filter(F.col("calc_time") != schema.FUNDING_HEADER).select(
+    at = epoch_to_ts(_unless("calc_time", schema.FUNDING_HEADER))
+    data = F.col("calc_time") != schema.FUNDING_HEADER
+    rate = F.when(data, F.col("rate")).cast("double")
+    rates = raw.filter(data).select(
         "asset",
         blocks.floor_time(at, "hour").alias("time"),
-        F.struct(at.alias("at"), *order, F.col("rate").cast("double").alias("last")).alias("rank"),
-        F.col("rate").cast("double").alias("rate"),
+        F.struct(at.alias("at"), *order, rate.alias("last")).alias("rank"),
+        rate.alias("rate"),
     )
     return rates.groupBy("asset", "time").agg(F.max_by("rate", "rank").alias("funding_rate"))
 
