@@ -40,7 +40,8 @@ class Forecaster:
 
     def tuned(self, params: dict) -> Forecaster:
         """An unfitted copy with some parameters changed."""
-        return self.reset().set_params(**params)
+        fresh = self.reset()
+        return fresh.set_params(**params) if params else fresh
 
     def set_params(self, **params) -> Forecaster:
         """Set known parameters; unknown names are ignored."""

@@ -21,7 +21,8 @@ ORACLES: dict[str, str] = {}
 
 GEOMETRY = Geometry(train=168, test=24, horizon=24, in_sample_step=48, oos_step=24)
 LITE_CONFIG = [{"name": "LOG_RETURN_1"}, {"name": "LOG_VOLUME"}, {"name": "LOG_RETURN"}]
-STEADY = 100.0
+# Price offset under which returns stay small.
+STEADY = 1000.0
 
 
 def query(name: str, sql: str | None = None):

@@ -637,7 +637,7 @@ def _(d):
 
 
 BACKTEST = """
-nx AS (SELECT asset, time, ln(lead(close) OVER (PARTITION BY asset ORDER BY time) / close) AS actual FROM bars),
+nx AS (SELECT asset, time, ln(lead(close) OVER (PARTITION BY asset ORDER BY time) / close) AS actual FROM lite),
 bt0 AS (SELECT p.asset, p.time, prediction AS predicted, actual, CAST(sign(prediction) AS DOUBLE) AS signal
         FROM p JOIN nx ON nx.asset = p.asset AND nx.time = p.time),
 bt1 AS (SELECT *, coalesce(lag(signal) OVER (PARTITION BY asset ORDER BY time), 0.0) AS prev_signal FROM bt0),

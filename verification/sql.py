@@ -107,14 +107,14 @@ te AS (SELECT l.*, f.fold_idx, f.test_start, date_diff('hour', f.test_start, l.t
 
 # Momentum forecasts of both halves as stored rows and folds: ``rows_`` and ``folds_``.
 STORED = """
-both AS (SELECT 'oos' AS split, * FROM oos UNION ALL SELECT 'in_sample', * FROM dense),
+halves AS (SELECT 'oos' AS split, * FROM oos UNION ALL SELECT 'in_sample', * FROM dense),
 rows_ AS (SELECT l.asset, 'momentum' AS model, 0 AS seed, f.split, f.fold_idx,
             l.time AS timestamp, date_diff('hour', f.test_start, l.time) AS step,
             l.log_return_1 AS forecast, l.log_return AS actual
-          FROM lite l JOIN both f ON l.time >= f.test_start AND l.time < f.test_end),
+          FROM lite l JOIN halves f ON l.time >= f.test_start AND l.time < f.test_end),
 folds_ AS (SELECT a.asset, 'momentum' AS model, 0 AS seed, f.fold_idx, f.split, f.train_start,
              f.train_end, f.train_end - to_hours(25) AS last_train_label_ts, f.test_start,
-             f.test_end FROM (SELECT DISTINCT asset FROM lite) a, both f)"""
+             f.test_end FROM (SELECT DISTINCT asset FROM lite) a, halves f)"""
 
 
 def out(spec: str, source: str) -> str:
