@@ -86,12 +86,11 @@ def _ewm_reach(span: int = 72, **_) -> int:
 
 @register("LOG_RETURN_1", before=1)
 def _log_return_1(frame: SeriesFrame, column: str = "close", **_):
-    return {"log_return_1": frame.log_return(column)}
+    return {"log_return_1": F.col(frame.log_return(column))}
 
 
 def _ewm_vol(frame: SeriesFrame, column: str, span: int) -> Column:
-    frame.log_return(column)
-    return frame.ewm_std(f"_vol_{column}_{span}", f"_r_{column}", span)
+    return frame.ewm_std(f"_vol_{column}_{span}", frame.log_return(column), span)
 
 
 @register("EWM_VOLATILITY", before=_ewm_reach)
@@ -104,7 +103,7 @@ def _vol_scaled_return(
     frame: SeriesFrame, column: str = "close", span: int = 72, eps: float = 1e-8, **_
 ):
     vol = _ewm_vol(frame, column, span)
-    return {"vol_scaled_return": frame.log_return(column) / (vol + F.lit(eps))}
+    return {"vol_scaled_return": F.try_divide(F.col(frame.log_return(column)), vol + F.lit(eps))}
 
 
 def _rsi_reach(period: int = 14, **_) -> int:
@@ -114,14 +113,9 @@ def _rsi_reach(period: int = 14, **_) -> int:
 @register("RSI", before=_rsi_reach)
 def _rsi(frame: SeriesFrame, period: int = 14, **_):
     column = frame.ohlcv["close"]
-    before = frame.let(f"_prev_{column}", frame.lag(column))
-    move = F.col(column) - before
-    frame.let_all(
-        {
-            "_gain": F.greatest(move, F.lit(0.0)),
-            "_loss": F.greatest(-move, F.lit(0.0)),
-        }
-    )
+    move = F.col(column) - frame.lag(column)
+    frame.let("_gain", F.greatest(move, F.lit(0.0)), f"_{column}_lag_1")
+    frame.let("_loss", F.greatest(-move, F.lit(0.0)), f"_{column}_lag_1")
     up = frame.wilder_mean(f"_up_{period}", "_gain", period)
     down = frame.wilder_mean(f"_down_{period}", "_loss", period)
     total = up + down
@@ -148,16 +142,10 @@ def _macd_norm(
 ):
     quick = frame.ewm_mean(f"_ema_{column}_{fast}", column, smoothing.span_decay(fast))
     late = frame.ewm_mean(f"_ema_{column}_{slow}", column, smoothing.span_decay(slow))
-    full = frame.rows.rowsBetween(1 - norm_period, 0)
-    name = f"_std_{column}_{norm_period}"
-    frame.let_all(
-        {
-            name: F.stddev_samp(column).over(full),
-            f"{name}_n": F.count(F.col(column)).over(full),
-        }
+    spread = frame.rolling_std(
+        f"_std_{column}_{norm_period}", column, norm_period, f"_ema_{column}_{fast}_sum"
     )
-    spread = F.when(F.col(f"{name}_n") == norm_period, F.col(name))
-    return {"macd_norm": (quick - late) / (spread + F.lit(eps))}
+    return {"macd_norm": F.try_divide(quick - late, spread + F.lit(eps))}
 
 
 @register("LOG_VOLUME")
@@ -172,7 +160,7 @@ def _label_reach(horizon: int = 1, **_) -> int:
 
 @register("LOG_RETURN", role="label", after=_label_reach)
 def _log_return(frame: SeriesFrame, column: str = "close", horizon: int = 1, **_):
-    now, ahead = F.col(column), frame.let(f"_lead_{column}_{horizon}", frame.lag(column, -horizon))
+    now, ahead = F.col(column), frame.lag(column, -horizon)
     return {"log_return": F.when((now > 0) & (ahead > 0), F.ln(ahead / now))}
 
 
@@ -183,16 +171,14 @@ def _log_return(frame: SeriesFrame, column: str = "close", horizon: int = 1, **_
     after=lambda shift=-1, **_: max(-shift, 0) + 1,
 )
 def _simple_return(frame: SeriesFrame, column: str = "close", shift: int = -1, **_):
-    here = frame.let(f"_at_{column}_{shift}", frame.lag(column, shift))
-    before = frame.let(f"_at_{column}_{shift + 1}", frame.lag(column, shift + 1))
+    here, before = frame.lag(column, shift), frame.lag(column, shift + 1)
     return {"simple_return": F.try_divide(here, before) - 1}
 
 
 @register("LAGGED_RETURNS", before=lambda lags=336, **_: lags + 1)
 def _lagged_returns(frame: SeriesFrame, column: str = "close", lags: int = 336, **_):
-    frame.log_return(column)
-    frame.let_all({f"log_return_lag_{k}": frame.lag(f"_r_{column}", k) for k in range(1, lags + 1)})
-    return {f"log_return_lag_{k}": F.col(f"log_return_lag_{k}") for k in range(1, lags + 1)}
+    r = frame.log_return(column)
+    return {f"log_return_lag_{k}": frame.lag(r, k) for k in range(1, lags + 1)}
 
 
 # -- engine ------------------------------------------------------------------
@@ -234,16 +220,14 @@ def apply_features(
         made = transform.build(frame, **params)
         outputs.update(made)
         (features if transform.role == "feature" else labels).extend(made)
-    frame.df = frame.df.withColumns(outputs)
-
-    df = frame.finish(keep=list(outputs)).drop(blocks.POS)
+    df = frame.finish(outputs).drop(blocks.POS)
     out = replace(
         panel,
         df=df.select(*[c for c in panel.df.columns if c not in outputs], *outputs),
         features=tuple(dict.fromkeys(features)),
         labels=tuple(dict.fromkeys(labels)),
     )
-    return out.drop_incomplete() if drop_incomplete else out
+    return out.drop_incomplete(fence=True) if drop_incomplete else out
 
 
 def add_lagged_returns(
@@ -272,9 +256,7 @@ def lagged_return_array(
     frame = SeriesFrame(cut, panel.asset, panel.time, panel.ohlcv)
     r = frame.log_return(column)
     seen = F.collect_list(r).over(frame.rows.rowsBetween(-lags, -1))
-    frame.let("_lags", seen)
-    frame.df = frame.df.withColumn(
-        out, F.when(F.size("_lags") == lags, F.reverse("_lags"))
-    )
-    df = frame.finish(keep=[]).drop(blocks.POS)
+    frame.let("_lags", seen, "_stride", r, windows=1)
+    full = F.when(F.size("_lags") == lags, F.reverse("_lags"))
+    df = frame.finish({out: full}).drop(blocks.POS)
     return replace(panel, df=df, features=tuple(dict.fromkeys([*panel.features, out])))

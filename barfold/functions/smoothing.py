@@ -13,7 +13,7 @@ stay finite and long enough that one carry suffices.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,114 +46,172 @@ def _stride(decay: float) -> int:
 
 
 class SeriesFrame:
-    """A blocked table under construction: staged columns over shared windows.
+    """A blocked table under construction.
 
-    ``rows`` is the window of a block in time order. ``let`` adds a column once;
-    asking again for the same name is free, so common parts (the one-step
-    return, say) are computed once for all transforms.
+    Transforms ask for named columns with ``let``; nothing is added until
+    ``finish``, which adds all columns that are ready at once. Equal requests of
+    different transforms are made once, and requests over the same window share
+    one pass over the rows.
     """
 
     def __init__(self, df: DataFrame, asset: str, time: str, ohlcv: Mapping[str, str]):
-        self.asset, self.time, self.ohlcv = asset, time, dict(ohlcv)
-        self.df = df.withColumn("_stride", blocks.floor_div(F.col(blocks.POS), STRIDE))
-        # Ordered by (stride, position), which is time order, so that these
-        # windows and the per-stride ones share one sort.
+        self.df, self.asset, self.time, self.ohlcv = df, asset, time, dict(ohlcv)
+        # ``rows`` is time order inside a block. It is spelled (stride, position) so
+        # that it shares its sort with the windows of ``recur``.
         self.rows = Window.partitionBy(asset, blocks.BLOCK).orderBy("_stride", blocks.POS)
-        self.scratch: list[str] = ["_stride"]
-
-    def let(self, name: str, value: Column) -> Column:
-        if name not in self.scratch:
-            self.df = self.df.withColumn(name, value)
-            self.scratch.append(name)
+        self.wanted: dict[str, tuple[Column, tuple[str, ...], int]] = {}
+        self.let("_stride", blocks.floor_div(F.col(blocks.POS), STRIDE))
+        self.let("_k", F.row_number().over(self.rows) - 1, "_stride", windows=1)
+
+    def let(self, name: str, value: Column, *needs: str, windows: int = 0) -> Column:
+        """Ask for a column. ``needs`` names requested columns it is made of;
+        ``windows`` is 1 when it runs over ``rows``, 2 over strides, 0 without window."""
+        self.wanted.setdefault(name, (value, needs, windows))
         return F.col(name)
 
-    def let_all(self, values: Mapping[str, Column]) -> None:
-        new = {k: v for k, v in values.items() if k not in self.scratch}
-        if new:
-            self.df = self.df.withColumns(new)
-            self.scratch.extend(new)
-
-    def lag(self, value: Column | str, n: int = 1) -> Column:
-        """Value ``n`` rows before (after, when negative)."""
-        col = F.col(value) if isinstance(value, str) else value
-        if n == 0:
-            return col
-        return (F.lag(col, n) if n > 0 else F.lead(col, -n)).over(self.rows)
-
+    @property
     def row_number(self) -> Column:
         """Row number inside the block, halo included, from 0."""
-        return self.let("_k", F.row_number().over(self.rows) - 1)
+        return F.col("_k")
 
-    def log_return(self, column: str) -> Column:
-        """``ln(P_t / P_{t-1})``; missing on the first row or where not defined."""
-        now = F.col(column)
-        before = self.let(f"_prev_{column}", self.lag(column))
-        ratio = F.when((now > 0) & (before > 0), F.ln(now / before))
-        return self.let(f"_r_{column}", ratio)
+    def lag(self, column: str, n: int = 1) -> Column:
+        """Requests ``column`` of ``n`` rows before (after, when negative)."""
+        if n == 0:
+            return F.col(column)
+        moved = F.lag(column, n) if n > 0 else F.lead(column, -n)
+        name = f"_{column}_lag_{n}"
+        self.let(name, moved.over(self.rows), "_stride", column, windows=1)
+        return F.col(name)
 
-    def recur(self, name: str, term: Column, decay: float) -> Column:
-        """``y = decay*y_before + term``; missing before the first term."""
+    def log_return(self, column: str) -> str:
+        """Requests ``ln(P_t / P_{t-1})``, missing on the first row or where not defined;
+        returns its name."""
+        now, before = F.col(column), self.lag(column)
+        ratio = F.when((now > 0) & (before > 0), F.ln(now / before))
+        self.let(f"_r_{column}", ratio, f"_{column}_lag_1")
+        return f"_r_{column}"
+
+    def power(self, decay: float, unit: str, stride: int) -> str:
+        """Requests ``decay^j`` for the place ``j`` of a row in its stride. Made before
+        any window runs, so that it is computed once per row and decay."""
+        j = (F.col(blocks.POS) - F.col(unit) * stride).cast("double")
+        name = f"_pow_{decay}".replace(".", "_")
+        self.let(name, F.pow(F.lit(decay), j), unit)
+        return name
+
+    def recur(self, name: str, term: Column, decay: float, *needs: str) -> Column:
+        """``y = decay*y_before + term``, where missing terms count as 0."""
         if decay == 0:
-            return self.let(name, term)
+            return self.let(name, term, *needs, "_k")
         stride = _stride(decay)
-        pos = F.col(blocks.POS)
-        if stride == STRIDE:
-            unit = F.col("_stride")
-            unit_name = "_stride"
-        else:
-            unit_name = f"_stride_{stride}"
-            unit = self.let(unit_name, blocks.floor_div(pos, stride))
-        j = (pos - unit * stride).cast("double")
-        part = Window.partitionBy(self.asset, blocks.BLOCK, unit_name).orderBy(blocks.POS)
-        self.let_all({f"{name}_term": term})
-        scaled = F.col(f"{name}_term") * F.pow(F.lit(1.0 / decay), j)
-        running = F.sum(scaled).over(part.rowsBetween(Window.unboundedPreceding, 0))
-        local = self.let(f"{name}_local", F.pow(F.lit(decay), j) * running)
-        at_end = F.when(j == stride - 1, local)
-        carry = F.last(at_end, ignorenulls=True).over(
+        unit = f"_stride_{stride}" if stride != STRIDE else "_stride"
+        self.let(unit, blocks.floor_div(F.col(blocks.POS), stride))
+        power = self.power(decay, unit, stride)
+        part = Window.partitionBy(self.asset, blocks.BLOCK, unit).orderBy(blocks.POS)
+        self.let(f"{name}_term", term / F.col(power), power, "_k", *needs)
+        running = F.sum(f"{name}_term").over(part.rowsBetween(Window.unboundedPreceding, 0))
+        total = self.let(f"{name}_sum", running, f"{name}_term", unit, windows=2)
+        at_end = F.col(blocks.POS) == F.col(unit) * stride + stride - 1
+        before = F.last(F.when(at_end, total), ignorenulls=True).over(
             self.rows.rowsBetween(Window.unboundedPreceding, -1)
         )
-        carried = self.let(f"{name}_carry", carry) * F.pow(F.lit(decay), j + 1)
-        return self.let(name, F.coalesce(local + carried, local, carried))
-
-    def ewm_mean(self, name: str, value: str, decay: float) -> Column:
-        """Recursive mean seeded with the first value of the series."""
-        x, before = F.col(value), self.let(f"_lag_{value}", self.lag(value))
-        broken = F.raise_error(
-            F.concat(F.lit(f"missing {value} inside a series near "), F.col(self.time).cast("string"))
+        carry = self.let(f"{name}_carry", before, f"{name}_sum", unit, windows=1)
+        carried = carry * F.lit(decay**stride)
+        value = F.col(power) * F.coalesce(total + carried, total, carried)
+        return self.let(name, value, f"{name}_carry", f"{name}_sum", power)
+
+    def present(self, value: str, first: int) -> Column:
+        """``value``, which must not be missing from row ``first`` of a series on."""
+        gap = F.raise_error(
+            F.concat(F.lit(f"missing {value} near "), F.col(self.time).cast("string"))
         ).cast("double")
-        term = (
-            F.when(before.isNull(), x)
-            .when(x.isNull(), broken)
-            .otherwise(x * F.lit(1.0 - decay))
-        )
-        return self.recur(name, term, decay)
+        x = F.col(value)
+        return F.when(x.isNull() & (F.col("_k") >= first), gap).otherwise(x)
+
+    def ewm_mean(self, name: str, value: str, decay: float, first: int = 0) -> Column:
+        """Recursive mean seeded with the value of row ``first``."""
+        x, k = self.present(value, first), F.col("_k")
+        term = F.when(k == first, x).when(k > first, x * F.lit(1.0 - decay))
+        return self.recur(name, term, decay, value)
 
     def ewm_std(self, name: str, value: str, span: int) -> Column:
-        """Debiased EW standard deviation; missing before ``span`` values."""
+        """Debiased EW standard deviation of values from row 1 on; missing before
+        ``span`` of them."""
         decay = span_decay(span)
-        square = f"_sq_{value}"
-        self.let(square, F.col(value) * F.col(value))
-        m = self.ewm_mean(f"{name}_m", value, decay)
-        m2 = self.ewm_mean(f"{name}_m2", square, decay)
-        seen = self.let(
-            f"_n_{value}",
-            F.count(F.col(value)).over(self.rows.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        gone = F.pow(F.lit(decay * decay), (seen - 1).cast("double"))
-        a = 1.0 - decay
+        self.let(f"{value}_sq", F.col(value) * F.col(value), value)
+        m = self.ewm_mean(f"{name}_m", value, decay, 1)
+        m2 = self.ewm_mean(f"{name}_m2", f"{value}_sq", decay, 1)
+        seen, a = F.col("_k"), 1.0 - decay
+        # What is left of the first weight, squared: nothing soon.
+        gone = F.when(
+            seen <= memory_rows(decay), F.pow(F.lit(decay * decay), (seen - 1).cast("double"))
+        ).otherwise(F.lit(0.0))
         weights = gone + F.lit(a * a) * (1 - gone) / F.lit(1.0 - decay * decay)
-        var = F.greatest(m2 - m * m, F.lit(0.0)) / (1 - weights)
-        return self.let(name, F.when((seen >= span) & (seen > 1), F.sqrt(var)))
+        rest = self.let(f"{name}_rest", F.when((seen >= span) & (seen > 1), 1 - weights), "_k")
+        std = F.sqrt(F.try_divide(F.greatest(m2 - m * m, F.lit(0.0)), rest))
+        return self.let(name, F.when(rest.isNotNull(), std), f"{name}_m", f"{name}_m2", f"{name}_rest")
 
     def wilder_mean(self, name: str, value: str, period: int) -> Column:
-        """Mean of the first ``period`` values after row 0, then Wilder's recurrence."""
-        k = self.row_number()
-        first = F.avg(value).over(self.rows.rowsBetween(1 - period, 0))
-        seed = self.let(f"{name}_seed", first)
-        term = F.when(k == period, seed).when(k > period, F.col(value) / period)
-        return self.recur(name, term, wilder_decay(period))
-
-    def finish(self, keep: Sequence[str]) -> DataFrame:
-        kept = set(keep)
-        return blocks.core_rows(self.df).drop(*[c for c in self.scratch if c not in kept])
+        """Mean of the ``period`` values after row 0, then Wilder's recurrence.
+
+        The first values enter with weights that undo their decay by row ``period``.
+        """
+        decay, k = wilder_decay(period), F.col("_k")
+        undo = F.pow(F.lit(decay), (k - period).cast("double")) if decay else F.lit(1.0)
+        term = F.when(k > period, F.col(value) / period).when(
+            (k >= 1) & ((k == period) | F.lit(decay > 0)), F.col(value) / period * undo
+        )
+        y = self.recur(f"{name}_y", term, decay, value)
+        return self.let(name, F.when(k >= period, y), f"{name}_y", "_k")
+
+    def rolling_std(self, name: str, value: str, rows: int, *after: str) -> Column:
+        """Sample standard deviation of the last ``rows`` rows; missing before row
+        ``rows - 1``.
+
+        A sliding frame costs one update per row in it. So moments are taken over
+        short frames, and those of ``rows / short`` neighbouring frames are merged.
+        ``after`` delays the merge to the pass in which those columns are ready.
+        """
+        short = max(d for d in range(1, math.isqrt(rows) + 1) if rows % d == 0)
+        if short == 1:
+            short = rows
+        frame = self.rows.rowsBetween(1 - short, 0)
+        mean, var = f"{name}_m{short}", f"{name}_v{short}"
+        self.let(mean, F.avg(value).over(frame), "_stride", value, windows=1)
+        self.let(var, F.var_pop(value).over(frame), "_stride", value, windows=1)
+        parts = range(0, rows, short)
+        for n in parts[1:]:
+            for c in (mean, var):
+                self.let(
+                    f"{c}_{n}", F.lag(c, n).over(self.rows), "_stride", c, *after, windows=1
+                )
+        means = [mean] + [f"{mean}_{n}" for n in parts[1:]]
+        spreads = [var] + [f"{var}_{n}" for n in parts[1:]]
+        whole = sum((F.col(c) for c in means[1:]), F.col(means[0])) / len(means)
+        center = self.let(f"{name}_mean", whole, *means)
+        within = sum((F.col(c) for c in spreads[1:]), F.col(spreads[0]))
+        between = sum(
+            ((F.col(c) - center) * (F.col(c) - center) for c in means[1:]),
+            (F.col(means[0]) - center) * (F.col(means[0]) - center),
+        )
+        std = F.sqrt((within + between) * short / F.lit(float(rows - 1)))
+        full = F.when(F.col("_k") >= rows - 1, std)
+        return self.let(name, full, f"{name}_mean", *means, *spreads, "_k")
+
+    def finish(self, outputs: Mapping[str, Column]) -> DataFrame:
+        """Add what was asked for, then the outputs; drop the rest and the halo."""
+        df, done, left = self.df, set(self.df.columns), dict(self.wanted)
+        while left:
+            ready = {n: w for n, w in left.items() if all(need in done for need in w[1])}
+            if not ready:
+                raise ValueError(f"columns {sorted(left)} need columns nobody asked for")
+            # Plain columns first, then whole blocks, and strides when nothing else is
+            # ready: this groups the most requests into one pass.
+            kind = min(w[2] for w in ready.values())
+            now = {n: w[0] for n, w in ready.items() if w[2] == kind}
+            df = df.withColumns(now)
+            done.update(now)
+            left = {n: w for n, w in left.items() if n not in now}
+        df = df.withColumns(dict(outputs))
+        scratch = [n for n in self.wanted if n not in outputs]
+        return blocks.core_rows(df).drop(*scratch)

@@ -121,8 +121,13 @@ class Panel:
 
     # -- filters -------------------------------------------------------------
 
-    def drop_incomplete(self) -> Panel:
-        """Drop rows with a missing value in any column, feature or not."""
+    def drop_incomplete(self, *, fence: bool = False) -> Panel:
+        """Drop rows with a missing value in any column, feature or not.
+
+        ``fence`` keeps the optimizer from moving the filter below the projection
+        that makes the columns, which would compute each of them twice. Filters
+        applied later do not get below it either.
+        """
         doubles = [
             f.name
             for f in self.df.schema.fields
@@ -133,8 +138,13 @@ class Panel:
             keep = keep & F.col(name).isNotNull()
         for name in doubles:
             keep = keep & ~F.isnan(name)
+        if fence:
+            placed = self.df.withColumn("_part", F.spark_partition_id())
+            kept = placed.filter(keep & (F.col("_part") >= 0)).drop("_part")
+        else:
+            kept = self.df.filter(keep)
         # A dropped row inside a series opens a hole in its grid.
-        return replace(self, df=self.df.filter(keep), grid_seconds=None)
+        return replace(self, df=kept, grid_seconds=None)
 
     def slice_time(self, start: datetime | str, end: datetime | str) -> Panel:
         """Rows in ``[start, end)``; reaches the scan as a pushed filter."""
