@@ -74,7 +74,7 @@ class ForecastStore:
         """Rows of the given runs; the value lists prune partitions of the scan."""
         for n, name in enumerate(RUN_KEYS):
             df = df.filter(F.col(name).isin(sorted({r[n] for r in runs})))
-        return df.join(F.broadcast(self._runs(runs)), RUN_KEYS, "left_semi")
+        return df.join(self._runs(runs), RUN_KEYS, "left_semi")
 
     # -- state of runs -----------------------------------------------------------
 
