@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,8 +72,14 @@ class Data:
         return apply_features(self.bars(), config, **options)
 
     def lite(self, offset: float = 1.0) -> Panel:
-        """Return, log volume and label. Volume is never 0, so the grid stays whole."""
-        return apply_features(self.bars(offset), LITE_CONFIG).on_grid()
+        """Return, log volume and label. Volume is never 0, so the grid stays whole.
+
+        Written once and read back: calendar, folds, fits and returns all start here.
+        """
+        panel = apply_features(self.bars(offset), LITE_CONFIG).on_grid()
+        path = self.scratch() + "/lite"
+        panel.df.write.parquet(path)
+        return replace(panel, df=self.spark.read.schema(panel.df.schema).parquet(path))
 
     def calendar(self, panel: Panel) -> Calendar:
         return calendar_of(panel, GEOMETRY, longest_lookback=48)
@@ -114,12 +121,7 @@ class Data:
 
     def scratch(self) -> str:
         """A new folder under the shared one."""
-        root = checkpoint_root(self.spark)
-        if root.startswith("/"):
-            return tempfile.mkdtemp(prefix="barfold-", dir=root)
-        import uuid
-
-        return f"{root}/barfold-{uuid.uuid4().hex}"
+        return f"{checkpoint_root(self.spark)}/barfold-{uuid.uuid4().hex}"
 
 
 def exploded(df: DataFrame, keys: list[str], **arrays: Column) -> DataFrame:
