@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import bpe, decontaminate, tokenfile
+from barfold.llm import bpe, decontaminate, divergence, tokenfile
 from barfold.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op6_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokenfile.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("raw").alias("ids_crc32"))
+
+
+@query
+def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("text", "lang")
