@@ -105,7 +105,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     width = min(width, len(words))
     n = len(words) - width + 1
     steps = stream(width, 11) | np.uint64(1)
-    total = np.full(n, np.uint64(width) * _MULT, np.uint64)
+    total = np.full(n, (width * int(_MULT)) % (1 << 64), np.uint64)
     for k in range(width):
         total += words[k : k + n] * steps[k]
     return mixed(total)
