@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import bpe, chosen_path, decontaminate, divergence, tokenfile
+from barfold.llm import bpe, chat, chosen_path, decontaminate, divergence, tokenfile
 from barfold.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,27 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.a = d.doc_id
 """
+
+
+@query
+def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op8_snapshot_collapse"] = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT conv_id, row_number() OVER w AS k,
+    string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w AS prefix,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER w AS rendered
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), n AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM r
+), whole AS (
+  SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_equal, any_value(rendered) AS rendered, any_value(n_turns) AS n_turns
+  FROM n WHERE k = n_turns GROUP BY 1
+)
+SELECT conv_id, n_turns, n_equal, rendered FROM whole
+WHERE prefix NOT IN (SELECT prefix FROM n WHERE k < n_turns)
+"""
