@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import bpe, chat, chosen_path, decontaminate, divergence, kd_shards, tokenfile, url_tree
+from barfold.llm import bpe, chat, chosen_path, decontaminate, divergence, kd_shards, randomness, tokenfile, url_tree
 from barfold.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,19 @@ FROM q JOIN t{d + 1} t ON q.host = t.host AND q.path = t.path JOIN j ON j.host =
 
 
 ORACLES["op4_path_templates"] = _templates_sql()
+
+
+@query
+def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = randomness.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = F.array(*[F.lit(k) for k in randomness.KINDS])
+    base = F.filter("secrets", lambda s: s["kind"] < len(randomness.PATTERNS))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["end"])), ",")
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{randomness.KINDS[k]}")
+
+    counts = [count(k) for k in range(len(randomness.PATTERNS))]
+    return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
