@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import bpe, chat, chosen_path, decontaminate, divergence, kd_shards, randomness, tokenfile, url_tree
+from barfold.llm import bpe, chat, chosen_path, decontaminate, divergence, kd_shards, mixing, randomness, tokenfile, url_tree
 from barfold.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,3 +240,8 @@ def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in range(len(randomness.PATTERNS))]
     return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
+
+
+@query
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
