@@ -25,7 +25,7 @@ and the text are read, so names of other columns don't clash.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ SLOTS = 64
 #: Most sets, and most shingles together, that one task compares exhaustively.
 LIMIT = 1000
 LIMIT_SHINGLES = 4_000_000
-#: Sets of at most this many members are broadcast as a list of ids (8 bytes each).
-BROADCAST_IDS = 100_000
+#: Up to this many documents (16 bytes each) are picked out by a broadcast; more by a shuffled join.
+BROADCAST_IDS = 500_000
 
 _SEEDS = stream(SLOTS, 23) | np.uint64(1)
 
@@ -221,8 +221,11 @@ def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id"
     nodes = known.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("node"))
     crowded = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1")
     nodes = written(nodes.join(crowded, "node").select("node", "rep", "n", "total"))
-    members = written(_full_sets(df, written(nodes.select("rep").distinct().join(known.select("rep", F.col("n_shingles").alias("n")), "rep")), width, doc, text))
-    members = members.select("rep", "members", F.col("n").alias("size"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of just the documents that estimates leave to compare."""
+        sized = written(ids.distinct().join(known.select("rep", F.col("n_shingles").alias("n")), "rep"))
+        return written(_full_sets(df, sized, width, doc, text).select("rep", "members", F.col("n").alias("size")))
 
     small, edges, level = [], [], 0
     while True:
@@ -232,7 +235,7 @@ def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id"
         if large.isEmpty():
             break
         level += 1
-        found, rest = _pivots(large, known, members, per_cent, far, level)
+        found, rest = _pivots(large, known, sets_of, per_cent, far, level)
         edges.append(found)
         child = _grown(rest, known, level, threshold)
         child = written(child.distinct().join(known.select("rep", "n_shingles"), "rep"))
@@ -240,13 +243,13 @@ def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id"
         nodes = written(child.join(crowded, "node").select("node", "rep", "n", "total"))
     for part in small[1:]:
         small[0] = small[0].unionByName(part)
-    edges.append(_exhaustive(small[0], known, members, per_cent))
+    edges.append(_exhaustive(small[0], known, sets_of, per_cent))
     for part in edges[1:]:
         edges[0] = edges[0].unionByName(part)
     return rows, written(edges[0].filter("a <> b").distinct())
 
 
-def _pivots(large: DataFrame, known: DataFrame, members: DataFrame, per_cent: int, far: float, level: int) -> tuple[DataFrame, DataFrame]:
+def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, far: float, level: int) -> tuple[DataFrame, DataFrame]:
     """Links of the sets of large nodes to their node's pivot, and the rows that may have others."""
     pivots = large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", F.lit(level))).alias("pivot"))
     with_pivot = large.select("node", "rep").join(pivots, "node")
@@ -255,7 +258,8 @@ def _pivots(large: DataFrame, known: DataFrame, members: DataFrame, per_cent: in
     theirs = known.select(F.col("rep").alias("pivot"), F.col("slots").alias("pivot_slots"))
     same = F.aggregate(F.zip_with("slots", "pivot_slots", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     guess = written(with_pivot.join(mine, "rep").join(theirs, "pivot").select("node", "rep", "pivot", (same / SLOTS).alias("guess")))
-    near = guess.filter(F.col("guess") > 0.3).select("rep", "pivot").distinct()
+    near = written(guess.filter(F.col("guess") > 0.3).select("rep", "pivot").distinct())
+    members = sets_of(near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))))
     sized = near.join(members, "rep").join(members.select(F.col("rep").alias("pivot"), F.col("members").alias("pivot_members"), F.col("size").alias("pivot_size")), "pivot")
     shared = F.size(F.array_intersect("members", "pivot_members"))
     exact = sized.select("rep", "pivot", shared.alias("shared"), (F.col("size") + F.col("pivot_size")).alias("both"))
@@ -272,7 +276,7 @@ def _pivots(large: DataFrame, known: DataFrame, members: DataFrame, per_cent: in
     return measured.filter("linked").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), rest
 
 
-def _exhaustive(small: DataFrame, known: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
+def _exhaustive(small: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int) -> DataFrame:
     """Links within nodes of bounded size."""
     least = per_cent / 100 - 6 * math.sqrt(per_cent / 100 * (1 - per_cent / 100) / SLOTS)
 
@@ -306,6 +310,7 @@ def _exhaustive(small: DataFrame, known: DataFrame, members: DataFrame, per_cent
     listed = small.join(known.select("rep", "slots"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "slots")).alias("sets"))
     groups = listed.select("sets").mapInArrow(guessed, "key long, reps array<long>").groupBy("key").agg(F.first("reps").alias("reps"))
     groups = written(groups)
+    members = sets_of(groups.select(F.explode("reps").alias("rep")))
     rows = groups.select("key", F.explode("reps").alias("rep")).join(members, "rep")
     return rows.groupBy("key").agg(F.collect_list(F.struct("rep", "members")).alias("sets")).select("sets").mapInArrow(confirmed, "a long, b long")
 
