@@ -77,9 +77,9 @@ def previous_value(
 ) -> DataFrame:
     """``column`` of the preceding row, 0 on the first.
 
-    With ``reach`` no two neighbouring rows are further apart than that many
-    positions (1 for gap-free rows), and one shuffle does. ``None`` makes no
-    such assumption and reads the input twice.
+    With ``reach`` only a row at most that many positions back counts (1 for
+    gap-free rows), after a wider hole the value is 0, and one shuffle does. ``None``
+    looks back any distance and reads the input twice.
     """
     placed = df.withColumn(blocks.POS, position)
     if reach is None:
@@ -90,7 +90,9 @@ def previous_value(
         value = F.when(first, F.lit(0.0)).otherwise(F.col("_before.v"))
         return done.withColumn(out, value).drop("_before", blocks.POS)
     cut = blocks.with_halo(placed, before=reach, block_rows=max(block_rows, reach))
-    lagged = F.lag(column, 1, 0.0).over(blocks.block_window(keys))
+    inside = blocks.block_window(keys)
+    near = F.col(blocks.POS) - F.lag(blocks.POS).over(inside) <= reach
+    lagged = F.when(near, F.lag(column).over(inside)).otherwise(F.lit(0.0))
     return blocks.core_rows(cut.withColumn(out, lagged)).drop(blocks.POS)
 
 

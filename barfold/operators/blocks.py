@@ -102,16 +102,19 @@ def rank_positions(
     keys: Sequence[str],
     order: Sequence[str],
     *,
-    time: str,
+    time: str | None = None,
     out: str = POS,
     bucket_seconds: int = 86400,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Consecutive row numbers per series, from 0, without a per-series window.
 
-    Rows are numbered inside time buckets; the bucket offsets come from the
-    much smaller table of bucket counts.
+    Rows are numbered inside buckets, of time or as given; the bucket offsets come
+    from the much smaller table of bucket counts.
     """
-    cut = df.withColumn("_bucket", grid_position(time, bucket_seconds))
+    cut = df.withColumn(
+        "_bucket", grid_position(time, bucket_seconds) if bucket is None else bucket
+    )
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )

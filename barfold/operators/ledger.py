@@ -71,14 +71,17 @@ def forecast_accuracy(
     folds: int = 10,
     block_rows: int = blocks.BLOCK_ROWS,
 ) -> DataFrame:
-    """Per fold the mean absolute error averaged over the ``folds`` folds before; 0
-    for the first. ``forecasts`` has ``fold_idx, forecast, actual``."""
+    """Per fold the mean absolute error averaged over the last ``folds`` folds that
+    are present before it; 0 for the first. ``forecasts`` has ``fold_idx, forecast,
+    actual``."""
     error = F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae")
     per_fold = forecasts.groupBy(*keys, "fold_idx").agg(error)
-    cut = blocks.with_halo(
-        per_fold, before=folds, position="fold_idx", block_rows=max(block_rows, folds)
+    # Folds may be missing: halos are counted in folds that are there.
+    ranked = blocks.rank_positions(
+        per_fold, keys, ["fold_idx"], bucket=blocks.floor_div(F.col("fold_idx"), block_rows)
     )
-    recent = blocks.block_window(keys, "fold_idx").rowsBetween(-folds, -1)
+    cut = blocks.with_halo(ranked, before=folds, block_rows=max(block_rows, folds))
+    recent = blocks.block_window(keys).rowsBetween(-folds, -1)
     rolled = cut.withColumn(
         "forecast_accuracy", F.coalesce(F.avg("mae").over(recent), F.lit(0.0))
     )

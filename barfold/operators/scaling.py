@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barfold.operators import blocks
@@ -33,11 +33,16 @@ def _cells(panel: Panel, schedule: Schedule, trim: int, columns: Sequence[str]):
             F.max(c).alias(f"{c}__hi"),
         ]
     table = panel.df.groupBy(panel.asset, cell.alias("_cell")).agg(*stats)
+    # Sums are taken about the level of the asset's first stretch, so that a mean far
+    # above the spread does not cancel it. The table has one row per stretch.
+    whole = Window.partitionBy(panel.asset)
     moments = {}
     for c in columns:
         n, m, v = F.col(f"{c}__n"), F.col(f"{c}__m"), F.col(f"{c}__v")
-        moments[f"{c}__s"] = n * m
-        moments[f"{c}__q"] = n * (v + m * m)
+        level = F.min_by(m, F.when(m.isNotNull(), F.col("_cell"))).over(whole)
+        moments[f"{c}__r"] = level
+        moments[f"{c}__s"] = n * (m - level)
+        moments[f"{c}__q"] = n * (v + (m - level) * (m - level))
     return table.withColumns(moments), unit
 
 
@@ -46,7 +51,9 @@ def _fold_moments(panel: Panel, schedule: Schedule, trim: int, columns: Sequence
     parts = [
         (f"{c}__{k}", op)
         for c in columns
-        for k, op in (("n", "sum"), ("s", "sum"), ("q", "sum"), ("lo", "min"), ("hi", "max"))
+        for k, op in (
+            ("n", "sum"), ("s", "sum"), ("q", "sum"), ("lo", "min"), ("hi", "max"), ("r", "max")
+        )
     ]
     if schedule.mode == "expanding":
         # Totals up to each stretch; a fold is read off where its window ends.
@@ -111,7 +118,8 @@ def fold_statistics(
         mean = F.try_divide(F.col(f"{c}__s"), F.col(f"{c}__n"))
         var = F.greatest(F.try_divide(F.col(f"{c}__q"), F.col(f"{c}__n")) - mean * mean, F.lit(0.0))
         spread = F.when(lo == hi, F.lit(0.0)).otherwise(F.sqrt(var))
-        out += [mean.alias(f"{c}__center"), _or_one(spread).alias(f"{c}__scale")]
+        center = mean + F.col(f"{c}__r")
+        out += [center.alias(f"{c}__center"), _or_one(spread).alias(f"{c}__scale")]
     return table.select(*keys, *out)
 
 

@@ -45,8 +45,12 @@ def local_session(app: str = "barfold", cores: str = "8", **extra) -> SparkSessi
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a new local one only where unset."""
+    """The shared folder named by the cluster; a new local one only where unset and
+    driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="barfold-")

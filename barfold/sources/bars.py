@@ -197,7 +197,12 @@ def write_bars(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None
 def read_bar_table(spark: SparkSession, path: str) -> Panel:
     """What ``write_bars`` wrote."""
     columns = ["asset", "time", *OHLCV]
-    df = spark.read.parquet(path)
+    found = spark.read.parquet(path).schema
+    # Partition values are text: 0700 and 1e3 are names, not numbers.
+    schema = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name == "asset" else f.dataType) for f in found]
+    )
+    df = spark.read.schema(schema).parquet(path)
     extra = [c for c in df.columns if c not in columns]
     return Panel(df.select(*columns, *extra))
 

@@ -39,6 +39,20 @@ def test_constant_column_scales_to_zero(panel, schedule, method):
     assert out.agg(F.max(F.abs("log_volume")), F.count_if(F.col("log_volume").isNull())).first() == (0.0, 0)
 
 
+@pytest.mark.parametrize("mode", ["sliding", "expanding"])
+def test_standard_scaler_with_a_mean_far_above_the_spread(panel, mode):
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule = Schedule(first, 120, 12, 12, 8, mode)
+    place = F.col("log_volume") * 0 + F.sin(F.unix_timestamp(F.col("time").cast("timestamp")) / 3600)
+    high = Panel(panel.df.withColumn("log_volume", place + 1e9), panel.features, panel.labels).on_grid()
+    stats = FoldScaler(columns=("log_volume",), scale_labels=False).fit(high, schedule, 0).stats.toPandas()
+    hours = np.arange(400) + START.timestamp() / 3600
+    for r in stats.itertuples():
+        begin = r.fold_idx * 12 if mode == "sliding" else 0
+        want = np.sin(hours)[begin : r.fold_idx * 12 + 120]
+        assert abs(r.log_volume__scale - want.std()) < 0.02
+
+
 def test_scaler_sees_training_rows_only(panel, schedule):
     def stats(p):
         return FoldScaler().fit(p, schedule, 12).stats.orderBy("asset", "fold_idx").toPandas()
