@@ -85,6 +85,11 @@ def candidates(text: Column) -> Column:
     return _matches(text, CANDIDATE)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _two_sided(z: Column) -> Column:
     """Two-sided normal p-value: Abramowitz and Stegun's rational tail (7.1.26), good to 1e-7, at least 1e-30."""
     x = F.abs(z) / math.sqrt(2.0)
@@ -96,7 +101,6 @@ def _two_sided(z: Column) -> Column:
 def p_value(match: Column) -> Column:
     """Chance that a string drawn evenly from its alphabet looks so uneven: three times the least of the battery."""
     body = F.rtrim(F.translate(match, "=", " "))
-    n = F.length(body).cast("double")
     of = F.lit(len(ENCODINGS) - 1)
     for k in reversed(range(len(ENCODINGS) - 1)):
         of = F.when(body.rlike(ENCODINGS[k][1]), F.lit(k)).otherwise(of)
@@ -104,9 +108,16 @@ def p_value(match: Column) -> Column:
     # + and - share a value in base 64, as do / and _: 64 characters in all.
     letters = F.when(of == len(ENCODINGS) - 1, F.lit(64.0)).otherwise(F.length(alphabet).cast("double"))
     chars = F.split(F.translate(body, "-_", "+/"), "")
-    values = F.transform(chars, lambda c: (F.call_function("position", c, alphabet) - 1).cast("double"))
-    tests = [_evenness(chars, n, letters), _runs(values, n, letters), _serial(values, n, letters)]
-    return F.least(F.lit(1.0), 3 * F.least(*[_two_sided(z) for z in tests]))
+
+    def least(chars: Column, letters: Column, values: Column) -> Column:
+        n = F.size(chars).cast("double")
+        worst = F.greatest(*[F.abs(z) for z in (_evenness(chars, n, letters), _runs(values, n, letters), _serial(values, n, letters))])
+        return F.least(F.lit(1.0), 3 * _let(worst, _two_sided))
+
+    def placed(chars: Column, alphabet: Column) -> Column:
+        return F.transform(chars, lambda c: (F.call_function("position", c, alphabet) - 1).cast("double"))
+
+    return _let(chars, lambda cs: _let(letters, lambda ls: _let(alphabet, lambda a: _let(placed(cs, a), lambda vs: least(cs, ls, vs)))))
 
 
 def _total(values: Column) -> Column:
@@ -130,14 +141,17 @@ def _pairs(values: Column, f) -> Column:
 
 def _runs(values: Column, n: Column, letters: Column) -> Column:
     """Normal score of the number of runs in the upper and lower half of the alphabet."""
-    upper = F.transform(values, lambda v: v >= letters / 2)
-    above = _total(F.transform(upper, lambda u: u.cast("double")))
-    below = n - above
-    runs = 1 + _total(_pairs(upper, lambda x, y: (x != y).cast("double")))
-    mean = 2 * above * below / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    # All in one half: as unlikely as the coin throws that it takes.
-    return F.when(spread > 0, (runs - mean) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.sqrt(n))
+
+    def score(upper: Column, mean: Column) -> Column:
+        runs = 1 + _total(_pairs(upper, lambda x, y: (x != y).cast("double")))
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        # All in one half: as unlikely as the coin throws that it takes.
+        return F.when(spread > 0, (runs - mean) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.sqrt(n))
+
+    def expected(upper: Column) -> Column:
+        return _let(_total(F.transform(upper, lambda u: u.cast("double"))), lambda above: 2 * above * (n - above) / n + 1)
+
+    return _let(F.transform(values, lambda v: v >= letters / 2), lambda up: _let(expected(up), lambda mean: score(up, mean)))
 
 
 def _serial(values: Column, n: Column, letters: Column) -> Column:
