@@ -17,8 +17,8 @@ full sets, skipping pairs that are already linked through others; every link is
 Links are few beside documents (a spanning set for each node), and their components come from rounds of smallest-label
 joins over tables in the shared folder.
 
-Defined cases: a null or empty text has an empty set and no links; rows with the same id link like others, and each gets
-its component; a row without id takes no part and keeps a null component; an empty table gives an empty one. Only the id
+Defined cases: a null or empty text has an empty set and no links; rows with the same id share a component, and if their
+sets differ, one of them stands for the id; a row without id takes no part and keeps a null component; an empty table gives an empty one. Only the id
 and the text are read, so names of other columns don't clash.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm.shared import spread, written
+from barfold.llm.shared import written
 from barfold.llm.text import BLANK, mixed, pieces, shingles, stream
 
 SLOTS = 64
@@ -191,36 +191,41 @@ def trees_for(threshold: float, miss: float = 1e-6, levels: int = 3) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold * (1 - lost)))
 
 
-def _grown(nodes: DataFrame, sketch: DataFrame, level: int, threshold: float) -> DataFrame:
-    """Children of (node, rep) rows: one further slot for each node, a second one for some."""
-    picked = nodes.join(sketch.select("rep", "slots"), "rep")
+def _children(level: int, threshold: float) -> F.Column:
+    """The nodes that a set (node, slots) goes on to: by one further slot of its node, by a second one for some nodes."""
     first = F.pmod(F.xxhash64(F.col("node"), F.lit(level)), F.lit(SLOTS))
     second = F.pmod(F.xxhash64(F.col("node"), F.lit(-level)), F.lit(SLOTS))
     more = F.pmod(F.xxhash64(F.col("node"), F.lit(10_000 + level)), F.lit(1_000_000)) < int(1_000_000 * (1 / threshold - 1))
-    slot = F.explode(F.when(more & (first != second), F.array(first, second)).otherwise(F.array(first)))
-    child = picked.select("rep", "node", "slots", slot.alias("slot"))
-    return child.select(F.xxhash64("node", "slot", F.element_at("slots", F.col("slot").cast("int") + 1)).alias("node"), "rep")
+
+    def child(slot: F.Column) -> F.Column:
+        return F.xxhash64("node", slot, F.element_at("slots", slot.cast("int") + 1))
+
+    return F.when(more & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
+
+
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """(node, rep, n_shingles) of nodes with two sets at least, with their sizes n and total."""
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1")
+    return written(nodes.join(sizes, "node").select("node", "rep", "n_shingles", "n", "total"))
 
 
 def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id", text: str = "text", limit: int = LIMIT, trees: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, rep), (links between reps: a, b): confirmed, and enough for the components."""
     spark: SparkSession = df.sparkSession
     threshold = per_cent / 100
-    far = 1 - threshold
     sketch = written(sketches(df, width, doc, text))
     full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # Which row of a repeated id a class means is told by the key.
-    known = written(
-        full.select(F.col("doc_id").alias("rep"), "n_shingles", "k1", "k2", "slots").join(reps, ["rep", "n_shingles", "k1", "k2"], "left_semi").dropDuplicates(["rep"])
-    ).select("rep", "n_shingles", "slots")
+    # Rows with one id and different sets go by the set with the smallest key.
+    one = reps.groupBy("rep").agg(F.min(F.struct("n_shingles", "k1", "k2")).alias("key")).select("rep", "key.*")
+    known = full.select(F.col("doc_id").alias("rep"), "n_shingles", "k1", "k2", "slots").join(one, ["rep", "n_shingles", "k1", "k2"], "left_semi")
+    known = written(known.dropDuplicates(["rep"])).select("rep", "n_shingles", "slots")
     rows = sketch.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
 
     count = trees_for(threshold) if trees is None else trees
     starts = [F.xxhash64(F.lit(t), F.element_at("slots", t % SLOTS + 1)) for t in range(count)]
     nodes = known.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("node"))
-    crowded = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1")
-    nodes = written(nodes.join(crowded, "node").select("node", "rep", "n", "total"))
+    nodes = _crowded(nodes)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets of just the documents that estimates leave to compare."""
@@ -235,12 +240,9 @@ def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id"
         if large.isEmpty():
             break
         level += 1
-        found, rest = _pivots(large, known, sets_of, per_cent, far, level)
+        found, rest = _pivots(large, known, sets_of, per_cent, level)
         edges.append(found)
-        child = _grown(rest, known, level, threshold)
-        child = written(child.distinct().join(known.select("rep", "n_shingles"), "rep"))
-        crowded = child.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1")
-        nodes = written(child.join(crowded, "node").select("node", "rep", "n", "total"))
+        nodes = _crowded(written(rest))
     for part in small[1:]:
         small[0] = small[0].unionByName(part)
     edges.append(_exhaustive(small[0], known, sets_of, per_cent))
@@ -249,15 +251,16 @@ def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id"
     return rows, written(edges[0].filter("a <> b").distinct())
 
 
-def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, far: float, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links of the sets of large nodes to their node's pivot, and the rows that may have others."""
+def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the sets of large nodes to their node's pivot; the nodes that sets which may have others go on to."""
+    far = 1 - per_cent / 100
     pivots = large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", F.lit(level))).alias("pivot"))
-    with_pivot = large.select("node", "rep").join(pivots, "node")
+    with_pivot = large.select("node", "rep", "n_shingles").join(pivots, "node")
     # A minwise estimate of at most 0.3 means a distance of more than 2 * far with near certainty: no need of the sets.
     mine = known.select("rep", "slots")
     theirs = known.select(F.col("rep").alias("pivot"), F.col("slots").alias("pivot_slots"))
     same = F.aggregate(F.zip_with("slots", "pivot_slots", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    guess = written(with_pivot.join(mine, "rep").join(theirs, "pivot").select("node", "rep", "pivot", (same / SLOTS).alias("guess")))
+    guess = written(with_pivot.join(mine, "rep").join(theirs, "pivot").select("node", "rep", "n_shingles", "pivot", (same / SLOTS).alias("guess"), _children(level, per_cent / 100).alias("children")))
     near = written(guess.filter(F.col("guess") > 0.3).select("rep", "pivot").distinct())
     members = sets_of(near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))))
     sized = near.join(members, "rep").join(members.select(F.col("rep").alias("pivot"), F.col("members").alias("pivot_members"), F.col("size").alias("pivot_size")), "pivot")
@@ -265,14 +268,14 @@ def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], D
     exact = sized.select("rep", "pivot", shared.alias("shared"), (F.col("size") + F.col("pivot_size")).alias("both"))
     measured = written(
         guess.join(exact, ["rep", "pivot"], "left").select(
-            "node", "rep", "pivot",
+            "node", "rep", "n_shingles", "pivot", "children",
             F.coalesce(1 - F.col("shared") / (F.col("both") - F.col("shared")), F.lit(2 * far)).alias("d"),
             F.coalesce(100 * F.col("shared") >= per_cent * (F.col("both") - F.col("shared")), F.lit(False)).alias("linked"),
         )
     )
     nearest = measured.groupBy("node").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"))
     needed = ~F.col("linked") | (F.col("d") >= F.col("nearest") - far - 1e-9)
-    rest = measured.join(nearest, "node").filter((F.col("rep") != F.col("pivot")) & needed).select("node", "rep")
+    rest = measured.join(nearest, "node").filter((F.col("rep") != F.col("pivot")) & needed).select(F.explode("children").alias("node"), "rep", "n_shingles").distinct()
     return measured.filter("linked").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), rest
 
 
