@@ -256,12 +256,13 @@ def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], D
     far = 1 - per_cent / 100
     pivots = large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", F.lit(level))).alias("pivot"))
     with_pivot = large.select("node", "rep", "n_shingles").join(pivots, "node")
-    # A minwise estimate of at most 0.3 means a distance of more than 2 * far with near certainty: no need of the sets.
+    # An estimate so low means a distance of more than 2 * far with near certainty: no need of the sets.
+    least = min(0.3, 1 - 2 * far - 6 * math.sqrt(max(0.0, (1 - 2 * far) * 2 * far) / SLOTS))
     mine = known.select("rep", "slots")
     theirs = known.select(F.col("rep").alias("pivot"), F.col("slots").alias("pivot_slots"))
     same = F.aggregate(F.zip_with("slots", "pivot_slots", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     guess = written(with_pivot.join(mine, "rep").join(theirs, "pivot").select("node", "rep", "n_shingles", "pivot", (same / SLOTS).alias("guess"), _children(level, per_cent / 100).alias("children")))
-    near = written(guess.filter(F.col("guess") > 0.3).select("rep", "pivot").distinct())
+    near = written(guess.filter(F.col("guess") > least).select("rep", "pivot").distinct())
     members = sets_of(near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))))
     sized = near.join(members, "rep").join(members.select(F.col("rep").alias("pivot"), F.col("members").alias("pivot_members"), F.col("size").alias("pivot_size")), "pivot")
     shared = F.size(F.array_intersect("members", "pivot_members"))

@@ -15,6 +15,10 @@ from barfold.llm import bpe, chosen_path, decontaminate, divergence, randomness
 from barfold.llm.shared import written
 
 
+#: Least Jaccard similarity of near copies, over shingles of five words; the op3 query has its own.
+NEAR_PER_CENT = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and don't stray from their language."""
     return divergence.judge(docs).filter("kept").select(*docs.columns)
@@ -22,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; of rows with one id and one text, one."""
-    judged = written(chosen_path.near_duplicates(docs))
+    judged = written(chosen_path.near_duplicates(docs, per_cent=NEAR_PER_CENT))
     out = _without(docs, judged.filter("NOT kept").select("doc_id").distinct(), "left_anti")
     repeated = written(judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.isEmpty():

@@ -455,6 +455,26 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert "[assign]" in hidden.text and hidden.n_chars == len(hidden.text)
 
 
+def test_pipeline_dedups_from_four_fifths_on(spark):
+    """Pairs with a similarity between 0.80 and 0.85, far from all others."""
+    from corpus_pipeline import near_dedup
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        words = ["d%dx%d" % (k, rng.randrange(10**6)) for _ in range(104)]
+        changed = [*words]
+        changed[50] = "other%d" % k
+        if k % 3:  # one word in the middle has 5 shingles, one near the end 4 more
+            changed[-4] = "else%d" % k
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(changed), "en")]
+    texts = [r[:2] for r in rows]
+    want, strict = ({i for i, (_, rep) in brute_components(texts, per_cent).items() if i == rep} for per_cent in (80, 85))
+    assert len(strict) > len(want)
+    out = near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert {r.doc_id for r in out.collect()} == want
+
+
 def test_with_columns_replaces_clashing_names(spark):
     from pyspark.sql import types as T
 
