@@ -5,6 +5,12 @@ characters beyond ASCII) and of the common words of its language, are held again
 of that language by Jensen-Shannon distance (base 2, 0 to 1). A distance beyond a bound rejects the document. A short
 text strays from the mean by chance: the bounds widen with 1/sqrt(words), and below MIN_WORDS only the counts judge.
 
+A text without any common word of its language has the same distance at any length, that of its reference from nothing
+but other words. The bound of words is therefore a part of this distance, with what chance adds to as many words. Many
+common words leave much to chance, so common words are also held against all others as two classes, which tells texts
+with too few of them from some 50 words on. Both tests need the words of one language: texts of languages without a
+reference of their own, or of none, are held against a mixture, where missing words mean nothing, by a fixed bound.
+
 References are gathered over all documents: words are counted where the texts are and summed by a shuffle. A common word
 has at least WORD_SHARE of its language's words, so there are at most 1/WORD_SHARE for each; a language has a reference
 of its own from LANGUAGE_SHARE of the documents on, so there are at most 1/LANGUAGE_SHARE + 1; other documents are held
@@ -34,6 +40,8 @@ LANGUAGE_SHARE = 0.0001
 #: Bounds of the distances: level + slope / sqrt(words).
 CLASS_BOUND = (0.30, 0.4)
 WORD_BOUND = (0.40, 0.5)
+#: Part of the distance of a text without common words that is beyond the bound, and normal score of what chance adds.
+WORD_PART, WORD_SCORE = 0.45, 3.1
 #: Most share of repeated words, in per cent, and least number of words.
 MOST_REPEATED, LEAST_WORDS = 20, 10
 SYMBOLS = b"#*$%&|<>"
@@ -68,6 +76,27 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (half(p) + half(q)) / 2))
 
 
+def word_bound(common: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bound of distances of n words from the shares `common`, that of all other words last."""
+    nothing, free = np.zeros(len(common)), len(common) - 1
+    nothing[-1] = 1
+    if not free:
+        return np.ones(len(n))
+    # The squared distance of n words drawn from common is about chi-squared / (8 ln 2 n) (Wilson and Hilferty's cube).
+    spread = 2 / (9 * free)
+    chance = free * (1 - spread + WORD_SCORE * np.sqrt(spread)) ** 3 / (8 * np.log(2) * np.maximum(1, n))
+    return np.sqrt((WORD_PART * distance(nothing, common)) ** 2 + chance)
+
+
+def words_stray(shares: np.ndarray, common: np.ndarray, n: np.ndarray, by_word: np.ndarray, mixture: bool) -> np.ndarray:
+    """Are texts of n words, with these shares and distances, too far from the reference `common`?"""
+    if mixture:
+        return by_word > WORD_BOUND[0] + WORD_BOUND[1] / np.sqrt(np.maximum(1, n))
+    two, both = (np.stack([1 - x[..., -1], x[..., -1]], axis=-1) for x in (shares, common))
+    few = (two[:, 0] < both[0]) & (distance(two, both) > word_bound(both, n))
+    return (by_word > word_bound(common, n)) | few
+
+
 def class_counts(piece: Piece) -> np.ndarray:
     """Characters of each class in each row."""
     out = np.zeros((piece.rows, CLASSES), np.int64)
@@ -187,7 +216,7 @@ def judge(df: DataFrame, known: dict | None = None, text: str = "text", lang: st
         starts, ends = piece.words(BLANK)
         words = piece.hashes(starts, ends, folded=True) if len(starts) else np.zeros(0, np.uint64)
         of = np.repeat(np.arange(piece.rows), n)
-        by_class, by_word = np.zeros(piece.rows), np.zeros(piece.rows)
+        by_class, by_word, wordy = np.zeros(piece.rows), np.zeros(piece.rows), np.zeros(piece.rows, bool)
         for name in set(names.tolist()):
             share, hashes, common = refs[name]
             mine = np.flatnonzero(names == name)
@@ -199,10 +228,12 @@ def judge(df: DataFrame, known: dict | None = None, text: str = "text", lang: st
             if len(hashes):
                 at = np.where(hashes[np.minimum(at, len(hashes) - 1)] == words[inside], at, len(hashes))
             counts = np.bincount(local[of[inside]] * len(common) + at, minlength=len(mine) * len(common)).reshape(len(mine), -1)
-            by_word[mine] = distance(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)), common)
+            shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+            by_word[mine] = distance(shares, common)
+            wordy[mine] = words_stray(shares, common, n[mine], by_word[mine], name in ("", _ALL))
         failed = (n < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * n)
         root = np.sqrt(np.maximum(1, n))
-        strays = (n >= MIN_WORDS) & ((by_class > CLASS_BOUND[0] + CLASS_BOUND[1] / root) | (by_word > WORD_BOUND[0] + WORD_BOUND[1] / root))
+        strays = (n >= MIN_WORDS) & ((by_class > CLASS_BOUND[0] + CLASS_BOUND[1] / root) | wordy)
         return [*base.values(), failed, pa.array(by_class, mask=n == 0), pa.array(by_word, mask=n == 0), ~failed & ~strays]
 
     return with_columns(df, FIELDS, kernel, text)

@@ -418,6 +418,29 @@ def test_divergence_rejects_junk(spark):
     assert all(out[k] for k in range(100)) and not any(out[k] for k in (100, 101, 102))
 
 
+def test_divergence_rejects_other_languages_and_random_letters(spark):
+    """A fifth of the words is common, as in prose; texts of languages without a reference are not judged by words."""
+    rng = random.Random(9)
+
+    def letters():
+        return "".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 9)))
+
+    common = {k: [letters() for _ in range(14)] for k in ("en", "de")}
+    rare = {k: [letters() for _ in range(3000)] for k in common}
+
+    def prose(lang, n):
+        return " ".join(rng.choice(common[lang] if rng.random() < 0.2 else rare[lang]) for _ in range(n))
+
+    rows = [(k, prose(lang, rng.choice([60, 120, 400])), lang) for k in range(300) for lang in [("en", "de")[k % 2]]]
+    rows += [(1000 + k, prose(lang, n), other) for k in range(2) for n in (100, 200, 1000) for lang, other in (("en", "de"), ("de", "en"))]
+    rows += [(2000 + k, " ".join(letters() for _ in range(n)), "en") for k in range(3) for n in (80, 300, 2000)]
+    rows += [(3000, " ".join(letters() for _ in range(300)), None)]
+    out = collections.defaultdict(list)
+    for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        out[r.doc_id // 1000].append(r.kept)
+    assert out[0].count(False) <= 2 and not any(out[1]) and not any(out[2]) and all(out[3])
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.5, 0.5])
     m = (p[0] + q) / 2
