@@ -4,8 +4,10 @@ Documents become sets of hashed word shingles; documents with equal sets are one
 so copies are never expanded into pairs. Each class gets SLOTS minwise hashes. A tree begins with one slot: sets with
 the same value there share a node. A node with at most `limit` sets (and bounded shingles) is compared exhaustively in
 its task; a larger one branches: its path picks one further slot, and a second one with probability 1/threshold - 1, so
-that a pair at the threshold is expected to stay together in one child. Trees are independent and repeated so that a
-pair at the threshold is missed with a chance below 1e-6.
+that a pair at the threshold is expected to stay together in one child. Trees are repeated. They share the SLOTS, and
+each branching can part a pair, so the chance to miss a pair at the threshold is worked out for the depth that was
+reached, over all numbers of slots in which the pair may agree. While it is above MISS, the sets that have been in a
+branching node go through another round of trees, with hash functions of its own: chances of rounds multiply.
 
 Large groups of near copies would never branch apart. So each large node also has a pivot, compared exactly with all its
 sets: those within the threshold are linked to it. As 1 - Jaccard is a metric, a linked set whose distance to the pivot
@@ -42,14 +44,22 @@ LIMIT_SHINGLES = 4_000_000
 #: Up to this many documents (16 bytes each) are picked out by a broadcast; more by a shuffled join.
 BROADCAST_IDS = 500_000
 
-_SEEDS = stream(SLOTS, 23) | np.uint64(1)
+#: Most chance to miss a pair at the threshold.
+MISS = 1e-6
+#: Standard errors below the threshold from which on a minwise estimate rules a pair out.
+ERRORS = 6
 
 
-def minwise(members: np.ndarray) -> np.ndarray:
+def seeds(number: int) -> np.ndarray:
+    """Hash functions of a round of trees."""
+    return stream(SLOTS, 23 + 1000 * number) | np.uint64(1)
+
+
+def minwise(members: np.ndarray, by: np.ndarray) -> np.ndarray:
     """The SLOTS smallest values under as many hash functions, 31 bits each."""
     if len(members) < 20_000:
-        return ((members[:, None] * _SEEDS[None, :]) >> np.uint64(33)).min(axis=0).astype(np.int32)
-    return np.array([((members * s) >> np.uint64(33)).min() for s in _SEEDS], np.int32)
+        return ((members[:, None] * by[None, :]) >> np.uint64(33)).min(axis=0).astype(np.int32)
+    return np.array([((members * s) >> np.uint64(33)).min() for s in by], np.int32)
 
 
 def _sets(batch_text: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -61,8 +71,9 @@ def _sets(batch_text: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + k, np.unique(shingles(hashes[a:b], width))
 
 
-def sketches(df: DataFrame, width: int, doc: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, slots): set size, a 128-bit key of the set and its minwise hashes."""
+def sketches(df: DataFrame, width: int, doc: str, text: str, number: int = 0) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, slots): set size, a 128-bit key of the set and its minwise hashes of a round."""
+    by = seeds(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +84,7 @@ def sketches(df: DataFrame, width: int, doc: str, text: str) -> DataFrame:
                 if len(members):
                     keys[0, row] = members.sum(dtype=np.uint64).astype(np.int64)
                     keys[1, row] = mixed(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)
-                    slots[row] = minwise(members)
+                    slots[row] = minwise(members, by)
             edges = pa.array(np.arange(n + 1, dtype=np.int32) * SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(edges, pa.array(slots.reshape(-1)))],
@@ -182,8 +193,8 @@ def exact_links(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
     return out
 
 
-def trees_for(threshold: float, miss: float = 1e-6, levels: int = 3) -> int:
-    """Trees after which a pair at the threshold is missed with at most this chance, if nodes are small within levels."""
+def trees_for(threshold: float, miss: float = MISS, levels: int = 3) -> int:
+    """Trees of a round: independent ones would miss a pair at the threshold with at most this chance within levels."""
     second, lost = 1 / threshold - 1, 0.0
     for _ in range(levels - 1):  # chance that no branch below keeps the pair together
         one = 1 - threshold * (1 - lost)
@@ -191,6 +202,30 @@ def trees_for(threshold: float, miss: float = 1e-6, levels: int = 3) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold * (1 - lost)))
 
 
+def missed(threshold: float, trees: int, branchings: int) -> float:
+    """Chance that a round misses a pair at the threshold in nodes that are small after so many branchings, over all
+    numbers of slots in which the pair may agree; pairs that their estimate rules out are missed."""
+    second, least, starts, out = 1 / threshold - 1, _ruled_out(threshold) * SLOTS, min(trees, SLOTS), 0.0
+    for agree in range(SLOTS + 1):
+        chance = math.comb(SLOTS, agree) * threshold**agree * (1 - threshold) ** (SLOTS - agree)
+        if agree < least:
+            out += chance
+            continue
+        lost = 0.0
+        for _ in range(branchings):
+            one = 1 - agree / SLOTS * (1 - lost)
+            lost = one * (1 - second + second * one)
+        for a in range(max(0, starts - SLOTS + agree), min(agree, starts) + 1):  # trees that the pair begins together
+            part = math.comb(agree, a) * math.comb(SLOTS - agree, starts - a) / math.comb(SLOTS, starts)
+            out += chance * part * lost ** (a * trees // starts)
+    return out
+
+
+def _ruled_out(threshold: float) -> float:
+    """Minwise estimate under which a pair is not compared."""
+    return threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / SLOTS)
+
+
 def _children(level: int, threshold: float) -> F.Column:
     """The nodes that a set (node, slots) goes on to: by one further slot of its node, by a second one for some nodes."""
     first = F.pmod(F.xxhash64(F.col("node"), F.lit(level)), F.lit(SLOTS))
@@ -219,36 +254,60 @@ def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id"
     # Rows with one id and different sets go by the set with the smallest key.
     one = reps.groupBy("rep").agg(F.min(F.struct("n_shingles", "k1", "k2")).alias("key")).select("rep", "key.*")
     known = full.select(F.col("doc_id").alias("rep"), "n_shingles", "k1", "k2", "slots").join(one, ["rep", "n_shingles", "k1", "k2"], "left_semi")
-    known = written(known.dropDuplicates(["rep"])).select("rep", "n_shingles", "slots")
+    known = written(known.dropDuplicates(["rep"]))
     rows = sketch.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
 
     count = trees_for(threshold) if trees is None else trees
-    starts = [F.xxhash64(F.lit(t), F.element_at("slots", t % SLOTS + 1)) for t in range(count)]
-    nodes = known.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("node"))
-    nodes = _crowded(nodes)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets of just the documents that estimates leave to compare."""
         sized = written(ids.distinct().join(known.select("rep", F.col("n_shingles").alias("n")), "rep"))
         return written(_full_sets(df, sized, width, doc, text).select("rep", "members", F.col("n").alias("size")))
 
-    small, edges, level = [], [], 0
+    def again(ids: DataFrame, number: int) -> DataFrame:
+        """known of just these, with the hash functions of another round."""
+        few = written(known.join(ids, "rep", "left_semi").drop("slots"))
+        ids = few.select(F.col("rep").alias("_rep"))
+        texts = df.select(F.col(f"`{doc}`").cast("long").alias("_rep"), F.col(f"`{text}`").alias("_text"))
+        texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_rep")
+        fresh = sketches(texts, width, "_rep", "_text", number).withColumnRenamed("doc_id", "rep")
+        return written(few.join(fresh, ["rep", "n_shingles", "k1", "k2"]).dropDuplicates(["rep"]))
+
+    edges, number, chance, some = [], 0, 1.0, known
+    while True:
+        found, deep, depth = _round(some.select("rep", "n_shingles", "slots"), sets_of, per_cent, limit, count)
+        edges += found
+        chance *= missed(threshold, count, depth)
+        # Pairs that no branching could part are found by one round.
+        if deep is None or chance <= MISS:
+            break
+        number += 1
+        some = again(deep, number)
+    for part in edges[1:]:
+        edges[0] = edges[0].unionByName(part)
+    return rows, written(edges[0].filter("a <> b").distinct())
+
+
+def _round(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, limit: int, count: int) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Links that one round of trees finds, the sets (rep) that have been in a branching node, and the branchings."""
+    starts = [F.xxhash64(F.lit(t), F.element_at("slots", t % SLOTS + 1)) for t in range(count)]
+    nodes = _crowded(known.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("node")))
+    small, edges, level, deep = [], [], 0, None
     while True:
         fits = (F.col("n") <= limit) & (F.col("total") <= LIMIT_SHINGLES)
         small.append(nodes.filter(fits).select("node", "rep"))
         large = nodes.filter(~fits)
         if large.isEmpty():
             break
+        if deep is None:
+            deep = large.select("rep").distinct()
         level += 1
         found, rest = _pivots(large, known, sets_of, per_cent, level)
         edges.append(found)
         nodes = _crowded(written(rest))
     for part in small[1:]:
         small[0] = small[0].unionByName(part)
-    edges.append(_exhaustive(small[0], known, sets_of, per_cent))
-    for part in edges[1:]:
-        edges[0] = edges[0].unionByName(part)
-    return rows, written(edges[0].filter("a <> b").distinct())
+    return [*edges, _exhaustive(small[0], known, sets_of, per_cent)], deep, level
 
 
 def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, level: int) -> tuple[DataFrame, DataFrame]:
@@ -282,7 +341,7 @@ def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], D
 
 def _exhaustive(small: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int) -> DataFrame:
     """Links within nodes of bounded size."""
-    least = per_cent / 100 - 6 * math.sqrt(per_cent / 100 * (1 - per_cent / 100) / SLOTS)
+    least = _ruled_out(per_cent / 100)
 
     def guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -215,6 +215,38 @@ def test_chosen_paths_find_all_components(spark, limit):
     assert got == want
 
 
+def test_chosen_paths_find_pairs_in_deep_nodes(spark):
+    """Pairs just above the threshold, all with one passage; one tree a round misses some of them."""
+    rng = random.Random(12)
+    rows, passage = [], ["p%d" % k for k in range(66)]
+    for k in range(20):
+        words = passage + ["d%dx%d" % (k, rng.randrange(10**6)) for _ in range(38)]
+        changed = [*words]
+        changed[-12] = changed[-3] = "other%d" % k  # a similarity of 92 / 108
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    want = brute_components(rows)
+    assert len({rep for _, rep in want.values()}) == 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=24, trees=1).collect()}
+    assert got == want
+
+
+def test_missed_pairs_are_few_at_any_depth():
+    """A round's chance by drawing slots at random."""
+    rng = np.random.default_rng(1)
+    for depth in (0, 1, 3):
+        hits, n, trees = 0, 4_000, 3
+        for _ in range(n):
+            agree = rng.random(chosen_path.SLOTS) < 0.85
+            if agree.mean() < chosen_path._ruled_out(0.85):
+                continue
+            together = agree[:trees].astype(int)
+            for _ in range(depth):
+                both = rng.random((trees, 1)) < 1 / 0.85 - 1
+                together = np.array([sum(agree[rng.integers(chosen_path.SLOTS)] for _ in range(m) for _ in range(1 + b)) for m, b in zip(together, both[:, 0], strict=True)])
+            hits += together.any()
+        assert 1 - hits / n == pytest.approx(chosen_path.missed(0.85, trees, depth), rel=0.3, abs=0.004)
+
+
 def test_near_duplicates_of_odd_tables(spark, nothing):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A b\nc"), (3, None)]
     out = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
