@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barfold.llm import bpe, chat, chosen_path, decontaminate, divergence, kd_shards, mixing, randomness, tokenfile, url_tree
+from barfold.llm import bpe, centroids, chat, chosen_path, decontaminate, divergence, kd_shards, line_runs, mixing, randomness, resample, tokenfile, url_tree
 from barfold.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,74 @@ def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_incremental_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _centroids_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """One pair of tables for each round: the assignment, and the centroids after it."""
+    parts = [
+        f"""e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x, row_number() OVER () AS r FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x AS p FROM e ORDER BY sha256('3:' || vec_id) LIMIT {k}
+)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, min_by(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(x, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM e, c{n}) GROUP BY r
+)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""s{n} AS (
+  SELECT c, i, sum(v) AS s, count(*) AS m FROM (SELECT a{n}.c, unnest(x) AS v, unnest(range({width})) AS i FROM a{n} JOIN e USING (r)) GROUP BY ALL
+), c{n + 1} AS MATERIALIZED (
+  SELECT c{n}.c, coalesce(q, p) AS p FROM c{n} LEFT JOIN (
+    SELECT c, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS q FROM s{n} GROUP BY c
+  ) m ON m.c = c{n}.c
+)"""
+            )
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+"""
+
+
+ORACLES["op11_incremental_distances"] = _centroids_sql()
+
+
+@query
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_runs"] = f"""
+WITH l AS (
+  SELECT r, doc_id, pos, line, {lowered("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+  FROM (
+    SELECT r, doc_id, unnest(w) AS line, unnest(range(len(w))) AS pos
+    FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)
+  )
+), k AS (
+  SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key
+)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE l.doc_id > first) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR l.doc_id = first), '')) AS kept_sha256
+FROM l LEFT JOIN k ON l.key = k.key GROUP BY r, l.doc_id
+"""
+
+
+@query
+def op13_quickselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
