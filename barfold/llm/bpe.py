@@ -6,6 +6,9 @@ so each worker encodes a distinct pretoken once, many in one call, and keeps the
 Decoding gathers the bytes behind the ids, so characters split over several ids come back whole, and token offsets are
 sums of byte lengths. Every piece is decoded and compared with its text before it leaves the task.
 
+Texts with an added token of a JSON vocabulary written out in them go to the library as a whole, which gives that token's
+own id; rank files have none.
+
 Defined cases: a null or empty text has no ids and decodes to no bytes; rows are independent, so ties, repeated rows and
 an empty table need no care; input columns named like the added ones are replaced.
 """
@@ -140,9 +143,12 @@ class Vocabulary:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chars = byte_characters()
+        added: dict[str, int] = {}
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as file:
-                model = json.load(file)["model"]
+                stored = json.load(file)
+            model = stored["model"]
+            added = {t["content"]: t["id"] for t in stored.get("added_tokens") or []}
             vocab = model["vocab"]
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             back = {c: b for b, c in enumerate(chars)}
@@ -154,7 +160,13 @@ class Vocabulary:
             vocab = {shown[t]: i for t, i in ranks.items()}
             merges = [(shown[a], shown[b]) for a, b in merges_of(ranks)]
             self.tokens = {i: t for t, i in ranks.items()}
-        self.size = max(vocab.values()) + 1
+        self.tokens |= {i: t.encode() for t, i in added.items()}
+        self.size = max(*vocab.values(), *added.values(), 0) + 1
+        self.added = [t.encode() for t in added]
+        if added:
+            self.whole = Tokenizer.from_file(path)
+            self.whole.no_truncation()
+            self.whole.no_padding()
         self.library = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
         self.library.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split("\x00", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -200,6 +212,25 @@ class Vocabulary:
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a piece's rows, flat, and how many each row has."""
+        raw = piece.data.tobytes() if self.added else b""
+        if not any(t in raw for t in self.added):
+            return self._encode(piece)
+        rows = [raw[a:b] for a, b in zip(piece.offsets[:-1].tolist(), piece.offsets[1:].tolist(), strict=True)]
+        odd = [k for k, row in enumerate(rows) if any(t in row for t in self.added)]
+        coded = self.whole.encode_batch_fast([rows[k].decode() for k in odd], add_special_tokens=False)
+        # The other rows go the usual way, with these left empty.
+        size = np.diff(piece.offsets)
+        size[odd] = 0
+        keep = np.ones(piece.rows, bool)
+        keep[odd] = False
+        plain = Piece(piece.data[np.repeat(keep, np.diff(piece.offsets))], np.concatenate([[0], np.cumsum(size)]))
+        ids, per_row = self._encode(plain)
+        parts = np.split(ids, np.cumsum(per_row)[:-1])
+        for k, enc in zip(odd, coded, strict=True):
+            parts[k] = np.array(enc.ids, ids.dtype)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         begins = pretokens(piece)
         if not len(begins):
             return np.zeros(0, np.int32), np.zeros(piece.rows, np.int64)

@@ -1,26 +1,32 @@
 """MinHash near-dedup: a chosen-path set similarity join of shingle sets, and the components of its links.
 
-Documents become sets of hashed word shingles; documents with equal sets are one class, joined through its smallest id,
+Documents become sets of hashed word shingles; documents with equal sets are one class, joined through one row of it,
 so copies are never expanded into pairs. Each class gets SLOTS minwise hashes. A tree begins with one slot: sets with
 the same value there share a node. A node with at most `limit` sets (and bounded shingles) is compared exhaustively in
 its task; a larger one branches: its path picks one further slot, and a second one with probability 1/threshold - 1, so
 that a pair at the threshold is expected to stay together in one child. Trees are repeated. They share the SLOTS, and
 each branching can part a pair, so the chance to miss a pair at the threshold is worked out for the depth that was
 reached, over all numbers of slots in which the pair may agree. While it is above MISS, the sets that have been in a
-branching node go through another round of trees, with hash functions of its own: chances of rounds multiply.
+branching node go through as many further rounds of trees as it takes, all at once, with hash functions of their own:
+chances of rounds multiply.
 
 Large groups of near copies would never branch apart. So each large node also has a pivot, compared exactly with all its
 sets: those within the threshold are linked to it. As 1 - Jaccard is a metric, a linked set whose distance to the pivot
 is below that of the nearest unlinked one less the threshold's distance can have no link to an unlinked set, and all its
 others lead to sets linked with the same pivot: it needs no further comparison here. The rest, never the pivot, branches
-on. Exhaustive nodes first drop pairs whose minwise estimate is six standard errors below the threshold, then compare
-full sets, skipping pairs that are already linked through others; every link is confirmed on full sets.
+on, as many levels in one pass as the largest node is expected to need.
+
+Exhaustive nodes first drop pairs whose minwise estimate is six standard errors below the threshold, then compare full
+sets. Sets that can't reach the threshold with anything in the node, as too few of their shingles occur in another set,
+are peeled off; the others are compared by what they lack of the node's common shingles and have of its rare ones, so a
+group of thousands made from one template costs little. Pairs already linked through others are skipped; every link is
+confirmed on full sets.
 
 Links are few beside documents (a spanning set for each node), and their components come from rounds of smallest-label
 joins over tables in the shared folder.
 
-Defined cases: a null or empty text has an empty set and no links; rows with the same id share a component, and if their
-sets differ, one of them stands for the id; a row without id takes no part and keeps a null component; an empty table gives an empty one. Only the id
+Defined cases: a null or empty text has an empty set and no links; rows with the same id share a component, whatever
+their texts; a row without id takes no part and keeps a null component; an empty table gives an empty one. Only the id
 and the text are read, so names of other columns don't clash.
 """
 
@@ -31,16 +37,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barfold.llm.shared import written
-from barfold.llm.text import BLANK, mixed, pieces, shingles, stream
+from barfold.llm.text import BLANK, expand, mixed, pieces, shingles, stream
 
 SLOTS = 64
 #: Most sets, and most shingles together, that one task compares exhaustively.
-LIMIT = 1000
+LIMIT = 8192
 LIMIT_SHINGLES = 4_000_000
+#: Most levels that sets of large nodes go down in one pass.
+STEPS = 6
 #: Up to this many documents (16 bytes each) are picked out by a broadcast; more by a shuffled join.
 BROADCAST_IDS = 500_000
 
@@ -82,8 +90,7 @@ def sketches(df: DataFrame, width: int, doc: str, text: str, number: int = 0) ->
             for row, members in _sets(batch.column(1), width):
                 size[row] = len(members)
                 if len(members):
-                    keys[0, row] = members.sum(dtype=np.uint64).astype(np.int64)
-                    keys[1, row] = mixed(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)
+                    keys[:, row] = _keys(members)
                     slots[row] = minwise(members, by)
             edges = pa.array(np.arange(n + 1, dtype=np.int32) * SLOTS)
             yield pa.RecordBatch.from_arrays(
@@ -95,16 +102,33 @@ def sketches(df: DataFrame, width: int, doc: str, text: str, number: int = 0) ->
     return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, slots array<int>")
 
 
-def _full_sets(df: DataFrame, ids: DataFrame, width: int, doc: str, text: str) -> DataFrame:
-    """(rep, members) of the documents in ids (rep), as sorted hashes; computed again from their texts."""
+def _keys(members: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    one = members.sum(dtype=np.uint64).astype(np.int64)
+    return int(one), int(mixed(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _picked(df: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """Rows (rep, text, k1, k2) of the documents that stand for the wanted classes (rep, first, k1, k2)."""
+    rows = df.select(F.col(f"`{doc}`").cast("long").alias("first"), F.col(f"`{text}`").alias("text"))
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, "first").select("rep", "text", "k1", "k2")
+
+
+def _full_sets(df: DataFrame, wanted: DataFrame, width: int, doc: str, text: str) -> DataFrame:
+    """(rep, members, size) of the wanted classes, as sorted hashes; computed again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, sets, pending = [], [], 0
+            keys = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             for row, members in _sets(batch.column(1), width):
-                keep.append(row)
-                sets.append(members)
-                pending += len(members)
+                # An id may have rows with other sets.
+                if len(members) and _keys(members) == keys[row]:
+                    keep.append(row)
+                    sets.append(members)
+                    pending += len(members)
                 if pending > 500_000:
                     yield _batch(batch, keep, sets)
                     keep, sets, pending = [], [], 0
@@ -114,82 +138,101 @@ def _full_sets(df: DataFrame, ids: DataFrame, width: int, doc: str, text: str) -
     def _batch(batch, keep, sets):
         edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets).view(np.int64))), batch.column(2).take(pa.array(keep))],
-            names=["rep", "members", "n"],
+            [batch.column(0).take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets).view(np.int64)))],
+            names=["rep", "members"],
         )
 
-    rows = df.select(F.col(f"`{doc}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    # An id of several rows stands for the set with the key that its class has.
-    return rows.join(ids, "rep").select("rep", "text", "n").mapInArrow(run, "rep long, members array<long>, n long").filter(F.size("members") == F.col("n"))
-
-
-def _similar(i: F.Column, a: F.Column, b: F.Column, per_cent: int) -> F.Column:
-    return 100 * i >= per_cent * (a + b - i)
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    return _picked(df, wanted, doc, text).mapInArrow(run, "rep long, members array<long>").withColumn("size", F.size("members"))
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
 
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(x) for x in range(len(self.up))])
+def _joined(labels: np.ndarray, near: np.ndarray, label: int) -> None:
+    """All sets with a label that one of `near` has get this one."""
+    known = np.unique(labels[near])
+    labels[np.isin(labels, known)] = label
 
 
 def likely_groups(slots: np.ndarray, least: float) -> list[np.ndarray]:
     """Sets connected by pairs whose estimated similarity is at least `least`."""
-    forest, n = _Forest(len(slots)), len(slots)
+    n = len(slots)
     labels = np.arange(n)
     for a in range(n - 1):
         rest = np.flatnonzero(labels[a + 1 :] != labels[a]) + a + 1
         if len(rest):
             near = rest[(slots[rest] == slots[a]).mean(axis=1) >= least]
             if len(near):
-                for b in near.tolist():
-                    forest.join(a, b)
-                labels = forest.roots()
-    labels = forest.roots()
-    return [g for r in np.unique(labels) if len(g := np.flatnonzero(labels == r)) > 1]
+                _joined(labels, near, labels[a])
+    order = np.argsort(labels, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)
+    return [g for g in groups if len(g) > 1]
+
+
+def _peeled(row: np.ndarray, element: np.ndarray, size: np.ndarray, per_cent: int) -> np.ndarray:
+    """Which sets may be linked at all: enough of their elements occur in another set that may be, too."""
+    alive = np.ones(len(size), bool)
+    while True:
+        here = alive[row]
+        count = np.bincount(element[here], minlength=int(element.max(initial=-1)) + 1)
+        shared = np.bincount(row[here & (count[element] > 1)], minlength=len(size))
+        # A union has at least as many elements as the set itself.
+        left = alive & (100 * shared >= per_cent * size)
+        if (left == alive).all():
+            return alive
+        alive = left
 
 
 def exact_links(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
-    """A spanning set of all links between the sets: a pair already linked through others is not compared."""
-    n = len(sets)
+    """A spanning set of all links between the sets: a pair already linked through others is not compared.
+
+    Sets are told apart by exceptions: elements that most sets have and they lack, and rare ones that they have. For
+    two sets, common elements less those that either lacks, and with the exceptions that both have, make the shared."""
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    edges = np.concatenate([[0], np.cumsum(size)])
-    forest, labels, out = _Forest(n), np.arange(n), []
+    row = np.repeat(np.arange(len(sets)), size)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    some = np.flatnonzero(_peeled(row, element, size, per_cent))
+    if len(some) < 2:
+        return []
+    place = np.full(len(sets), -1)
+    place[some] = np.arange(len(some))
+    here = place[row] >= 0
+    row, element, size, n = place[row[here]], element[here], size[some], len(some)
+    count = np.bincount(element)
+    common = np.flatnonzero(2 * count > n)
+    which = np.full(len(count), -1)
+    which[common] = np.arange(len(common))
+    often = which[element] >= 0
+    lacking = len(common) - np.bincount(row[often], minlength=n)
+    rows, exceptions = [row[~often]], [element[~often]]
+    step = max(1, (1 << 24) // max(1, len(common)))
+    first = np.searchsorted(row, np.arange(n + 1))  # rows are in ascending order
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        has = np.zeros((b - a, len(common)), bool)
+        part = slice(first[a], first[b])
+        has[row[part][often[part]] - a, which[element[part][often[part]]]] = True
+        lack_row, lack = np.nonzero(~has)
+        rows.append(lack_row + a)
+        exceptions.append(common[lack])
+    rows, exceptions = np.concatenate(rows), np.concatenate(exceptions)
+    order = np.argsort(exceptions, kind="stable")
+    posting, start = rows[order], np.searchsorted(exceptions[order], np.arange(len(count) + 1))
+    order = np.argsort(rows, kind="stable")
+    own, own_start = exceptions[order], np.searchsorted(rows[order], np.arange(n + 1))
+
+    labels, out = np.arange(n), []
     for a in range(n - 1):
         rest = np.flatnonzero(labels[a + 1 :] != labels[a]) + a + 1
-        small, large = np.minimum(size[rest], size[a]), np.maximum(size[rest], size[a])
-        rest = rest[100 * small >= per_cent * large]
         if not len(rest):
             continue
-        if len(rest) * 3 > n - a:
-            at = np.searchsorted(sets[a], flat[edges[a + 1] :])
-            common = np.append(sets[a], sets[a][-1:])[at] == flat[edges[a + 1] :]
-            total = np.concatenate([[0], np.cumsum(common)])
-            shared = total[edges[rest + 1] - edges[a + 1]] - total[edges[rest] - edges[a + 1]]
-        else:
-            shared = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in rest.tolist()])
-        for b in rest[100 * shared >= per_cent * (size[rest] + size[a] - shared)].tolist():
-            if forest.join(a, b):
-                out.append((a, b))
-        labels = forest.roots()
+        mine = own[own_start[a] : own_start[a + 1]]
+        met = posting[expand(start[mine], start[mine + 1] - start[mine])]
+        both = np.bincount(met, minlength=n)[rest]
+        shared = len(common) - lacking[a] - lacking[rest] + both
+        near = rest[100 * shared >= per_cent * (size[rest] + size[a] - shared)]
+        if len(near):
+            # One link for each group that joins.
+            _, one = np.unique(labels[near], return_index=True)
+            out += [(int(some[a]), int(some[b])) for b in near[one].tolist()]
+            _joined(labels, near, labels[a])
     return out
 
 
@@ -226,116 +269,153 @@ def _ruled_out(threshold: float) -> float:
     return threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / SLOTS)
 
 
-def _children(level: int, threshold: float) -> F.Column:
-    """The nodes that a set (node, slots) goes on to: by one further slot of its node, by a second one for some nodes."""
-    first = F.pmod(F.xxhash64(F.col("node"), F.lit(level)), F.lit(SLOTS))
-    second = F.pmod(F.xxhash64(F.col("node"), F.lit(-level)), F.lit(SLOTS))
-    more = F.pmod(F.xxhash64(F.col("node"), F.lit(10_000 + level)), F.lit(1_000_000)) < int(1_000_000 * (1 / threshold - 1))
+def _children(level: int, steps: int, threshold: float) -> F.Column:
+    """The nodes that a set (node, slots) goes on to, some levels down: at each by one further slot of its node, by a
+    second one for some nodes."""
 
-    def child(slot: F.Column) -> F.Column:
-        return F.xxhash64("node", slot, F.element_at("slots", slot.cast("int") + 1))
+    def down(node: F.Column, at: int) -> F.Column:
+        first = F.pmod(F.xxhash64(node, F.lit(at)), F.lit(SLOTS))
+        second = F.pmod(F.xxhash64(node, F.lit(-at)), F.lit(SLOTS))
+        more = F.pmod(F.xxhash64(node, F.lit(10_000 + at)), F.lit(1_000_000)) < int(1_000_000 * (1 / threshold - 1))
 
-    return F.when(more & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
+        def child(slot: F.Column) -> F.Column:
+            return F.xxhash64(node, slot, F.element_at("slots", slot.cast("int") + 1))
 
+        return F.when(more & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
-def _crowded(nodes: DataFrame) -> DataFrame:
-    """(node, rep, n_shingles) of nodes with two sets at least, with their sizes n and total."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1")
-    return written(nodes.join(sizes, "node").select("node", "rep", "n_shingles", "n", "total"))
+    out = F.array("node")
+    for k in range(steps):
+        out = F.flatten(F.transform(out, lambda node, at=level + k: down(node, at)))
+    return out
 
 
-def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id", text: str = "text", limit: int = LIMIT, trees: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, rep), (links between reps: a, b): confirmed, and enough for the components."""
-    spark: SparkSession = df.sparkSession
+def links(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id", text: str = "text", limit: int = LIMIT, trees: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, n_shingles, rep), (classes: rep, first), (links between reps: a, b).
+
+    A rep numbers a class of equal sets, first is its smallest id. Links are confirmed, and enough for the components."""
     threshold = per_cent / 100
+    keys = ["n_shingles", "k1", "k2"]
     sketch = written(sketches(df, width, doc, text))
     full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # Rows with one id and different sets go by the set with the smallest key.
-    one = reps.groupBy("rep").agg(F.min(F.struct("n_shingles", "k1", "k2")).alias("key")).select("rep", "key.*")
-    known = full.select(F.col("doc_id").alias("rep"), "n_shingles", "k1", "k2", "slots").join(one, ["rep", "n_shingles", "k1", "k2"], "left_semi")
-    known = written(known.dropDuplicates(["rep"]))
-    rows = sketch.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-
+    classes = written(full.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.min_by("slots", "doc_id").alias("slots")).withColumn("rep", F.monotonically_increasing_id()))
+    rows = sketch.select("doc_id", *keys).join(classes.select("rep", *keys), keys, "left")
+    rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    several, rows = _shared_ids(rows)
+    known = classes.select("rep", F.lit(0).alias("number"), "n_shingles", "slots")
     count = trees_for(threshold) if trees is None else trees
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """Full sets of just the documents that estimates leave to compare."""
-        sized = written(ids.distinct().join(known.select("rep", F.col("n_shingles").alias("n")), "rep"))
-        return written(_full_sets(df, sized, width, doc, text).select("rep", "members", F.col("n").alias("size")))
-
-    def again(ids: DataFrame, number: int) -> DataFrame:
-        """known of just these, with the hash functions of another round."""
-        few = written(known.join(ids, "rep", "left_semi").drop("slots"))
-        ids = few.select(F.col("rep").alias("_rep"))
-        texts = df.select(F.col(f"`{doc}`").cast("long").alias("_rep"), F.col(f"`{text}`").alias("_text"))
-        texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_rep")
-        fresh = sketches(texts, width, "_rep", "_text", number).withColumnRenamed("doc_id", "rep")
-        return written(few.join(fresh, ["rep", "n_shingles", "k1", "k2"]).dropDuplicates(["rep"]))
-
-    edges, number, chance, some = [], 0, 1.0, known
+        """Full sets of these classes."""
+        wanted = written(classes.select("rep", "first", "k1", "k2").join(ids.distinct(), "rep"))
+        sets = _full_sets(df, wanted, width, doc, text)
+        # Rows that repeat an id and its text say the same.
+        return written(sets if several is None else sets.groupBy("rep").agg(F.first("members").alias("members"), F.first("size").alias("size")))
+
+    def again(ids: DataFrame, numbers: range) -> DataFrame:
+        """known of just these classes, with the hash functions of other rounds."""
+        wanted = written(classes.select("rep", "first", "k1", "k2", "n_shingles").join(ids, "rep"))
+        texts = _picked(df, wanted.select("rep", "first", "k1", "k2"), doc, text)
+        out = None
+        for number in numbers:
+            fresh = sketches(texts, width, "rep", "text", number).withColumnRenamed("doc_id", "rep")
+            part = wanted.join(fresh, ["rep", *keys]).dropDuplicates(["rep"]).select("rep", F.lit(number).alias("number"), "n_shingles", "slots")
+            out = part if out is None else out.unionByName(part)
+        return written(out)
+
+    edges, done, chance, some = [], 1, 1.0, known
     while True:
-        found, deep, depth = _round(some.select("rep", "n_shingles", "slots"), sets_of, per_cent, limit, count)
+        found, deep, depth = _round(some, sets_of, per_cent, limit, count)
         edges += found
-        chance *= missed(threshold, count, depth)
+        once = missed(threshold, count, depth)
+        chance *= once if done == 1 else once**extra
         # Pairs that no branching could part are found by one round.
-        if deep is None or chance <= MISS:
+        if deep is None or chance <= MISS or once >= 1:
             break
-        number += 1
-        some = again(deep, number)
+        extra = max(1, math.ceil(math.log(MISS / chance) / math.log(once)))
+        some = again(deep, range(done, done + extra))
+        done += extra
+    if several is not None:
+        edges.append(several)
     for part in edges[1:]:
         edges[0] = edges[0].unionByName(part)
-    return rows, written(edges[0].filter("a <> b").distinct())
+    return rows, classes.select("rep", "first"), written(edges[0].filter("a <> b").distinct())
+
+
+def _shared_ids(rows: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Links between the classes of one id (None: no id is repeated); rows, with empty ones in a class of their id."""
+    per_id = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n"))
+    more = written(per_id.filter("n > 1").drop("n"))
+    if more.isEmpty():
+        return None, rows
+    small = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
+    joined = rows.join(small, "doc_id", "left")
+    same = joined.filter("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    return written(same), joined.select("doc_id", "n_shingles", F.coalesce("rep", "least").alias("rep"))
 
 
 def _round(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, limit: int, count: int) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Links that one round of trees finds, the sets (rep) that have been in a branching node, and the branchings."""
-    starts = [F.xxhash64(F.lit(t), F.element_at("slots", t % SLOTS + 1)) for t in range(count)]
-    nodes = _crowded(known.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("node")))
-    small, edges, level, deep = [], [], 0, None
+    """Links that the trees of known (rep, number, n_shingles, slots) find, the sets (rep) that have been in a branching
+    node, and the branchings."""
+    starts = [F.xxhash64("number", F.lit(t), F.element_at("slots", t % SLOTS + 1)) for t in range(count)]
+    nodes = known.select("rep", "number", "n_shingles", F.explode(F.array(*starts)).alias("node"))
+    small, edges, level, deep, members = [], [], 0, None, None
     while True:
-        fits = (F.col("n") <= limit) & (F.col("total") <= LIMIT_SHINGLES)
-        small.append(nodes.filter(fits).select("node", "rep"))
-        large = nodes.filter(~fits)
-        if large.isEmpty():
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+        crowded = written(sizes.filter((F.col("n") > limit) | (F.col("total") > LIMIT_SHINGLES)).filter("n > 1"))
+        most = crowded.agg(F.count("*").alias("nodes"), F.max("n").alias("n"), F.max("total").alias("total")).first()
+        if not most.nodes:
+            small.append(nodes.select("node", "rep", "number"))
             break
+        # Only large nodes are looked up; there are at most rows / limit of them.
+        names = crowded.select("node")
+        names = F.broadcast(names) if most.nodes <= BROADCAST_IDS else names
+        small.append(written(nodes.join(names, "node", "left_anti").select("node", "rep", "number")))
+        large = written(nodes.join(names, "node", "left_semi"))
+        here = large.select("rep").distinct()
         if deep is None:
-            deep = large.select("rep").distinct()
-        level += 1
-        found, rest = _pivots(large, known, sets_of, per_cent, level)
+            deep = written(here)
+            members = sets_of(deep)
+        over = max(most.n / limit, most.total / LIMIT_SHINGLES)
+        steps = min(STEPS, max(1, math.ceil(math.log(over) / -math.log(per_cent / 100))))
+        found, rest = _pivots(large, known, members, per_cent, level + 1, steps)
+        level += steps
         edges.append(found)
-        nodes = _crowded(written(rest))
+        nodes = written(rest)
     for part in small[1:]:
         small[0] = small[0].unionByName(part)
     return [*edges, _exhaustive(small[0], known, sets_of, per_cent)], deep, level
 
 
-def _pivots(large: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int, level: int) -> tuple[DataFrame, DataFrame]:
+def _pivots(large: DataFrame, known: DataFrame, members: DataFrame, per_cent: int, level: int, steps: int) -> tuple[DataFrame, DataFrame]:
     """Links of the sets of large nodes to their node's pivot; the nodes that sets which may have others go on to."""
     far = 1 - per_cent / 100
-    pivots = large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", F.lit(level))).alias("pivot"))
-    with_pivot = large.select("node", "rep", "n_shingles").join(pivots, "node")
+    pivots = large.groupBy("node").agg(F.min_by(F.struct("rep", "number"), F.xxhash64("rep", F.lit(level))).alias("p"))
+    pivots = written(pivots.select("node", F.col("p.rep").alias("pivot"), F.col("p.number").alias("number")))
     # An estimate so low means a distance of more than 2 * far with near certainty: no need of the sets.
     least = min(0.3, 1 - 2 * far - 6 * math.sqrt(max(0.0, (1 - 2 * far) * 2 * far) / SLOTS))
-    mine = known.select("rep", "slots")
-    theirs = known.select(F.col("rep").alias("pivot"), F.col("slots").alias("pivot_slots"))
+    few = pivots.count() <= BROADCAST_IDS // 16
+    theirs = pivots.join(known.select(F.col("rep").alias("pivot"), "number", F.col("slots").alias("pivot_slots")), ["pivot", "number"]).drop("number")
+    theirs = F.broadcast(theirs) if few else theirs
     same = F.aggregate(F.zip_with("slots", "pivot_slots", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    guess = written(with_pivot.join(mine, "rep").join(theirs, "pivot").select("node", "rep", "n_shingles", "pivot", (same / SLOTS).alias("guess"), _children(level, per_cent / 100).alias("children")))
-    near = written(guess.filter(F.col("guess") > least).select("rep", "pivot").distinct())
-    members = sets_of(near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))))
-    sized = near.join(members, "rep").join(members.select(F.col("rep").alias("pivot"), F.col("members").alias("pivot_members"), F.col("size").alias("pivot_size")), "pivot")
+    seen = large.join(known.select("rep", "number", "slots"), ["rep", "number"]).join(theirs, "node")
+    guess = written(seen.select("node", "rep", "number", "n_shingles", "pivot", (same / SLOTS).alias("guess"), _children(level, steps, per_cent / 100).alias("children")))
+    near = guess.filter(F.col("guess") > least).select("rep", "pivot").distinct()
+    full = members.select(F.col("rep").alias("pivot"), F.col("members").alias("pivot_members"), F.col("size").alias("pivot_size"))
+    sized = near.join(members, "rep").join(full, "pivot")
     shared = F.size(F.array_intersect("members", "pivot_members"))
     exact = sized.select("rep", "pivot", shared.alias("shared"), (F.col("size") + F.col("pivot_size")).alias("both"))
     measured = written(
         guess.join(exact, ["rep", "pivot"], "left").select(
-            "node", "rep", "n_shingles", "pivot", "children",
+            "node", "rep", "number", "n_shingles", "pivot", "children",
             F.coalesce(1 - F.col("shared") / (F.col("both") - F.col("shared")), F.lit(2 * far)).alias("d"),
             F.coalesce(100 * F.col("shared") >= per_cent * (F.col("both") - F.col("shared")), F.lit(False)).alias("linked"),
         )
     )
     nearest = measured.groupBy("node").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"))
+    nearest = F.broadcast(nearest) if few else nearest
     needed = ~F.col("linked") | (F.col("d") >= F.col("nearest") - far - 1e-9)
-    rest = measured.join(nearest, "node").filter((F.col("rep") != F.col("pivot")) & needed).select(F.explode("children").alias("node"), "rep", "n_shingles").distinct()
+    rest = measured.join(nearest, "node").filter((F.col("rep") != F.col("pivot")) & needed)
+    rest = rest.select(F.explode("children").alias("node"), "rep", "number", "n_shingles").distinct()
     return measured.filter("linked").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), rest
 
 
@@ -352,7 +432,7 @@ def _exhaustive(small: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame
                 slots = flat.field("slots").flatten().to_numpy().reshape(len(rep), SLOTS)
                 order = np.argsort(rep)
                 for found in likely_groups(slots[order], least):
-                    some = rep[order][found]
+                    some = np.sort(rep[order][found])
                     key.append(int(mixed(stream(len(some), 5) * mixed(some.astype(np.uint64))).sum(dtype=np.uint64).astype(np.int64)))
                     reps.append(some.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(reps, pa.list_(pa.int64()))], names=["key", "reps"])
@@ -369,8 +449,10 @@ def _exhaustive(small: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame
                     b.append(max(int(rep[x]), int(rep[y])))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    # Nodes hold at most `limit` sets, so the lists are bounded.
-    listed = small.join(known.select("rep", "slots"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "slots")).alias("sets"))
+    # Nodes hold at most `limit` sets, so the lists are bounded; most nodes have one set, which needs no slots.
+    named = small.groupBy("node").agg(F.collect_list(F.struct("rep", "number")).alias("sets")).filter(F.size("sets") > 1)
+    each = named.select("node", F.explode("sets").alias("s")).select("node", "s.*")
+    listed = each.join(known.select("rep", "number", "slots"), ["rep", "number"]).groupBy("node").agg(F.collect_list(F.struct("rep", "slots")).alias("sets"))
     groups = listed.select("sets").mapInArrow(guessed, "key long, reps array<long>").groupBy("key").agg(F.first("reps").alias("reps"))
     groups = written(groups)
     members = sets_of(groups.select(F.explode("reps").alias("rep")))
@@ -398,7 +480,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, per_cent: int = 85, width: int = 5, doc: str = "doc_id", text: str = "text", limit: int = LIMIT, trees: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (the smallest of its component)."""
-    rows, edges = links(df, per_cent, width, doc, text, limit, trees)
-    out = rows.join(components(edges), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    rows, classes, edges = links(df, per_cent, width, doc, text, limit, trees)
+    named = components(edges).join(classes, "rep")
+    least = named.groupBy("component").agg(F.min("first").alias("linked"))
+    # A class without links is a component of its own.
+    linked = named.select("rep", "component").join(least, "component").select("rep", "linked")
+    out = rows.join(classes, "rep", "left").join(linked, "rep", "left")
+    component = F.coalesce("linked", "first", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

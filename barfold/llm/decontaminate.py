@@ -217,11 +217,22 @@ def _pass(df: DataFrame, items: list[tuple[str, str]], width: int, text: str, ea
     return with_columns(df, FIELDS, kernel, text)
 
 
-def search(df: DataFrame, items: DataFrame, width: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Append n_words, hit_spans (runs of hit words: begin, end) and hit_items (ids as strings, sorted) to documents."""
-    known = items.select(F.col(f"`{item}`").cast("string").alias("name"), F.col(f"`{item_text}`").alias("words")).dropna()
+def _blocks(known: DataFrame, block_bytes: int) -> int:
+    """Number of blocks by hash of which none is much larger than asked for, unless by a single item."""
     size = known.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    while blocks > 1:
+        each = known.groupBy(F.pmod(F.xxhash64("name", "words"), F.lit(blocks)).alias("b")).agg(F.sum(F.octet_length("words")).alias("size"), F.count("*").alias("n"))
+        if (each.filter("n > 1").agg(F.max("size")).first()[0] or 0) <= 2 * block_bytes:
+            break
+        blocks *= 2
+    return blocks
+
+
+def search(df: DataFrame, items: DataFrame, width: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Append n_words, hit_spans (runs of hit words: begin, end) and hit_items (ids as strings, sorted) to documents."""
+    known = items.select(F.col(f"`{item}`").cast("string").alias("name"), F.col(f"`{item_text}`").alias("words")).dropna().distinct()
+    blocks = _blocks(known, block_bytes)
     out = df
     for b in range(blocks):
         some = known.filter(F.pmod(F.xxhash64("name", "words"), F.lit(blocks)) == b) if blocks > 1 else known

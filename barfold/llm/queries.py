@@ -170,12 +170,19 @@ def op4_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _templates_sql() -> str:
-    """The same tree, one set of tables for each level."""
+    """The same tree, one set of tables for each level, down to ten segments."""
     fits = []
     for r in sorted(RULES, key=lambda r: (-len(r.name), r.allow)):
         fits.append(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'")
     allowed = ", ".join(f"'{r.name}'" for r in RULES if r.allow)
-    d = url_tree.DEPTH
+    d = 10
+
+    def unlike(x: str, n: str, whole: str, total: str) -> str:
+        share = f"({whole}::DOUBLE / {total})"
+        up = f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ({n} * {share})) ELSE 0 END"
+        down = f"CASE WHEN {n} > {x} THEN ({n} - {x}) * ln(({n} - {x}) / ({n} * (1 - {share}))) ELSE 0 END"
+        return f"coalesce({up} + {down} > ln(2 * vals / {url_tree.LEVEL}), false)"
+
     parts = [
         f"""r AS (
   SELECT page_id, {lowered("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
@@ -185,25 +192,22 @@ def _templates_sql() -> str:
 ), p AS (
   SELECT host, path, count(*) AS n, count(rule) AS m, count(*) FILTER (WHERE rule NOT IN ({allowed})) AS bad,
     string_split(path, '/') AS seg FROM q GROUP BY host, path
-), t0 AS (
+), t0 AS MATERIALIZED (
   SELECT host, path, n, m, bad, '' AS template,
-    CASE WHEN len(seg) > {d + 1} THEN list_append(seg[1:{d + 1}], array_to_string(seg[{d + 2}:], '/')) ELSE seg END AS seg FROM p
+    seg FROM p
 )"""
     ]
     sums = "sum(n) AS n, sum(m) AS m, sum(bad) AS bad"
-    for k in range(1, d + 2):
+    for k in range(1, d + 1):
         parts.append(
             f"""b{k} AS (
   SELECT host, template, seg[{k + 1}] AS s, {sums} FROM t{k - 1} WHERE len(seg) > {k} GROUP BY ALL
 ), a{k} AS (
   SELECT host, template, count(*) AS vals, sum(n) AS an, sum(m) AS am, sum(bad) AS ab FROM b{k} GROUP BY ALL
 ), s{k} AS (
-  SELECT host, template, s, CASE WHEN (vals >= {url_tree.MANY_VALUES} AND n < {url_tree.RARE_SHARE}::DOUBLE * an) OR NOT (
-      (n > 0 AND abs(m / n - am / an) > {url_tree.CONFIDENT}::DOUBLE * sqrt((am / an) * (1 - am / an) / n))
-      OR (m > 0 AND abs(bad / m - ab / am) > {url_tree.CONFIDENT}::DOUBLE * sqrt((ab / am) * (1 - ab / am) / m))
-    ) THEN '*' ELSE s END AS shown
+  SELECT host, template, s, CASE WHEN {unlike("m", "n", "am", "an")} OR {unlike("bad", "m", "ab", "am")} THEN s ELSE '*' END AS shown
   FROM b{k} JOIN a{k} USING (host, template)
-), t{k} AS (
+), t{k} AS MATERIALIZED (
   SELECT t.host, path, n, m, bad, CASE WHEN len(seg) > {k} THEN t.template || '/' || shown ELSE t.template END AS template, seg
   FROM t{k - 1} t LEFT JOIN s{k} s ON t.host = s.host AND t.template = s.template AND t.seg[{k + 1}] = s.s
 )"""
@@ -213,13 +217,13 @@ WITH {", ".join(parts)}, o AS (
   SELECT coalesce(sum(bad) / sum(m), 0) AS share FROM p
 ), j AS (
   SELECT host, template, sum(m) AS m, (sum(bad) + {url_tree.PRIOR_WEIGHT}::DOUBLE * any_value(share)) / (sum(m) + {url_tree.PRIOR_WEIGHT}) AS purity
-  FROM t{d + 1}, o GROUP BY ALL
+  FROM t{d}, o GROUP BY ALL
 )
 SELECT page_id, q.host, q.path, rule,
   CASE WHEN rule IN ({allowed}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN j.m >= {url_tree.LEAST_LABELS} AND purity >= {url_tree.REJECT_AT} THEN 'block' ELSE 'allow' END AS verdict,
   j.template, round(purity, 6) AS purity
-FROM q JOIN t{d + 1} t ON q.host = t.host AND q.path = t.path JOIN j ON j.host = t.host AND j.template = t.template
+FROM q JOIN t{d} t ON q.host = t.host AND q.path = t.path JOIN j ON j.host = t.host AND j.template = t.template
 """
 
 

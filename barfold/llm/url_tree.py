@@ -1,14 +1,20 @@
 """URL filters: rules by host and path, and for the rest a path-template tree for each host.
 
-Each host's paths form a tree of segments. Level by level from the root, a segment becomes the wildcard * if its value
-is one of many (a small share of its parent's pages), or if its branch is statistically like its parent: neither its
-share of labelled pages nor its share of bad ones among them differs beyond CONFIDENT standard errors. Pages that share
-host and template are judged together: a template is rejected if its share of bad among labelled pages, smoothed towards
-the share over all pages, is at least REJECT_AT, and it has enough labels. Labels are those that the rules give, or a
-table of labelled pages. Built-in functions only.
-
-Pages are summed up by host and path before anything else, and each level joins sums with sums, so a hot host or path is
-one row or spread over its segments. Templates describe the first DEPTH segments; what lies deeper is one more segment.
+Each host's paths form a tree of segments. Level by level from the root, a segment becomes the wildcard * if its branch
+is statistically like its parent: neither its share of labelled pages nor its share of bad ones among them is less likely
+than LEVEL, shared out over the branches (by Chernoff's bound of binomial tails, which holds for single pages, too).
+Branches that differ keep their names, however rare they are, so a bad section is neither diluted by others nor does it
+spoil them. Pages that share host and template are judged together: a template is rejected
+if its share of bad among labelled pages, smoothed towards the share over all pages, is at least REJECT_AT, and it has
+enough labels. Labels are those that the rules give, or a table of labelled pages. Built-in functions only.
+
+The tree goes as deep as there is anything to tell apart. A template whose paths are all labelled alike, or none, or that
+is a single path, can't split any more: all its further segments are wildcards, which is settled at once, so long paths
+cost no levels of their own.
+
+Pages are summed up by host and path before anything else, and each level joins sums with sums: parents are few and
+broadcast after a count, and the join of paths with their branches has a unique side, so a hot host is spread over its
+segments and a hot segment can be split.
 
 Defined cases: a null url, or one without ://, has empty host and path and falls under no rule; an empty path is a
 template of its own; repeated rows are rows of their own; pages without labels are judged by the rules alone; an empty
@@ -24,10 +30,10 @@ from pyspark.sql import functions as F
 
 from barfold.llm.shared import written
 
-DEPTH = 4
-#: A segment with less than this share of its parent's pages, among at least so many values, is variable.
-RARE_SHARE, MANY_VALUES = 0.1, 10
-CONFIDENT = 1.96
+#: Chance to take any branch of a parent for unlike it where all are alike.
+LEVEL = 0.05
+#: Up to this many parents of a level are broadcast; more are joined by a shuffle.
+BROADCAST_PARENTS = 200_000
 #: Labels in favour of the overall share, least labels, and the share of bad from which on a template is rejected.
 PRIOR_WEIGHT, LEAST_LABELS, REJECT_AT = 5.0, 5, 0.8
 #: Rules are part of the plan, so their number is bounded.
@@ -67,32 +73,57 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _unlike(part: Column, part_n: Column, whole: Column, whole_n: Column) -> Column:
-    """Does a branch's share differ from its parent's beyond chance?"""
-    share = F.when(whole_n > 0, whole / whole_n).otherwise(0.0)
-    error = F.sqrt(share * (1 - share) / F.greatest(part_n, F.lit(1)))
-    return (part_n > 0) & (F.abs(part / F.greatest(part_n, F.lit(1)) - share) > CONFIDENT * error)
+def _unlike(part: Column, part_n: Column, whole: Column, whole_n: Column, values: Column) -> Column:
+    """Does a branch's share differ from its parent's beyond chance, as one of so many branches?"""
+
+    def term(x: Column, share: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / (part_n * share))).otherwise(0.0)
+
+    share = F.try_divide(whole, whole_n)
+    divergence = term(part, share) + term(part_n - part, 1 - share)
+    return F.coalesce(divergence > F.ln(2 * values / LEVEL), F.lit(False))
+
+
+_SUMS = ("n", "m", "bad")
+
+
+def _settled(n: Column, m: Column, bad: Column, paths: Column) -> Column:
+    """Can no branch of these pages differ from the others?"""
+    return (paths == 1) | (m == 0) | ((m == n) & ((bad == 0) | (bad == m)))
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, n, m, bad) summed by host and path -> with template: segments generalised level by level."""
-    # Segments 1 to DEPTH, then the rest of the path as one.
-    segments = F.split(F.col("path"), "/", DEPTH + 2)
-    now = written(paths.withColumns({"segments": segments, "template": F.lit("")}))
-    for level in range(1, DEPTH + 2):
-        segment = F.when(F.size("segments") > level, F.element_at("segments", level + 1))
-        now = now.withColumn("segment", segment)
-        some = now.filter(F.col("segment").isNotNull())
-        branches = some.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "m", "bad")])
-        parents = branches.groupBy("host", "template").agg(F.count("*").alias("values"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "m", "bad")])
-        rare = (F.col("values") >= MANY_VALUES) & (F.col("n") < RARE_SHARE * F.col("all_n"))
-        unlike = _unlike(F.col("m"), F.col("n"), F.col("all_m"), F.col("all_n")) | _unlike(F.col("bad"), F.col("m"), F.col("all_bad"), F.col("all_m"))
-        shown = F.when(rare | ~unlike, F.lit("*")).otherwise(F.col("segment"))
-        named = branches.join(parents, ["host", "template"]).select("host", "template", "segment", shown.alias("shown"))
-        joined = now.join(named, ["host", "template", "segment"], "left")
-        longer = F.when(F.col("segment").isNotNull(), F.concat("template", F.lit("/"), "shown")).otherwise(F.col("template"))
-        now = written(joined.select("host", "path", "n", "m", "bad", "segments", longer.alias("template")))
-    return now.drop("segments")
+    now = written(paths.withColumns({"segments": F.split(F.col("path"), "/"), "template": F.lit("")}))
+    done, level = [], 1
+    while True:
+        parents = now.groupBy("host", "template").agg(F.count("*").alias("paths"), *[F.sum(c).alias(f"all_{c}") for c in _SUMS])
+        parents = written(parents.withColumn("settled", _settled(*[F.col(f"all_{c}") for c in _SUMS], F.col("paths"))))
+        if parents.count() <= BROADCAST_PARENTS:
+            parents = F.broadcast(parents)
+        # Whatever follows in these paths is like its parent.
+        stars = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))
+        known = now.join(parents, ["host", "template"])
+        ends = F.col("settled") | (F.size("segments") <= level)
+        done.append(written(known.filter(ends).select("host", "path", *_SUMS, F.concat("template", stars).alias("template"))))
+        some = written(known.filter(~ends).withColumn("segment", F.element_at("segments", level + 1)).select("host", "path", *_SUMS, "segments", "template", "segment"))
+        if some.isEmpty():
+            break
+        branches = some.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        # Shares are those of the branches that go on, as paths that end here have no segment to compare.
+        going = written(branches.groupBy("host", "template").agg(F.count("*").alias("values"), *[F.sum(c).alias(f"all_{c}") for c in _SUMS]))
+        if going.count() <= BROADCAST_PARENTS:
+            going = F.broadcast(going)
+        whole = branches.join(going, ["host", "template"])
+        labelled = _unlike(F.col("m"), F.col("n"), F.col("all_m"), F.col("all_n"), F.col("values"))
+        unlike = labelled | _unlike(F.col("bad"), F.col("m"), F.col("all_bad"), F.col("all_m"), F.col("values"))
+        named = whole.select("host", "template", "segment", F.when(unlike, F.col("segment")).otherwise(F.lit("*")).alias("shown"))
+        longer = F.concat("template", F.lit("/"), "shown").alias("template")
+        now = written(some.join(named, ["host", "template", "segment"]).select("host", "path", *_SUMS, "segments", longer))
+        level += 1
+    for part in done[1:]:
+        done[0] = done[0].unionByName(part)
+    return done[0]
 
 
 def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, page: str = "page_id", url: str = "url") -> DataFrame:

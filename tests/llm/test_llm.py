@@ -134,6 +134,26 @@ def test_token_files(spark, docs, nothing, monkeypatch):
 # Decontamination
 
 
+ENDS = "<|endoftext|>"
+
+
+def test_token_files_know_added_tokens(spark):
+    """As the library has it: in the middle, at the ends, doubled, cut short, in rows beside others."""
+    from tokenizers import Tokenizer
+
+    texts = ["hello " + ENDS + " world", ENDS, ENDS + ENDS, " " + ENDS + "\n", ENDS + "a", "a" + ENDS, "<|endoftext", "|>" + ENDS[:-1], ENDS[1:], "plain", "", None, "x " * 3000 + ENDS + " é" * 50]
+    library, folder = Tokenizer.from_file(JSON), new_folder(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenfile.write(df, folder, JSON, end_id=2)
+    rows = tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("raw").alias("crc")).orderBy("doc_id").collect()
+    start = 0
+    for r, text in zip(rows, texts, strict=True):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.crc) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        start += len(ids)
+    assert library.encode(ENDS, add_special_tokens=False).ids == [50256]
+
+
 def brute_contamination(text, items, width=10):
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = re.findall(word, lower(text))
@@ -165,6 +185,17 @@ def test_wu_manber_equals_brute_force(spark, docs, nothing, block):
     assert all(not r.hit_items for r in decontaminate.search(df, bench.limit(0)).collect())
 
 
+def test_benchmark_blocks_are_bounded(spark):
+    """A row repeated many times is one; blocks by hash are made smaller until they fit."""
+    rows = [(k % 30, "w%d " % (k % 30) * 40) for k in range(3000)]
+    known = spark.createDataFrame(rows, "name string, words string").distinct()
+    blocks = decontaminate._blocks(known, 400)
+    sizes = collections.Counter()
+    for r in known.withColumn("b", F.pmod(F.xxhash64("name", "words"), F.lit(blocks))).collect():
+        sizes[r.b] += len(r.words)
+    assert max(sizes.values()) <= 800 and decontaminate._blocks(known, 10**6) == 1
+
+
 # Near-dedup
 
 
@@ -247,6 +278,59 @@ def test_missed_pairs_are_few_at_any_depth():
         assert 1 - hits / n == pytest.approx(chosen_path.missed(0.85, trees, depth), rel=0.3, abs=0.004)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_links_connect_like_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = []
+    for _ in range(120):
+        some = base.copy()
+        at = rng.choice(60, rng.integers(0, 9), replace=False)
+        some[at] = rng.integers(0, 10**6 if seed % 2 else 400, len(at))
+        sets.append(np.unique(some[: rng.integers(40, 61)]).astype(np.uint64))
+    sets += [np.unique(rng.integers(0, 10**6, 50)).astype(np.uint64) for _ in range(5)]
+    labels = np.arange(len(sets))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                labels[labels == labels[b]] = labels[a]
+    got = np.arange(len(sets))
+    for a, b in chosen_path.exact_links(sets, 85):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+        got[got == got[b]] = got[a]
+    first = lambda x: [int(np.flatnonzero(x == v)[0]) for v in x]
+    assert first(got) == first(labels)
+    assert len(set(labels)) < len(sets)
+
+
+def test_ids_with_several_texts_join_all_their_groups(spark):
+    """Id 5 has two texts; 8 is a near copy of the one, 9 of the other; 7 and 5 again are empty."""
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(5, word("a", 80)), (5, word("b", 80)), (8, word("a", 81)), (9, word("b", 82)), (5, ""), (7, ""), (11, word("c", 60)), (12, word("c", 61)), (11, word("c", 60)), (None, word("a", 80))]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 7, True), (8, 5, False), (9, 5, False), (11, 11, True), (11, 11, True), (12, 11, False)]
+
+
+def test_a_template_group_below_the_threshold_stays_in_its_tasks(spark):
+    """Copies of one template with three other words each: similar, mostly not linked, and no deep tree."""
+    rng = random.Random(8)
+    template = ["t%d" % k for k in range(150)]
+    rows = []
+    for k in range(300):
+        words = list(template)
+        for at in rng.sample(range(150), 3):
+            words[at] = "r%d" % rng.randrange(3000)
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join("o%d" % rng.randrange(500) for _ in range(60))) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for limit in (chosen_path.LIMIT, 60):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.near_duplicates(df, limit=limit).collect()}
+        assert got == want
+
+
 def test_near_duplicates_of_odd_tables(spark, nothing):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A b\nc"), (3, None)]
     out = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -284,6 +368,85 @@ def test_templates_reject_by_label(spark):
     assert {r.template for r in out if r.verdict == "block"} and all(r.template.startswith("/ads/*") for r in out if r.verdict == "block")
 
 
+def brute_templates(pages, labels):
+    """Templates level by level, and which pages are blocked, for pages (id, host, path) and labels by id."""
+    now = {p: (host, path.split("/"), "") for p, host, path in pages}
+    level = 1
+    while any(len(s) > level for _, s, _ in now.values()):
+        groups = collections.defaultdict(list)
+        for p, (host, s, t) in now.items():
+            if len(s) > level:
+                groups[host, t].append(p)
+        for (_, t), mine in groups.items():
+            def sums(some):
+                told = [labels[p] for p in some if p in labels]
+                return len(some), len(told), sum(told)
+
+            n, m, bad = sums(mine)
+
+            values = collections.defaultdict(list)
+            for p in mine:
+                values[now[p][1][level]].append(p)
+
+            def unlike(part, size, whole, total, number=len(values)):
+                share = whole / total if total else 0.0
+                tail = sum(x * math.log(x / (size * y)) for x, y in ((part, share), (size - part, 1 - share)) if x)
+                return tail > math.log(2 * number / url_tree.LEVEL)
+
+            for value, some in values.items():
+                pn, pm, pb = sums(some)
+                shown = value if unlike(pm, pn, m, n) or unlike(pb, pm, bad, m) else "*"
+                for p in some:
+                    now[p] = (*now[p][:2], t + "/" + shown)
+        level += 1
+    told = collections.defaultdict(list)
+    for p, (host, _, t) in now.items():
+        told[host, t] += [labels[p]] if p in labels else []
+    overall = sum(labels.values()) / len(labels) if labels else 0.0
+    out = {}
+    for p, (host, _, t) in now.items():
+        mine = told[host, t]
+        purity = (sum(mine) + url_tree.PRIOR_WEIGHT * overall) / (len(mine) + url_tree.PRIOR_WEIGHT)
+        out[p] = (t, "block" if len(mine) >= url_tree.LEAST_LABELS and purity >= url_tree.REJECT_AT else "allow")
+    return out
+
+
+def judged(spark, pages, labels):
+    df = spark.createDataFrame([(p, f"http://{host}{path}") for p, host, path in pages], "page_id long, url string")
+    marks = spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")
+    return {r.page_id: (r.template, r.verdict) for r in url_tree.judge(df, [], marks).collect()}
+
+
+@pytest.mark.parametrize("share", [1, 7])
+def test_one_bad_section_of_twenty(spark, share):
+    """It is blocked, and no page of the other nineteen, with all pages labelled or some."""
+    pages = [(k, "h.com", f"/s{k % 20}/{k}/x") for k in range(4000)]
+    labels = {k: k % 20 == 3 for k in range(4000) if (k // 20) % share == 0}
+    got = judged(spark, pages, labels)
+    assert {k for k, (_, v) in got.items() if v == "block"} == {k for k in range(4000) if k % 20 == 3}
+    assert got == brute_templates(pages, labels)
+
+
+def test_sections_deep_in_the_path(spark):
+    """The sixth segment tells; paths of other lengths, one of three hundred segments, and a host that is all alike."""
+    pages = [(k, "h.com", f"/a/b/c/d/e/{'ads' if k % 2 else 'news'}/{k}") for k in range(400)]
+    pages += [(1000 + k, "h.com", "/a/b" * (k + 1)) for k in range(5)] + [(2000, "h.com", "/q" * 300), (2001, "h.com", "")]
+    pages += [(3000 + k, "flat.org", f"/x/{k}/{k % 3}") for k in range(30)]
+    labels = {k: bool(k % 2) for k in range(0, 400)} | {3000 + k: True for k in range(30)} | {2000: False}
+    got = judged(spark, pages, labels)
+    assert all((got[k][1] == "block") == bool(k % 2) for k in range(400))
+    assert all(got[3000 + k] == (got[3000][0], "block") for k in range(30))
+    assert got == brute_templates(pages, labels)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pages = [(k, rng.choice(["a.com", "b.com"]), "/" + "/".join(str(rng.randint(0, 4)) for _ in range(rng.randint(0, 5)))) for k in range(500)]
+    labels = {k: rng.random() < (0.9 if "/3" in path else 0.2) for k, _, path in pages if rng.random() < 0.6}
+    assert judged(spark, pages, labels) == brute_templates(pages, labels)
+
+
 # Sharding
 
 
