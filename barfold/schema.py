@@ -42,7 +42,7 @@ BOUNDARIES = (
 STATUS = (
     "asset string, model string, seed long, status string, started_at string,"
     " finished_at string, error string, n_folds_oos long, n_folds_insample long,"
-    " n_rows_oos long, n_rows_insample long"
+    " n_rows_oos long, n_rows_insample long, gen string, at long"
 )
 META = "asset string, model string, seed long, meta string"
 CONFIG = "name string, payload string"

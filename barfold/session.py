@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def require_utc(spark: SparkSession) -> None:
@@ -54,3 +55,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="barfold-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and still there when an
+    executor is lost."""
+    path = f"{checkpoint_root(df.sparkSession)}/barfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

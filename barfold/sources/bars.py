@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +42,66 @@ def asset_of_file() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
 
 
+#: Most different headers in one read: each is a scan of its own in the plan.
+MOST_HEADERS = 200
+
+
+def file_headers(spark: SparkSession, paths: Sequence[str], **csv_options) -> dict[tuple[str, ...], list[str]]:
+    """The different headers of CSV files, each with the files that have it.
+
+    The files' first lines are found on the executors; headers and file names reach
+    the driver, as they do when Spark lists the files. Files without a line are left out.
+    """
+    text_options = {k: v for k, v in csv_options.items() if k in ("encoding", "lineSep", "pathGlobFilter", "recursiveFileLookup")}
+    lines = spark.read.options(**text_options).text(list(paths))
+    # The metadata have escaped names.
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    first = lines.select(
+        name.alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"), "value",
+    ).filter((F.col("at") == 0) & (F.trim("value") != ""))
+    found = first.groupBy("path").agg(F.min_by("value", "row").alias("head"))
+    sep, quote = csv_options.get("sep", csv_options.get("delimiter", ",")), csv_options.get("quote", '"')
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in found.orderBy("path").collect():
+        head = next(csv.reader([r.head.lstrip("\ufeff")], delimiter=sep, quotechar=quote))
+        out.setdefault(tuple(head), []).append(r.path)
+    return out
+
+
+def _by_name(
+    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], asset_from: str, options: dict
+) -> tuple[DataFrame, list[str]]:
+    """``asset`` and the columns of ``types`` that any file has, found by header name;
+    NULL where a file lacks one."""
+    groups = file_headers(spark, paths, **options)
+    if len(groups) > MOST_HEADERS:
+        raise ValueError(f"{len(groups)} different headers; at most {MOST_HEADERS} can be read at once")
+    have = [c for c in types if any(c in head for head in groups)]
+    out = None
+    for head, files in groups.items():
+        # Every file of a group has its fields in this order; a repeated name counts once.
+        fields = [
+            T.StructField(c if c in types and c not in head[:n] else f"_unused{n}", types.get(c, T.StringType()) if c not in head[:n] else T.StringType())
+            for n, c in enumerate(head)
+        ]
+        reader = spark.read.options(**options)
+        if asset_from == "folder":
+            reader = reader.option("basePath", paths[0])
+            # Partition values are text: 0700 and 1e3 are names, not numbers.
+            fields.append(T.StructField("asset", T.StringType()))
+        source = list(paths) if len(groups) == 1 else [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in files]
+        raw = reader.schema(T.StructType(fields)).csv(source)
+        asset = asset_of_file() if asset_from == "file" else F.col("asset")
+        columns = [F.col(c) if c in head else F.lit(None).cast(types[c]).alias(c) for c in have]
+        part = raw.select(asset.alias("asset"), *columns)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([T.StructField("asset", T.StringType()), *[T.StructField(c, t) for c, t in types.items()]]))
+        have = list(types)
+    return out, have
+
+
 def read_bars(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -56,11 +118,15 @@ def read_bars(
 ) -> Panel:
     """Bars out of header CSV files; explicit options beat the preset.
 
-    The asset is the file's name (``asset_from="file"``) or, for folders such as
+    Columns go by header name, file by file: their order is free, columns that nobody
+    asks for are skipped, and one that only some files have is NULL in the others. Asked
+    for are those of ``schema`` and any named as feature, label, price or in ``use_cols``
+    (read as doubles when ``schema`` does not have them); one that no file has is left out.
+
+    The asset is the file's name (``asset_from="file"``) or, for a folder such as
     ``export_csv`` writes, the partition ``asset=`` (``"folder"``).
 
-    ``use_cols`` keeps the time column and the named ones in the given order;
-    names the files do not have are skipped.
+    ``use_cols`` keeps the time column and the named ones in the given order.
     """
     require_utc(spark)
     if preset is not None and preset not in PRESETS:
@@ -72,19 +138,20 @@ def read_bars(
     use_cols = base.get("use_cols") if use_cols is None else use_cols
 
     paths = [path] if isinstance(path, str) else list(path)
-    # Fields are matched by header name, so files may order or add columns freely.
-    options = {"header": "true", "nanValue": "nan", "enforceSchema": "false"} | csv_options
-    raw = spark.read.options(**options).schema(schema).csv(paths)
-    columns = list(schema.fieldNames())
-    if time_col not in columns:
-        raise ValueError(f"time column {time_col!r} not found in the schema")
+    named = [*features, *(labels or ()), *ohlcv.values(), *(use_cols or ())]
+    types = {f.name: f.dataType for f in schema} | {
+        c: T.DoubleType() for c in named if c not in schema.fieldNames()
+    }
+    types = {time_col: types.get(time_col, T.StringType())} | types
     if use_cols is not None:
-        columns = [c for c in dict.fromkeys([time_col, *use_cols]) if c in columns]
-    asset = asset_of_file() if asset_from == "file" else F.col("asset").cast("string")
-    table = raw.select(asset.alias("asset"), *columns)
+        types = {c: types[c] for c in dict.fromkeys([time_col, *use_cols])}
+    options = {"header": "true", "nanValue": "nan"} | csv_options
+    table, columns = _by_name(spark, paths, types, asset_from, options)
+    if time_col not in columns:
+        raise ValueError(f"time column {time_col!r} not found in the files")
     timed = normalize_time(table, time_col, "time")
     values = [c for c in columns if c != time_col]
-    doubles = [c for c in values if isinstance(schema[c].dataType, T.DoubleType)]
+    doubles = [c for c in values if isinstance(types[c], T.DoubleType)]
     clean = timed.select(
         "asset",
         "time",

@@ -1,25 +1,30 @@
 """The forecast store: partitioned tables of forecasts, folds and run state.
 
-    <root>/forecasts   asset=/model=/seed=/split=
-    <root>/folds       asset=/model=/seed=
-    <root>/meta        asset=/model=/seed=
-    <root>/status      asset=/model=/seed=
+    <root>/forecasts   gen=/asset=/model=/seed=/split=
+    <root>/folds       gen=/asset=/model=/seed=
+    <root>/meta        gen=/asset=/model=/seed=
+    <root>/status      one small file for each change of state
     <root>/config      name=
 
-Many runs (asset, model, seed) are written and checked in one job each.
-Partitions of a run are replaced as a whole, so a repeated or retried run
-leaves no mix, and ``status`` is written last: only runs that are ``complete``
-there are read.
+Many runs (asset, model, seed) are written and checked in one job each. Every
+``begin`` opens a new generation; nothing of an earlier one is touched. What a
+run stores goes to its open generation, whose partitions are replaced as a
+whole, so a retried step leaves no mix. ``status`` is a journal: the row that
+says ``complete`` names the generation, and writing it is the one step that
+switches readers over. A writer that dies anywhere leaves the last committed
+generation to be read. ``clean`` removes generations that nobody can read.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barfold import schema
@@ -76,14 +81,72 @@ class ForecastStore:
             df = df.filter(F.col(name).isin(sorted({r[n] for r in runs})))
         return df.join(self._runs(runs), RUN_KEYS, "left_semi")
 
+    # -- generations -------------------------------------------------------------
+
+    def _journal(self) -> DataFrame:
+        return self._read("status", schema.STATUS)
+
+    def _generations(self, runs: Sequence[Run], *, committed: bool) -> dict[Run, str]:
+        """Of each run the generation last committed, or last begun; runs without one are left out."""
+        rows = self._of_runs(self._journal(), runs)
+        if committed:
+            rows = rows.filter(F.col("status") == "complete")
+        last = rows.groupBy(*RUN_KEYS).agg(F.max_by("gen", "at").alias("gen")).collect()
+        return {(r.asset, r.model, int(r.seed)): r.gen for r in last}
+
+    def _stored(self, table: str, ddl: str, runs: Sequence[Run], *, committed: bool = False) -> DataFrame:
+        """Rows of the runs' open generations, or of their committed ones."""
+        gens = self._generations(runs, committed=committed)
+        rows = [(*run, gen) for run, gen in gens.items()]
+        known = self.spark.createDataFrame(rows, "asset string, model string, seed long, gen string")
+        kept = self._of_runs(self._read(table, f"gen string, {ddl}"), runs)
+        kept = kept.filter(F.col("gen").isin(sorted(set(gens.values()))))
+        return kept.join(known, [*RUN_KEYS, "gen"], "left_semi").drop("gen")
+
+    def _write(self, df: DataFrame, table: str, parts: Sequence[str], *spread: Column) -> None:
+        """Replace the partitions of ``df`` in the open generations of its runs.
+
+        ``spread`` deals the rows of a large run to several tasks.
+        """
+        opened = self._journal().groupBy(*RUN_KEYS).agg(F.max_by("gen", "at").alias("gen"))
+        joined = df.join(opened, RUN_KEYS, "left")
+        name = F.concat_ws(" / ", *[F.col(k).cast("string") for k in RUN_KEYS])
+        gen = F.coalesce("gen", F.raise_error(F.concat(F.lit("run was not begun: "), name)).cast("string"))
+        out = joined.withColumn("gen", gen).repartition("gen", *parts, *spread)
+        self._replace(out, table, ["gen", *parts])
+
+    def clean(self) -> list[str]:
+        """Delete the generations that are neither committed nor last begun by any run; their names."""
+        journal = self._journal()
+        last = journal.groupBy(*RUN_KEYS).agg(
+            F.max_by("gen", "at").alias("open"),
+            F.max_by("gen", F.when(F.col("status") == "complete", F.col("at"))).alias("done"),
+        )
+        used = last.select(F.explode(F.array("open", "done")).alias("gen")).distinct()
+        old = sorted(r.gen for r in journal.select("gen").distinct().join(used, "gen", "left_anti").collect())
+        for gen in old:
+            for table in ("forecasts", "folds", "meta"):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/gen={gen}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return old
+
     # -- state of runs -----------------------------------------------------------
 
     def status(self, runs: Sequence[Run]) -> DataFrame:
-        return self._of_runs(self._read("status", schema.STATUS), runs)
-
-    def _write_status(self, rows: DataFrame) -> None:
+        """The present state of each run."""
+        rows = self._of_runs(self._journal(), runs)
+        columns = [c for c in rows.columns if c not in RUN_KEYS]
+        last = rows.groupBy(*RUN_KEYS).agg(F.max_by(F.struct(*columns), "at").alias("s"))
+        return last.select(*RUN_KEYS, "s.*")
+
+    def _write_status(self, rows: DataFrame, gens: Mapping[Run, str]) -> None:
+        """One file, so that a change of state is there as a whole or not at all."""
         columns = self.spark.createDataFrame([], schema.STATUS).columns
-        self._replace(rows.select(*columns).coalesce(1), "status", RUN_KEYS)
+        known = self.spark.createDataFrame(
+            [(*run, gen) for run, gen in gens.items()], "asset string, model string, seed long, gen string"
+        )
+        stamped = rows.join(known, RUN_KEYS).withColumn("at", F.lit(time.time_ns()))
+        stamped.select(*columns).coalesce(1).write.mode("append").parquet(self._path("status"))
 
     def _state(self, runs: Sequence[Run], state: str, error: str | None, started: str | None):
         done = _now() if state in ("complete", "failed") else None
@@ -96,7 +159,7 @@ class ForecastStore:
         )
 
     def _counts(self, runs: Sequence[Run]) -> DataFrame:
-        rows = self._of_runs(self._read("forecasts", schema.FORECASTS), runs)
+        rows = self._stored("forecasts", schema.FORECASTS, runs)
         per = rows.groupBy(*RUN_KEYS, "split", "fold_idx").agg(F.count(F.lit(1)).alias("n"))
 
         def split(name, value):
@@ -115,33 +178,27 @@ class ForecastStore:
         return joined.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
 
     def begin(self, runs: Sequence[Run]) -> str:
-        """Clear the outputs of these runs, no others, and mark them running."""
+        """Open a new, empty generation of these runs and mark them running.
+
+        What they committed before stays readable until the new one is complete.
+        """
         if not runs:
             raise StoreError("no runs given")
         started = _now()
-        for table, ddl, parts in (
-            ("forecasts", schema.FORECASTS, [*RUN_KEYS, "split"]),
-            ("folds", schema.FOLDS, RUN_KEYS),
-            ("meta", schema.META, RUN_KEYS),
-        ):
-            stored = self._of_runs(self._read(table, ddl), runs).select(*parts).distinct()
-            body = [c for c in self.spark.createDataFrame([], ddl).columns if c not in parts]
-            for row in stored.collect():
-                place = "/".join(f"{p}={_segment(row[p])}" for p in parts)
-                empty = self.spark.createDataFrame([], ddl).select(*body)
-                empty.write.mode("overwrite").parquet(f"{self._path(table)}/{place}")
+        gen = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         zero = {
             n: F.lit(0).cast("long")
             for n in ("n_folds_oos", "n_folds_insample", "n_rows_oos", "n_rows_insample")
         }
-        self._write_status(self._state(runs, "running", None, started).withColumns(zero))
+        state = self._state(runs, "running", None, started).withColumns(zero)
+        self._write_status(state, {(a, m, int(k)): gen for a, m, k in runs})
         return started
 
     def fail(self, runs: Sequence[Run], error: BaseException, started: str | None = None) -> None:
         """Mark runs failed and keep what they stored. Never hides the first error."""
         try:
             state = self._state(runs, "failed", f"{type(error).__name__}: {error}", started)
-            self._write_status(self._with_counts(state, runs))
+            self._write_status(self._with_counts(state, runs), self._generations(runs, committed=False))
         except Exception:  # noqa: BLE001
             pass
 
@@ -152,9 +209,10 @@ class ForecastStore:
         meta: DataFrame | Mapping[Run, Mapping] | None = None,
         started: str | None = None,
     ) -> None:
-        """Store the metadata, check what was stored by reading it back, then complete.
+        """Store the metadata, check what was stored by reading it back, then commit.
 
-        A run needs folds of both halves.
+        A run needs folds of both halves. Readers see the new generation from the moment
+        its row of the journal is there.
         """
         if meta is None or not isinstance(meta, DataFrame):
             meta = {r: dict((meta or {}).get(r, {})) for r in runs}
@@ -165,8 +223,8 @@ class ForecastStore:
             for split, name in (("oos", "n_folds_oos"), ("in_sample", "n_folds_insample")):
                 if got is None or got[name] == 0:
                     raise StoreError(f"run {run} has no folds of split {split!r}")
-        rows = self._of_runs(self._read("forecasts", schema.FORECASTS), runs)
-        folds = self._of_runs(self._read("folds", schema.FOLDS), runs)
+        rows = self._stored("forecasts", schema.FORECASTS, runs)
+        folds = self._stored("folds", schema.FOLDS, runs)
         quality.enforce(
             quality.store_checks(
                 rows, folds, cut=calendar.cut, last=calendar.last,
@@ -174,7 +232,7 @@ class ForecastStore:
             )
         )
         state = self._state(runs, "complete", None, started)
-        self._write_status(self._with_counts(state, runs))
+        self._write_status(self._with_counts(state, runs), self._generations(runs, committed=False))
 
     # -- contents ------------------------------------------------------------------
 
@@ -191,12 +249,11 @@ class ForecastStore:
             )
         # A large run is spread over tasks by time; every task writes few partitions.
         spread = F.floor(blocks.grid_position("timestamp", HOUR) / blocks.BLOCK_ROWS)
-        out = rows.select(*columns).repartition(*RUN_KEYS, "split", spread)
-        self._replace(out, "forecasts", [*RUN_KEYS, "split"])
+        self._write(rows.select(*columns), "forecasts", [*RUN_KEYS, "split"], spread)
 
     def write_folds(self, folds: DataFrame) -> None:
         columns = self.spark.createDataFrame([], schema.FOLDS).columns
-        self._replace(folds.select(*columns).repartition(*RUN_KEYS), "folds", RUN_KEYS)
+        self._write(folds.select(*columns), "folds", RUN_KEYS)
 
     def write_meta(self, meta: DataFrame | Mapping[Run, Mapping]) -> None:
         """Store the metadata of runs (JSON in column ``meta``, or values per run)."""
@@ -210,7 +267,7 @@ class ForecastStore:
                 text = json.dumps({**identity, **values}, sort_keys=True, default=str)
                 rows.append((asset, model, int(seed), text))
             meta = self.spark.createDataFrame(rows, schema.META)
-        self._replace(meta.select(*RUN_KEYS, "meta").repartition(*RUN_KEYS), "meta", RUN_KEYS)
+        self._write(meta.select(*RUN_KEYS, "meta"), "meta", RUN_KEYS)
 
     def write_staged(self, rows: DataFrame, name: str) -> DataFrame:
         """Materialise an intermediate table in the store, and return it from there.
@@ -238,27 +295,29 @@ class ForecastStore:
     # -- reading runs ----------------------------------------------------------------
 
     def _gate(self, runs: Sequence[Run], allow_incomplete: bool) -> None:
+        """Runs need a state and, unless allowed otherwise, a committed generation."""
         state = {tuple(r[k] for k in RUN_KEYS): r["status"] for r in self.status(runs).collect()}
+        done = {} if allow_incomplete else self._generations(runs, committed=True)
         for asset, model, seed in runs:
-            found = state.get((asset, model, int(seed)))
-            if found is None:
-                raise StoreError(f"run {(asset, model, seed)} has no status")
-            if found != "complete" and not allow_incomplete:
+            run = (asset, model, int(seed))
+            if run not in state:
+                raise StoreError(f"run {run} has no status")
+            if not allow_incomplete and run not in done:
                 raise StoreError(
-                    f"run {(asset, model, seed)} is {found!r}, not 'complete';"
+                    f"run {run} is {state[run]!r}, not 'complete';"
                     " allow_incomplete=True reads it anyway"
                 )
 
-    def read_forecasts(self, runs: Sequence[Run]) -> DataFrame:
-        """Forecast rows under the declared schema; a row of no known half is an error."""
-        rows = self._of_runs(self._read("forecasts", schema.FORECASTS), runs)
-        return check_forecasts(rows)
+    def read_forecasts(self, runs: Sequence[Run], *, committed: bool = False) -> DataFrame:
+        """Forecast rows of the runs' open generations, or of their committed ones, under
+        the declared schema; a row of no known half is an error."""
+        return check_forecasts(self._stored("forecasts", schema.FORECASTS, runs, committed=committed))
 
-    def read_folds(self, runs: Sequence[Run]) -> DataFrame:
-        return self._of_runs(self._read("folds", schema.FOLDS), runs)
+    def read_folds(self, runs: Sequence[Run], *, committed: bool = False) -> DataFrame:
+        return self._stored("folds", schema.FOLDS, runs, committed=committed)
 
-    def read_meta(self, run: Run) -> dict:
-        row = self._of_runs(self._read("meta", schema.META), [run]).first()
+    def read_meta(self, run: Run, *, committed: bool = False) -> dict:
+        row = self._stored("meta", schema.META, [run], committed=committed).first()
         if row is None:
             return {}
         meta = json.loads(row["meta"])
@@ -269,28 +328,34 @@ class ForecastStore:
         return meta
 
     def load_unit(self, run: Run, *, allow_incomplete: bool = False) -> dict:
-        """One run: ``rows``, ``folds``, ``meta`` and ``status``.
+        """One run as last committed: ``rows``, ``folds``, ``meta`` and ``status``, whatever
+        a later attempt does.
 
-        Under ``allow_incomplete`` what is not stored yet reads as empty tables.
+        Under ``allow_incomplete`` the open generation, where what is not stored yet reads
+        as empty tables.
         """
         self._gate([run], allow_incomplete)
+        done = not allow_incomplete
+        told = self._of_runs(self._journal(), [run])
+        if done:
+            told = told.filter(F.col("status") == "complete")
         return {
-            "rows": self.read_forecasts([run]),
-            "folds": self.read_folds([run]),
-            "meta": self.read_meta(run),
-            "status": self.status([run]).first().asDict(),
+            "rows": self.read_forecasts([run], committed=done),
+            "folds": self.read_folds([run], committed=done),
+            "meta": self.read_meta(run, committed=done),
+            "status": told.orderBy(F.desc("at")).first().asDict(),
         }
 
     def load_units(
         self, runs: Sequence[Run], *, allow_incomplete: bool = False
     ) -> tuple[DataFrame, DataFrame]:
-        """Rows and folds of many runs, which must share one calendar."""
+        """Rows and folds of many runs as last committed, which must share one calendar."""
         if not runs:
             raise StoreError("no runs given")
         self._gate(runs, allow_incomplete)
-        folds = self.read_folds(runs)
+        folds = self.read_folds(runs, committed=not allow_incomplete)
         quality.enforce({"calendar identity": quality.calendar_identity(folds)})
-        return self.read_forecasts(runs), folds
+        return self.read_forecasts(runs, committed=not allow_incomplete), folds
 
     def join_features(self, rows: DataFrame, panel: Panel) -> DataFrame:
         """``join_features`` below, against the stored feature set."""
@@ -305,14 +370,6 @@ class ForecastStore:
         return join_features(rows, panel)
 
 
-def _segment(value) -> str:
-    """A partition value as it appears in a path."""
-    special = set("\"#%'*/:=?\\\x7f{[]^")
-    return "".join(
-        f"%{ord(c):02X}" if c in special or ord(c) < 32 else c for c in str(value)
-    )
-
-
 def check_forecasts(rows: DataFrame) -> DataFrame:
     """Fail while reading, not later, on a missing time or an unknown half."""
     bad = F.col("timestamp").isNull() | ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))

@@ -46,6 +46,38 @@ def test_read_bars_options(spark, folder):
         files.read_bars(spark, path, time_col="when")
 
 
+def test_columns_go_by_header(spark, tmp_path):
+    """Other orders, more and fewer columns, quoted and odd names, an empty file and a header alone."""
+    texts = {
+        "A": "open_time_iso,open,high,low,close,volume\n2024-01-01T00:00:00+00:00,1,2,3,4,5\n",
+        "B": "volume,close,extra,low,open_time_iso,high,open\n5,4,x,3,2024-01-01T00:00:00+00:00,2,1\n",
+        "C+1 [x]": 'close,"open_time_iso"\n4,2024-01-01T00:00:00+00:00\n',
+        "D%20é": "\ufeffopen_time_iso,close,close\n2024-01-01T00:00:00+00:00,4,99\n",
+        "E": "",
+        "F": "open_time_iso,close\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    # One group has two files.
+    (tmp_path / "G.csv").write_text(texts["A"])
+    panel = files.scan_assets(spark, str(tmp_path))
+    got = {r.asset: (r.open, r.high, r.low, r.close, r.volume) for r in panel.df.collect()}
+    whole = (1.0, 2.0, 3.0, 4.0, 5.0)
+    assert got["A"] == got["B"] == got["G"] == whole
+    rest = {k: v for k, v in got.items() if k not in "ABG"}
+    assert len(rest) == 2 and set(rest.values()) == {(None, None, None, 4.0, None)}
+    assert len({r.time for r in panel.df.collect()}) == 1
+    heads = files.file_headers(spark, [str(tmp_path)])
+    assert len(heads) == 5 and len(heads[("open_time_iso", "open", "high", "low", "close", "volume")]) == 2
+
+    named = files.read_bars(spark, str(tmp_path / "B.csv"), features=["close", "extra"], time_col="open_time_iso")
+    assert named.df.columns == ["asset", "time", "open", "high", "low", "close", "volume", "extra"]
+    uni = files.read_bars(spark, str(tmp_path / "C+1 ?x?.csv"), preset="univariate").df
+    assert [tuple(r)[2:] for r in uni.collect()] == [(4.0,)] and uni.columns == ["asset", "time", "close"]
+    only = files.read_bars(spark, str(tmp_path / "B.csv"), use_cols=["volume", "nope"]).df
+    assert only.columns == ["asset", "time", "volume"]
+
+
 def test_raw_files(spark, tmp_path):
     place = tmp_path / "AAA"
     place.mkdir()
@@ -124,6 +156,52 @@ def test_life_of_a_run(spark, tmp_path):
     assert kept.load_units([other])[0].count() == rows.count()
 
 
+def test_a_writer_that_dies_anywhere_leaves_one_whole_run(spark, tmp_path):
+    """The second attempt of a run ends after each of its steps; readers see the first until the last step is done."""
+    kept = st.ForecastStore(spark, str(tmp_path / "s"))
+    rows, folds = _tables(spark)
+
+    def steps(value, note):
+        yield lambda: kept.begin([RUN])
+        yield lambda: kept.write_forecasts(rows.withColumn("forecast", F.lit(value)).filter("split = 'oos'"))
+        yield lambda: kept.write_forecasts(rows.withColumn("forecast", F.lit(value)))
+        yield lambda: kept.write_folds(folds)
+        yield lambda: kept.write_meta({RUN: {"note": note}})
+        yield lambda: kept.finalize([RUN], CAL, {RUN: {"note": note}})
+
+    def seen():
+        unit = kept.load_unit(RUN)
+        values = {r.forecast for r in unit["rows"].select("forecast").distinct().collect()}
+        assert unit["rows"].count() == rows.count() and unit["folds"].count() == folds.count()
+        assert unit["status"]["status"] == "complete" and len(values) == 1
+        assert kept.load_units([RUN])[0].count() == rows.count()
+        return values.pop(), unit["meta"]["note"]
+
+    for step in steps(1.0, "first"):
+        step()
+    assert seen() == (1.0, "first")
+    for last in range(1, 6):
+        for n, step in enumerate(steps(2.0 + last, "again")):
+            if n == last:
+                break
+            step()
+            assert seen() == (1.0, "first")
+        if last == 3:
+            kept.fail([RUN], RuntimeError("lost"))
+            assert seen() == (1.0, "first") and kept.status([RUN]).first().status == "failed"
+    for step in steps(9.0, "last"):
+        step()
+    assert seen() == (9.0, "last")
+    assert len(kept.clean()) == 6 and seen() == (9.0, "last")
+
+
+def test_rows_of_a_run_that_was_not_begun_are_refused(spark, tmp_path):
+    kept = st.ForecastStore(spark, str(tmp_path / "s"))
+    kept.begin([("other", "m", 0)])
+    with pytest.raises(Exception, match="run was not begun: a / m / 0"):
+        kept.write_forecasts(_tables(spark)[0])
+
+
 def test_broken_rows_are_not_completed(spark, tmp_path):
     kept = st.ForecastStore(spark, str(tmp_path / "s"))
     rows, folds = _tables(spark)
