@@ -8,7 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
-from barfold.operators.models import SEQUENCE, TABULAR, Forecaster
+from barfold.operators.models import SEQUENCE, TABULAR, Forecaster, RidgeDMS, RidgeSequence
+from barfold.operators.moments import ridge_losses
 from barfold.operators.samples import inner_split_size
 
 
@@ -95,8 +96,8 @@ def iter_folds(plan: FoldPlan, chunk: range, pdf) -> Iterator[Fold]:
             continue
         kept = b - a - plan.horizon if b - a > plan.horizon else b - a
         fx, fy, tx = x[a:b].copy(), y[a:b].copy(), x[b:c].copy()
-        if np.isnan(fx[:kept]).any() or np.isnan(fy[:kept]).any():
-            raise ValueError(f"fold {fold}: missing values in training rows")
+        if not (np.isfinite(fx[:kept]).all() and np.isfinite(fy[:kept]).all()):
+            raise ValueError(f"fold {fold}: missing values or infinities in training rows")
         center, scale = np.zeros(fy.shape[1]), np.ones(fy.shape[1])
         if plan.method:
             mid, spread = center_and_scale(plan.method, fx[:kept])
@@ -142,12 +143,14 @@ def fold_samples(plan: FoldPlan, fold: Fold, data_format: str, columns: Sequence
             raise ValueError(f"fold {fold.index}: {n} rows are too few for horizon {plan.horizon}")
         target = sliding_window_view(y[:, 0], plan.horizon)[:valid]
         context = fold.x_test[:1, pick]
-        if np.isnan(context).any():
-            raise ValueError(f"fold {fold.index}: missing values in test features")
+        if not np.isfinite(context).all():
+            raise ValueError(f"fold {fold.index}: missing values or infinities in test features")
         return Samples(x[:valid], target, None, context)
     if data_format != SEQUENCE:
         raise ValueError(f"unknown data format {data_format!r}")
     context = fold.x[-plan.lookback :, pick][None]
+    if not np.isfinite(context).all():
+        raise ValueError(f"fold {fold.index}: missing values or infinities in the last inputs")
     size = inner_split_size(n, plan.lookback, plan.horizon, plan.val_ratio)
     if size is None:
         return Samples(*window_samples(x, y, plan.lookback, plan.horizon), None, context)
@@ -173,6 +176,17 @@ def fit_one(model: Forecaster, samples: Samples) -> float | None:
     return float(np.mean(error * error))
 
 
+def all_losses(model: Forecaster, candidates: Sequence[dict], samples: Samples) -> list[float | None]:
+    """The loss of every candidate. Ridge models share one decomposition of the fold's
+    samples; other models are fitted one by one."""
+    tuned = [model.tuned(c) for c in candidates]
+    ridge = all(type(m) in (RidgeDMS, RidgeSequence) and m.input_columns == model.input_columns for m in tuned)
+    if not ridge or samples.val is None:
+        return [fit_one(m, samples) for m in tuned]
+    flat = [a.reshape(len(a), -1) for a in (samples.x, samples.y, *samples.val)]
+    return ridge_losses(*flat, [m.alpha for m in tuned])
+
+
 def forecast(plan: FoldPlan, fold: Fold, model: Forecaster, samples: Samples) -> np.ndarray:
     """The fold's forecast, ``(horizon, labels)``, in label units."""
     raw = np.asarray(model.predict(samples.context), dtype=float)

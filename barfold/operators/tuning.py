@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barfold.operators import blocks, fitting
+from barfold.operators import blocks, fitting, normal
 from barfold.operators.calendar import Schedule
 from barfold.operators.models import Forecaster
 from barfold.operators.scaling import FoldScaler
@@ -63,7 +63,9 @@ def score_grid(
     """Validation loss of every candidate on every fold: ``asset, trial, fold_idx, val_loss``.
 
     Candidates are tried inside the task that holds the fold, so rows are
-    shuffled and scaled once for all of them. Test windows are never read.
+    shuffled and scaled once for all of them; ridge candidates share one
+    decomposition. Expanding ridge searches read no row twice (``normal``).
+    Values of test windows are never read.
     """
     plan = make_plan(
         panel, schedule, [model], horizon=horizon, lookback=lookback, scaler=scaler,
@@ -80,6 +82,12 @@ def score_grid(
         ]
     )
 
+    if normal.applies(plan, panel, model) and all(normal.same_inputs(model, c) for c in tried):
+        raw = normal.solve_folds(
+            panel, schedule, plan, model, normal.loss_rows(model, panel.asset, tried), result
+        )
+        return raw.withColumn("val_loss", F.nanvl("val_loss", F.lit(None).cast("double")))
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         picked = fitting.input_positions(plan, model)
@@ -87,9 +95,8 @@ def score_grid(
             plan, chunk_range(plan.n_folds, folds_per_task, int(key[1])), pdf
         ):
             samples = fitting.fold_samples(plan, fold, model.data_format, picked)
-            for trial, params in enumerate(tried):
-                loss = fitting.fit_one(model.tuned(params), samples)
-                rows.append((key[0], trial, fold.index, loss))
+            losses = fitting.all_losses(model, tried, samples)
+            rows += [(key[0], trial, fold.index, loss) for trial, loss in enumerate(losses)]
         return pd.DataFrame(rows, columns=result.fieldNames())
 
     chunks = fold_chunks(panel, schedule, columns, folds_per_task, lags + 1 if lags else 0)

@@ -3,8 +3,9 @@
 Rows are grouped by ``(asset, chunk of folds)``. A chunk of ``k`` folds needs
 ``train + k*step`` rows, so a row travels to few chunks instead of to every
 fold that trains on it, and a group has a size known in advance however long
-the series is. (Expanding windows are the exception: a fold's training set is
-all rows before it.)
+the series is. Expanding ridge fits over gap-free series add up normal equations
+instead (``normal``), as a fold's training set is all rows before it; expanding
+fits of other models ship these rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barfold.operators import blocks, fitting
+from barfold.operators import blocks, fitting, normal
 from barfold.operators.calendar import Schedule
 from barfold.operators.fitting import FoldPlan
 from barfold.operators.folds import fold_position
@@ -164,6 +165,11 @@ def walk_forward(
         ]
     )
     asset, tuned = panel.asset, params is not None
+    if normal.applies(plan, panel, model):
+        raw = normal.solve_folds(
+            panel, schedule, plan, model, normal.forecast_rows(plan, model, asset, outs), result, params=params
+        )
+        return _told(raw, panel, schedule, outs)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         done = []
@@ -203,9 +209,12 @@ def walk_forward(
     chunks = fold_chunks(panel, schedule, columns, folds_per_task, lags + 1 if lags else 0)
     if tuned:
         chunks = chunks.join(params.select(asset, F.col("params").alias("_params")), asset, "left")
-    raw = chunks.groupBy(asset, "_chunk").applyInPandas(run, result)
+    return _told(chunks.groupBy(asset, "_chunk").applyInPandas(run, result), panel, schedule, outs)
+
+
+def _told(raw: DataFrame, panel: Panel, schedule: Schedule, outs: Sequence[str]) -> DataFrame:
     return raw.select(
-        asset,
+        panel.asset,
         "fold_idx",
         "step",
         blocks.grid_time("_pos", schedule.seconds).alias(panel.time),
