@@ -6,8 +6,9 @@ import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barfold.functions import smoothing
@@ -193,7 +194,8 @@ def apply_features(
 ) -> Panel:
     """Run the configured transforms in order, then drop incomplete rows once.
 
-    One shuffle by ``(asset, block)`` serves all transforms.
+    One shuffle by ``(asset, block)`` serves all transforms. On a grid, a later
+    ``slice_time`` reads the source no farther than the transforms reach.
     """
     todo = []
     for spec in config:
@@ -227,7 +229,17 @@ def apply_features(
         features=tuple(dict.fromkeys(features)),
         labels=tuple(dict.fromkeys(labels)),
     )
-    return out.drop_incomplete(fence=True) if drop_incomplete else out
+    out = out.drop_incomplete(fence=True) if drop_incomplete else out
+    if not panel.grid_seconds:
+        return out
+
+    def narrowed(start: datetime, end: datetime) -> DataFrame:
+        step = timedelta(seconds=panel.grid_seconds)
+        part = panel.clip_inclusive(start - before * step, end + after * step)
+        made = apply_features(part, config, drop_incomplete=drop_incomplete, block_rows=block_rows)
+        return made.df
+
+    return replace(out, narrowed=(out.df, narrowed))
 
 
 def add_lagged_returns(

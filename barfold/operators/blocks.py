@@ -16,10 +16,14 @@ partitioned by ``(asset, block)`` instead, in one of two ways:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barfold.session import stored
+
 BLOCK_ROWS = 16384
 BLOCK = "_block"
 CORE = "_core"
@@ -98,38 +102,29 @@ def core_rows(df: DataFrame) -> DataFrame:
 
 
 def rank_positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    time: str | None = None,
-    out: str = POS,
-    bucket_seconds: int = 86400,
-    bucket: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, out: str = POS
 ) -> DataFrame:
-    """Consecutive row numbers per series, from 0, without a per-series window.
+    """Consecutive row numbers per series, from 0, without a window over rows.
 
-    Rows are numbered inside buckets, of time or as given; the bucket offsets come
-    from the much smaller table of bucket counts.
+    Rows are sorted by series and order into ranges that Spark cuts from a sample of
+    the rows, so a series, a day or a minute that holds much of the table is spread over
+    as many tasks as it needs. Numbers within a range are places in its sorted file; the
+    offsets come from the table of counts, one row for each series and range.
     """
-    cut = df.withColumn(
-        "_bucket", grid_position(time, bucket_seconds) if bucket is None else bucket
-    )
-    ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    at, part = "_at", "_part"
+    placed = stored(df.orderBy(*keys, *order).withColumn(at, F.monotonically_increasing_id()))
+    # The number of the range is in the upper bits, the place in it below.
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        cut.join(offsets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_bucket", "_offset")
+        placed.groupBy(*keys, part)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first"))
+        .drop("_n", "_first")
     )
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, part)]
+    joined = placed.alias("a").join(offsets.alias("b"), reduce(and_, same))
+    return joined.select("a.*", (F.col(f"a.{at}") + F.col("b._offset")).alias(out)).drop(at, part)
 
 
 _SUMMARY = {

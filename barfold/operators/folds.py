@@ -112,20 +112,39 @@ def embargo_trim(rows: DataFrame, schedule: Schedule, horizon: int) -> DataFrame
     return rows.filter((F.col("role") != TRAIN) | (F.col(blocks.POS) < limit))
 
 
+def numbered_rows(rows: DataFrame, asset: str) -> DataFrame:
+    """Add ``_row``, a row's number in its series, to rows in folds, unless it is there.
+
+    A row has one number however many folds it is in, so only the positions are numbered.
+    """
+    if "_row" in rows.columns:
+        return rows
+    places = rows.select(asset, blocks.POS).distinct()
+    return rows.join(blocks.rank_positions(places, [asset], [blocks.POS], out="_row"), [asset, blocks.POS])
+
+
+def fold_ends(numbered: DataFrame, asset: str) -> DataFrame:
+    """First and last row number of each fold's training rows: ``_first``, ``_last``.
+
+    The rows of a window follow each other in the series, so these two numbers place
+    every row in its fold; nothing is sorted by fold.
+    """
+    training = numbered.filter(F.col("role") == TRAIN)
+    return training.groupBy(asset, "fold_idx").agg(
+        F.min("_row").alias("_first"), F.max("_row").alias("_last")
+    )
+
+
 def embargo_trim_rows(rows: DataFrame, asset: str, horizon: int) -> DataFrame:
     """The same by row count, for series with holes: the last ``horizon`` rows go.
 
-    Windows run per ``(asset, fold)``, whose size is the training window.
+    ``rows`` has all training rows of a fold's window. A window of no more rows is kept.
     """
-    group = Window.partitionBy(asset, "fold_idx", "role")
-    numbered = rows.withColumns(
-        {
-            "_back": F.row_number().over(group.orderBy(F.desc(blocks.POS))),
-            "_size": F.count(F.lit(1)).over(group),
-        }
-    )
-    keep = (F.col("role") != TRAIN) | (F.col("_back") > horizon) | (F.col("_size") <= horizon)
-    return numbered.filter(keep).drop("_back", "_size")
+    numbered = numbered_rows(rows, asset)
+    placed = numbered.join(fold_ends(numbered, asset), [asset, "fold_idx"], "left")
+    back, size = F.col("_last") - F.col("_row"), F.col("_last") - F.col("_first") + 1
+    keep = (F.col("role") != TRAIN) | (back >= horizon) | (size <= horizon)
+    return placed.filter(keep).select(*rows.columns)
 
 
 def last_train_label(panel: Panel, schedule: Schedule, horizon: int) -> DataFrame:
@@ -151,9 +170,52 @@ def last_train_label(panel: Panel, schedule: Schedule, horizon: int) -> DataFram
                 blocks.grid_time("_last", schedule.seconds).alias("last_train_label_ts"),
             )
         )
-    rows = embargo_trim_rows(assign_folds(panel, schedule, (TRAIN,)), panel.asset, horizon)
-    return rows.groupBy(panel.asset, "fold_idx").agg(
-        F.max(panel.time).alias("last_train_label_ts")
+    # One row of each fold is looked up by its number; rows are not copied to folds.
+    numbered = panel.with_row_numbers("_row").select(panel.asset, panel.time, "_row")
+    ends = window_rows(panel, schedule)
+    size = F.col("_last") - F.col("_first") + 1
+    row = F.when(size > horizon, F.col("_last") - horizon).otherwise(F.col("_last"))
+    wanted = ends.select(panel.asset, "fold_idx", row.alias("_row"))
+    return wanted.join(numbered, [panel.asset, "_row"]).select(
+        panel.asset, "fold_idx", F.col(panel.time).alias("last_train_label_ts")
+    )
+
+
+def window_rows(panel: Panel, schedule: Schedule) -> DataFrame:
+    """Per asset and fold the first and last row number of its training window, holes or
+    not; folds without a training row are left out.
+
+    Rows are counted per stretch between window edges, and the counts are added up along
+    the series.
+    """
+    origin, step, train = schedule.origin, schedule.step, schedule.train
+    off = fold_position(panel, schedule) - F.lit(origin)
+    # Two edges a step: where a window begins and where one ends.
+    phase = train % step
+    cell = 2 * blocks.floor_div(off, step) + F.when(off - step * blocks.floor_div(off, step) >= phase, 1).otherwise(0)
+    counts = panel.df.groupBy(panel.asset, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(panel.asset).orderBy("_cell")
+    total = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ends = counts.withColumns({"_upto": total, "_next": F.lead("_cell").over(order)})
+
+    def before(name: str, at: int, moves: int) -> DataFrame:
+        """Rows before edge ``at + j * moves`` of each fold j."""
+        # After a cell come all edges up to that of the next cell with rows.
+        if moves == 0:
+            none = ends.groupBy(panel.asset).agg(
+                F.coalesce(F.max(F.when(F.col("_cell") < at, F.col("_upto"))), F.lit(0)).alias(name)
+            )
+            return blocks.explode_range(none, "fold_idx", F.lit(0), F.lit(schedule.n_folds - 1))
+        low = F.greatest(F.lit(0), blocks.floor_div(F.col("_cell") - at, moves) + 1)
+        high = F.least(F.lit(schedule.n_folds - 1), F.coalesce(blocks.floor_div(F.col("_next") - at, moves), F.lit(schedule.n_folds - 1)))
+        return blocks.explode_range(ends, "fold_idx", low, high).select(panel.asset, "fold_idx", F.col("_upto").alias(name))
+
+    begins = before("_first", 0, 0 if schedule.mode == "expanding" else 2)
+    finish = before("_end", 2 * (train // step) + (1 if phase else 0), 2)
+    both = finish.join(begins, [panel.asset, "fold_idx"], "left")
+    first, last = F.coalesce("_first", F.lit(0)), F.col("_end") - 1
+    return both.select(panel.asset, "fold_idx", first.alias("_first"), last.alias("_last")).filter(
+        F.col("_first") <= F.col("_last")
     )
 
 

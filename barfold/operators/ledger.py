@@ -77,9 +77,7 @@ def forecast_accuracy(
     error = F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae")
     per_fold = forecasts.groupBy(*keys, "fold_idx").agg(error)
     # Folds may be missing: halos are counted in folds that are there.
-    ranked = blocks.rank_positions(
-        per_fold, keys, ["fold_idx"], bucket=blocks.floor_div(F.col("fold_idx"), block_rows)
-    )
+    ranked = blocks.rank_positions(per_fold, keys, ["fold_idx"])
     cut = blocks.with_halo(ranked, before=folds, block_rows=max(block_rows, folds))
     recent = blocks.block_window(keys).rowsBetween(-folds, -1)
     rolled = cut.withColumn(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barfold.operators import blocks
 from barfold.operators.calendar import Schedule
-from barfold.operators.folds import TEST, TRAIN, assign_folds, fold_position
+from barfold.operators.folds import TEST, TRAIN, assign_folds, fold_ends, fold_position, numbered_rows, window_rows
 from barfold.panel import Panel
 
 
@@ -100,41 +100,61 @@ def inner_split(
 ) -> DataFrame:
     """Add ``part``: the last block of a fold's training rows is ``val``.
 
-    ``rows`` are trimmed training rows; a fold too short for two sequence
-    windows is all ``train``. Windows run per ``(asset, fold)``.
+    ``rows`` are all trimmed training rows of their folds; a fold too short for two
+    sequence windows is all ``train``. A row's place in its fold follows from row numbers.
     """
     window = lookback + horizon
-    group = Window.partitionBy(asset, "fold_idx")
-    n = F.count(F.lit(1)).over(group)
-    k = F.row_number().over(group.orderBy(blocks.POS))
-    sized = rows.filter(F.col("role") == TRAIN).withColumns({"_n": n, "_k": k})
-    wanted = F.floor(F.col("_n") * F.lit(ratio))
-    size = F.least(F.greatest(wanted, F.lit(window)), F.col("_n") - window)
-    val = (F.col("_n") >= 2 * window) & (F.col("_k") > F.col("_n") - size)
-    return sized.withColumn("part", F.when(val, "val").otherwise("train")).drop("_n", "_k")
+    numbered = numbered_rows(rows.filter(F.col("role") == TRAIN), asset)
+    placed = numbered.join(fold_ends(numbered, asset), [asset, "fold_idx"])
+    n = F.col("_last") - F.col("_first") + 1
+    size = F.least(F.greatest(F.floor(n * F.lit(ratio)), F.lit(window)), n - window)
+    val = (n >= 2 * window) & (F.col("_row") > F.col("_last") - size)
+    return placed.withColumn("part", F.when(val, "val").otherwise("train")).select(*rows.columns, "part")
 
 
 def sequence_context(panel: Panel, schedule: Schedule, lookback: int) -> DataFrame:
-    """Per fold the last ``lookback`` feature rows of the untrimmed training window."""
+    """Per fold the last ``lookback`` existing feature rows of the untrimmed training window.
+
+    On a grid these are the rows of the last ``lookback`` steps. On series with holes
+    rows are numbered, the folds' edges are read off row counts, and the wanted numbers
+    are joined; no window spans a fold.
+    """
     pos = fold_position(panel, schedule)
-    # Only rows within ``lookback`` of a window end go to a fold.
-    end = Schedule(
-        schedule.at(schedule.train - lookback), lookback, schedule.test,
-        schedule.step, schedule.n_folds, "sliding", schedule.seconds,
-    )
-    low, high = end.train_folds(pos)
-    hit = blocks.explode_range(panel.df.withColumn(blocks.POS, pos), "fold_idx", low, high)
+    if panel.grid_seconds:
+        # Only rows within ``lookback`` of a window end go to a fold.
+        end = Schedule(
+            schedule.at(schedule.train - lookback), lookback, schedule.test,
+            schedule.step, schedule.n_folds, "sliding", schedule.seconds,
+        )
+        low, high = end.train_folds(pos)
+        hit = blocks.explode_range(panel.df.withColumn(blocks.POS, pos), "fold_idx", low, high)
+        # A short training window begins after the first of these rows.
+        hit = hit.filter(F.col(blocks.POS) >= schedule.fold_of(F.col("fold_idx"))["train_from"])
+    else:
+        hit = _last_rows(panel, schedule, lookback)
     item = F.struct(F.col(blocks.POS), F.array(*panel.feature_cols).alias("f"))
     return hit.groupBy(panel.asset, "fold_idx").agg(
         F.array_sort(F.collect_list(item)).alias("_c")
     ).select(panel.asset, "fold_idx", F.col("_c.f").alias("x"))
 
 
+def _last_rows(panel: Panel, schedule: Schedule, lookback: int) -> DataFrame:
+    """Rows with ``fold_idx``: the last ``lookback`` of each fold's training window, whatever the holes."""
+    asset = panel.asset
+    numbered = panel.with_row_numbers("_row").withColumn(blocks.POS, fold_position(panel, schedule))
+    first = F.greatest(F.col("_first"), F.col("_last") - lookback + 1)
+    wanted = blocks.explode_range(window_rows(panel, schedule), "_row", first, F.col("_last"))
+    return numbered.join(wanted.select(asset, "fold_idx", "_row"), [asset, "_row"])
+
+
 def tabular_context(panel: Panel, schedule: Schedule) -> DataFrame:
-    """Per fold the features of the first test row. Unlike ``sequence_context`` this
-    sees the bar at the start of the test window."""
+    """Per fold the features of the first existing test row. Unlike ``sequence_context``
+    this sees the bar at the start of the test window."""
     tests = assign_folds(panel, schedule, (TEST,))
-    start = schedule.fold_of(F.col("fold_idx"))["train_to"]
-    return tests.filter(F.col(blocks.POS) == start).select(
-        panel.asset, "fold_idx", panel.time, F.array(*panel.feature_cols).alias("x")
-    )
+    x = F.array(*panel.feature_cols).alias("x")
+    if panel.grid_seconds:
+        start = schedule.fold_of(F.col("fold_idx"))["train_to"]
+        return tests.filter(F.col(blocks.POS) == start).select(panel.asset, "fold_idx", panel.time, x)
+    row = F.struct(F.col(panel.time).alias("t"), x)
+    first = tests.groupBy(panel.asset, "fold_idx").agg(F.min_by(row, blocks.POS).alias("_r"))
+    return first.select(panel.asset, "fold_idx", F.col("_r.t").alias(panel.time), "_r.x")

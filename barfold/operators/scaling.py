@@ -32,9 +32,12 @@ def _cells(panel: Panel, schedule: Schedule, trim: int, columns: Sequence[str]):
             F.min(c).alias(f"{c}__lo"),
             F.max(c).alias(f"{c}__hi"),
         ]
-    table = panel.df.groupBy(panel.asset, cell.alias("_cell")).agg(*stats)
-    # Sums are taken about the level of the asset's first stretch, so that a mean far
-    # above the spread does not cancel it. The table has one row per stretch.
+    return panel.df.groupBy(panel.asset, cell.alias("_cell")).agg(*stats), unit
+
+
+def _about_first(panel: Panel, cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sums about the level of the asset's first stretch, which every expanding fold
+    contains: what cancels is no more than the fold's own spread. One row per stretch."""
     whole = Window.partitionBy(panel.asset)
     moments = {}
     for c in columns:
@@ -43,21 +46,37 @@ def _cells(panel: Panel, schedule: Schedule, trim: int, columns: Sequence[str]):
         moments[f"{c}__r"] = level
         moments[f"{c}__s"] = n * (m - level)
         moments[f"{c}__q"] = n * (v + (m - level) * (m - level))
-    return table.withColumns(moments), unit
+    return cells.withColumns(moments)
+
+
+def _merged(c: str) -> tuple[Column, Column]:
+    """Mean and variance over a fold's stretches ``_parts``: deviations are taken from
+    the fold's own mean, so no level of the series, near or far, cancels them."""
+    parts = F.filter("_parts", lambda p: p[f"{c}__n"] > 0)
+    n = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[f"{c}__n"])
+    some = F.element_at(parts, 1)[f"{c}__m"]
+    # Means are added up as steps from one of them, so they keep all digits.
+    mean = some + F.try_divide(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[f"{c}__n"] * (p[f"{c}__m"] - some)), n)
+
+    def about(s: Column, p: Column) -> Column:
+        step = p[f"{c}__m"] - mean
+        return s + p[f"{c}__n"] * (p[f"{c}__v"] + step * step)
+
+    return F.when(F.size(parts) > 0, mean), F.try_divide(F.aggregate(parts, F.lit(0.0), about), n)
 
 
 def _fold_moments(panel: Panel, schedule: Schedule, trim: int, columns: Sequence[str]) -> DataFrame:
     cells, unit = _cells(panel, schedule, trim, columns)
-    parts = [
-        (f"{c}__{k}", op)
-        for c in columns
-        for k, op in (
-            ("n", "sum"), ("s", "sum"), ("q", "sum"), ("lo", "min"), ("hi", "max"), ("r", "max")
-        )
-    ]
     if schedule.mode == "expanding":
+        parts = [
+            (f"{c}__{k}", op)
+            for c in columns
+            for k, op in (
+                ("n", "sum"), ("s", "sum"), ("q", "sum"), ("lo", "min"), ("hi", "max"), ("r", "max")
+            )
+        ]
         # Totals up to each stretch; a fold is read off where its window ends.
-        usable = cells.filter(F.col("_cell") >= 0)
+        usable = _about_first(panel, cells.filter(F.col("_cell") >= 0), columns)
         done = blocks.running(
             usable, [panel.asset], {f"_{n}": (op, n) for n, op in parts}, position="_cell"
         )
@@ -68,6 +87,7 @@ def _fold_moments(panel: Panel, schedule: Schedule, trim: int, columns: Sequence
             .withColumn("fold_idx", (off / schedule.step).cast("long"))
             .filter(F.col("fold_idx") < schedule.n_folds)
             .select(panel.asset, "fold_idx", *[F.col(f"_{n}").alias(n) for n, _ in parts])
+            .withColumns({f"{c}__{k}": v for c in columns for k, v in _about(c).items()})
         )
     short = Schedule(
         schedule.start, schedule.train - trim, schedule.test, schedule.step,
@@ -75,8 +95,22 @@ def _fold_moments(panel: Panel, schedule: Schedule, trim: int, columns: Sequence
     )
     at = F.lit(schedule.origin) + F.col("_cell") * unit
     hit = blocks.explode_range(cells, "fold_idx", *short.train_folds(at))
-    pick = {"sum": F.sum, "min": F.min, "max": F.max}
-    return hit.groupBy(panel.asset, "fold_idx").agg(*[pick[op](n).alias(n) for n, op in parts])
+    fields = [f"{c}__{k}" for c in columns for k in "nmv"]
+    ranges = [pick(f"{c}__{k}").alias(f"{c}__{k}") for c in columns for k, pick in (("lo", F.min), ("hi", F.max))]
+    # A fold has as many stretches as its window; they come in the order of the series.
+    listed = F.array_sort(F.collect_list(F.struct("_cell", *fields))).alias("_parts")
+    folds = hit.groupBy(panel.asset, "fold_idx").agg(listed, *ranges)
+    merged = {}
+    for c in columns:
+        merged[f"{c}__mean"], merged[f"{c}__var"] = _merged(c)
+    return folds.withColumns(merged).drop("_parts")
+
+
+def _about(c: str) -> dict[str, Column]:
+    """Mean and variance out of sums about a level."""
+    step = F.try_divide(F.col(f"{c}__s"), F.col(f"{c}__n"))
+    var = F.greatest(F.try_divide(F.col(f"{c}__q"), F.col(f"{c}__n")) - step * step, F.lit(0.0))
+    return {"mean": step + F.col(f"{c}__r"), "var": var}
 
 
 def _or_one(scale: Column) -> Column:
@@ -115,11 +149,8 @@ def fold_statistics(
         if method == "minmax":
             out += [lo.alias(f"{c}__center"), _or_one(hi - lo).alias(f"{c}__scale")]
             continue
-        mean = F.try_divide(F.col(f"{c}__s"), F.col(f"{c}__n"))
-        var = F.greatest(F.try_divide(F.col(f"{c}__q"), F.col(f"{c}__n")) - mean * mean, F.lit(0.0))
-        spread = F.when(lo == hi, F.lit(0.0)).otherwise(F.sqrt(var))
-        center = mean + F.col(f"{c}__r")
-        out += [center.alias(f"{c}__center"), _or_one(spread).alias(f"{c}__scale")]
+        spread = F.when(lo == hi, F.lit(0.0)).otherwise(F.sqrt(f"{c}__var"))
+        out += [F.col(f"{c}__mean").alias(f"{c}__center"), _or_one(spread).alias(f"{c}__scale")]
     return table.select(*keys, *out)
 
 

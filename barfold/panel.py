@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
@@ -25,6 +25,10 @@ class Panel:
 
     ``grid_seconds`` is set only where every series is known to be a gap-free
     grid of that step; row positions are then arithmetic instead of a shuffle.
+
+    ``narrowed`` says how to make ``df`` again for a range of times out of as much of
+    its source as that takes: ``(df, function of start and end)``. It holds for this very
+    ``df`` alone, so whatever changes the table ends it.
     """
 
     df: DataFrame
@@ -34,6 +38,9 @@ class Panel:
     time: str = "time"
     ohlcv: Mapping[str, str] = field(default_factory=lambda: {c: c for c in OHLCV})
     grid_seconds: int | None = None
+    narrowed: tuple[DataFrame, Callable[[datetime, datetime], DataFrame]] | None = field(
+        default=None, repr=False, compare=False
+    )
 
     def __post_init__(self):
         for name in (self.asset, self.time):
@@ -126,7 +133,7 @@ class Panel:
 
         ``fence`` keeps the optimizer from moving the filter below the projection
         that makes the columns, which would compute each of them twice. Filters
-        applied later do not get below it either.
+        applied later do not get below it either; ``slice_time`` goes around it.
         """
         doubles = [
             f.name
@@ -146,16 +153,29 @@ class Panel:
         # A dropped row inside a series opens a hole in its grid.
         return replace(self, df=kept, grid_seconds=None)
 
+    def _around(self, start: datetime | str, end: datetime | str) -> DataFrame:
+        """The table, made of no more of its source than rows in ``[start, end]`` need
+        where that is known; to be cut by the caller."""
+        if self.narrowed is None or self.narrowed[0] is not self.df:
+            return self.df
+        try:
+            a, b = (t if isinstance(t, datetime) else datetime.fromisoformat(t) for t in (start, end))
+        except ValueError:
+            return self.df
+        return self.df if a.tzinfo or b.tzinfo else self.narrowed[1](a, b)
+
     def slice_time(self, start: datetime | str, end: datetime | str) -> Panel:
-        """Rows in ``[start, end)``; reaches the scan as a pushed filter."""
+        """Rows in ``[start, end)``; reaches the scan as a pushed filter, also below
+        features, whose source is then read as far as they look back and ahead."""
         t = F.col(self.time)
         return replace(
-            self, df=self.df.filter((t >= ntz(start)) & (t < ntz(end)))
+            self, df=self._around(start, end).filter((t >= ntz(start)) & (t < ntz(end)))
         )
 
     def clip_inclusive(self, start: datetime | str, end: datetime | str) -> Panel:
-        """Rows in ``[start, end]``."""
-        return replace(self, df=self.df.filter(F.col(self.time).between(ntz(start), ntz(end))))
+        """Rows in ``[start, end]``, as ``slice_time`` in other respects."""
+        rows = self._around(start, end)
+        return replace(self, df=rows.filter(F.col(self.time).between(ntz(start), ntz(end))))
 
     def slice_index(self, first: int, stop: int) -> Panel:
         """Rows ``first <= row number < stop`` of every series, counted from 0."""
@@ -183,9 +203,7 @@ class Panel:
                 .withColumn(out, here - F.col("_first"))
                 .drop("_first")
             )
-        return blocks.rank_positions(
-            self.df, [self.asset], [self.time], time=self.time, out=out
-        )
+        return blocks.rank_positions(self.df, [self.asset], [self.time], out=out)
 
     def on_grid(self, seconds: int = HOUR) -> Panel:
         """State that every series is a gap-free grid; see ``quality.verify_grid``."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from barfold.functions.features import DEFAULT_CONFIG, apply_features, feature_tag
 from barfold.operators import quality
 from barfold.operators.calendar import Calendar, Geometry
@@ -92,10 +94,12 @@ class RunContext:
         quality.check_target(panel, self.target)
         if asset not in self.assets:
             raise ValueError(f"unknown asset {asset!r}; known: {list(self.assets)}")
+        # The run reads this asset alone, so nothing is computed for the others.
+        one = replace(panel, df=panel.df.filter(F.col(panel.asset) == asset))
         quality.enforce(
             {
-                "hourly grid": quality.hourly_grid(panel),
-                "asset precondition": quality.asset_precondition(panel, asset, self.summary),
+                "hourly grid": quality.hourly_grid(one),
+                "asset precondition": quality.asset_precondition(one, asset, self.summary),
             }
         )
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from barfold.functions import metrics
 from barfold.functions.features import apply_features
-from barfold.operators import backtest, folds, ledger, quality, tuning, walkforward
+from barfold.operators import backtest, fitting, folds, ledger, normal, quality, samples, tuning, walkforward
 from barfold.operators.calendar import Geometry, Schedule, calendar_of
 from barfold.operators.models import EstimatorForecaster, Forecaster, RidgeDMS, RidgeSequence
+from barfold.operators.moments import Moments
 from barfold.operators.scaling import FoldScaler
 from barfold.panel import Panel
 from tests.conftest import START, bar_frame, to_spark
@@ -53,6 +54,24 @@ def test_standard_scaler_with_a_mean_far_above_the_spread(panel, mode):
         assert abs(r.log_volume__scale - want.std()) < 0.02
 
 
+@pytest.mark.parametrize("mode", ["sliding", "expanding"])
+def test_standard_scaler_of_a_drifting_level(panel, mode):
+    """Level 0 for a while, then 1e9 with a spread of 0.7: the far level cancels nothing."""
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule = Schedule(first, 120, 12, 12, 20, mode)
+    hour = F.unix_timestamp(F.col("time").cast("timestamp")) / 3600
+    place = F.sin(hour) + F.when(F.col("time") < F.lit(schedule.at(150)), 0.0).otherwise(1e9)
+    moved = Panel(panel.df.withColumn("log_volume", place), panel.features, panel.labels).on_grid()
+    stats = FoldScaler(columns=("log_volume",), scale_labels=False).fit(moved, schedule, 0).stats.toPandas()
+    hours = np.arange(400) + first.timestamp() / 3600
+    values = np.sin(hours) + np.where(np.arange(400) < 150, 0.0, 1e9)
+    for r in stats.itertuples():
+        want = values[r.fold_idx * 12 if mode == "sliding" else 0 : r.fold_idx * 12 + 120]
+        np.testing.assert_allclose([r.log_volume__center, r.log_volume__scale], [want.mean(), want.std()], rtol=1e-6)
+    late = [r.log_volume__scale for r in stats.itertuples() if r.fold_idx * 12 >= 150]
+    assert len(late) == 0 if not len(stats) else all(0.6 < v < 0.8 for v in late) == (mode == "sliding")
+
+
 def test_scaler_sees_training_rows_only(panel, schedule):
     def stats(p):
         return FoldScaler().fit(p, schedule, 12).stats.orderBy("asset", "fold_idx").toPandas()
@@ -111,6 +130,110 @@ def test_future_bars_change_no_forecast(spark, bars, panel, schedule):
     assert not np.allclose(a[~keep].prediction, b[~keep].prediction)
 
 
+def _by_rows(monkeypatch):
+    monkeypatch.setattr(normal, "applies", lambda *a: False)
+
+
+@pytest.mark.parametrize("method", [None, "standard", "minmax"])
+@pytest.mark.parametrize("shape", ["tabular", "picked", "sequence", "unscaled labels"])
+def test_expanding_fits_by_moments_equal_fits_by_rows(panel, method, shape, monkeypatch):
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule = Schedule(first, 120, 12, 7, 20, "expanding")
+    model = {"picked": RidgeDMS(2.0, ("log_return_lag_2", "log_volume")), "sequence": RidgeSequence(3.0, ("log_volume",))}.get(shape, RidgeDMS(1.0))
+    scaler = None if method is None else FoldScaler(method, scale_labels=shape != "unscaled labels")
+    options = {"scaler": scaler, "val_ratio": 0.2} | ({"lags": 0, "lookback": 3} if shape == "sequence" else {})
+    monkeypatch.setattr(normal, "STRETCHES", 5)
+    monkeypatch.setattr(normal, "FOLDS", 3)
+    done = _run(panel, schedule, model, **options)
+    _by_rows(monkeypatch)
+    want = _run(panel, schedule, model, **options)
+    assert len(done) == len(want) == 2 * 20 * 12
+    pd.testing.assert_frame_equal(done, want, rtol=1e-8, atol=1e-12)
+
+
+def test_expanding_fits_of_late_and_short_assets(spark, monkeypatch):
+    """Series that begin and end within the schedule, and one before its origin."""
+    pdf = pd.concat([bar_frame(("a",), 400, 1), bar_frame(("late",), 400, 2).iloc[130:], bar_frame(("short",), 400, 3).iloc[:292]])
+    panel = apply_features(Panel(to_spark(spark, pdf)).on_grid(), LITE).on_grid()
+    schedule = Schedule(START + pd.Timedelta(hours=5), 250, 12, 12, 10, "expanding")
+    for model, options in ((RidgeDMS(1.0), {"lags": 2}), (RidgeSequence(1.0), {"lags": 0, "lookback": 4, "val_ratio": 0.3})):
+        monkeypatch.undo()
+        done = _run(panel, schedule, model, **options)
+        _by_rows(monkeypatch)
+        pd.testing.assert_frame_equal(done, _run(panel, schedule, model, **options), rtol=1e-7, atol=1e-12)
+        assert done.asset.nunique() == 3 and done[done.asset == "short"].fold_idx.max() < 9
+
+
+def test_expanding_fits_refuse_holes_and_infinities(panel):
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule = Schedule(first, 120, 12, 12, 8, "expanding")
+    gone = Panel(panel.df.filter(F.hour("time") != 7), panel.features, panel.labels).on_grid()
+    with pytest.raises(Exception, match="holes or repeated rows"):
+        _run(gone, schedule)
+    for mode in ("expanding", "sliding"):
+        odd = F.when(F.col("time") == F.lit(schedule.at(100)), float("inf")).otherwise(F.col("log_volume"))
+        with pytest.raises(Exception, match="missing values or infinities in training rows"):
+            _run(Panel(panel.df.withColumn("log_volume", odd), panel.features, panel.labels).on_grid(), Schedule(first, 120, 12, 12, 8, mode))
+
+
+def test_expanding_tuned_params(spark, panel, monkeypatch):
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule = Schedule(first, 120, 12, 12, 4, "expanding")
+    params = spark.createDataFrame([("a", '{"alpha": 50.0}'), ("b", None)], "asset string, params string")
+    done = _run(panel, schedule, params=params)
+    _by_rows(monkeypatch)
+    pd.testing.assert_frame_equal(done, _run(panel, schedule, params=params), rtol=1e-8, atol=1e-12)
+
+
+def test_expanding_fits_shuffle_in_proportion(spark):
+    """Twice the history and twice the folds: twice the rows between stages, not four times."""
+    def moved(rows):
+        pdf = bar_frame(("a",), rows, 4)
+        panel = apply_features(Panel(to_spark(spark, pdf)).on_grid(), LITE).on_grid()
+        schedule = Schedule(START + pd.Timedelta(hours=2), 120, 12, 12, (rows - 140) // 12, "expanding")
+        plan = walkforward.make_plan(panel, schedule, [RidgeDMS()], horizon=12, lookback=0, scaler=FoldScaler(), val_ratio=0.1, lags=2)
+        layout = normal.Layout.of(plan, RidgeDMS())
+        spans = panel.df.groupBy("asset").agg(F.min(folds.fold_position(panel, schedule)).alias("_first"), F.max(folds.fold_position(panel, schedule)).alias("_last"))
+        halo = normal._halo_rows(panel, schedule, layout, spans, 256).count()
+        return halo, normal._fold_table(panel, schedule, layout, spans).count()
+
+    (halo, ends), (halo2, ends2) = moved(1500), moved(3000)
+    assert halo2 < 2.2 * halo and ends2 < 2.3 * ends
+
+
+@pytest.mark.parametrize("mode", ["sliding", "expanding"])
+def test_one_decomposition_scores_like_single_fits(panel, mode, monkeypatch):
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule = Schedule(first, 120, 12, 12, 8, mode)
+    grid = [{"alpha": a} for a in (0.0, 1e-3, 1.0, 30.0, 1e4)]
+
+    def losses():
+        out = tuning.score_grid(panel, schedule, RidgeSequence(), grid, horizon=12, lookback=3, val_ratio=0.3)
+        return out.toPandas().sort_values(["asset", "trial", "fold_idx"]).reset_index(drop=True)
+
+    done = losses()
+    _by_rows(monkeypatch)
+    monkeypatch.setattr(fitting, "all_losses", lambda model, candidates, samples: [fitting.fit_one(model.tuned(c), samples) for c in candidates])
+    want = losses()
+    pd.testing.assert_frame_equal(done, want, rtol=1e-9, atol=1e-12)
+    assert len(done) == 2 * 5 * 8 and done.val_loss.notna().all()
+
+
+def test_moments_merge_and_part():
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(60, 4)) + np.array([0, 1e6, -3, 5])
+    for diagonal in (False, True):
+        parts = [Moments.of(v, diagonal=diagonal) for v in (values[:7], values[7:7], values[7:41], values[41:])]
+        total = parts[0].plus(parts[1]).plus(parts[2]).plus(parts[3])
+        whole = Moments.of(values, diagonal=diagonal)
+        np.testing.assert_allclose(total.mean, whole.mean)
+        np.testing.assert_allclose(total.dev, whole.dev, rtol=1e-9, atol=1e-6)
+        rest = total.minus(parts[0].plus(parts[2]))
+        assert rest.n == 19
+        np.testing.assert_allclose(rest.dev, parts[3].dev, rtol=1e-5, atol=1e-4)
+        assert total.minus(total).n == 0
+
+
 def _planted(spark):
     """A label that is an exact linear function of the features of the same row."""
     rng = np.random.default_rng(5)

@@ -43,6 +43,36 @@ def _(d):
     return bar_files.read_bars(d.spark, path, preset="univariate", asset_from="folder").df
 
 
+@query(
+    "read_bars_mixed",
+    sql.query(
+        BARS,
+        """q AS (SELECT asset, time, close, volume,
+             CASE WHEN ascii(right(asset, 1)) % 3 = 2 THEN NULL ELSE open END AS open,
+             CASE WHEN ascii(right(asset, 1)) % 3 = 2 THEN NULL ELSE high END AS high,
+             CASE WHEN ascii(right(asset, 1)) % 3 = 2 THEN NULL ELSE low END AS low FROM bars)""",
+        """SELECT asset, time, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low,
+             round(close, 6) + 0.0 AS close, CASE WHEN open IS NULL THEN NULL ELSE round(volume, 6) + 0.0 END AS volume FROM q""",
+    ),
+)
+def _(d):
+    """Files with other orders, with more columns and with two columns alone, in one read."""
+    path = d.scratch() + "/csv"
+    iso = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("open_time_iso")
+    bars = d.bars().df.select("asset", iso, "open", "high", "low", "close", "volume")
+    kinds = [
+        ["open_time_iso", "open", "high", "low", "close", "volume", F.lit("x, y").alias("note")],
+        ["volume", "close", "low", "open_time_iso", "high", "open"],
+        ["open_time_iso", "close"],
+    ]
+    for n, columns in enumerate(kinds):
+        some = bars.filter(F.ascii(F.right("asset", F.lit(1))) % 3 == n).select("asset", *columns)
+        some.write.mode("append").partitionBy("asset").csv(path, header=True)
+    return bar_files.read_bars(d.spark, path, preset="tick", asset_from="folder").df.select(
+        "asset", "time", "open", "high", "low", "close", "volume"
+    )
+
+
 @query(
     "write_bars",
     sql.query(BARS, sql.out("asset time open:d high:d low:d close:d volume:d", "bars")),

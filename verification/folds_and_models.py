@@ -171,7 +171,20 @@ def _(d):
     )
 
 
-@query("calendar_provenance")
+PROVENANCE = """
+pv AS (SELECT strftime(t0, '%Y-%m-%dT%H:%M:%S') AS t_first, strftime(t1, '%Y-%m-%dT%H:%M:%S') AS t_last,
+         strftime(cut, '%Y-%m-%dT%H:%M:%S') AS t_cut, n, snap, n_oos,
+         (SELECT count(*) FROM oos) AS f_oos, (SELECT count(*) FROM dense) AS f_dense,
+         (SELECT count(*) FROM sparse) AS f_sparse FROM cal),
+js AS (SELECT 'calendar' AS name, format(
+         '{{"L_max": 48, "cut_fraction": 0.5, "geometry": {{"delta_insample_h": 48, "delta_oos_h": 24, "embargo_h": 24, '
+         || '"mode": "sliding", "test_window_h": 24, "train_window_h": 168}}, "n_folds": {{"in_sample": {}, '
+         || '"in_sample_dense": {}, "oos": {}}}, "n_rows": {{"in_sample_dense": {}, "oos": {}}}, "n_total_rows": {}, '
+         || '"snap_adjustment_h": {}, "t_cut": "{}", "t_first": "{}", "t_last": "{}"}}',
+         f_sparse, f_dense, f_oos, 24 * f_dense, n_oos, n, snap, t_cut, t_first, t_last) AS payload FROM pv)"""
+
+
+@query("calendar_provenance", sql.query(*CAL, PROVENANCE, "SELECT name, payload FROM js"))
 def _(d):
     return d.calendar(d.lite()).provenance_table(d.spark)
 
@@ -319,6 +332,54 @@ def _(d):
     return exploded(made, ["asset", "fold_idx", "time"], x=F.col("x"))
 
 
+HOLED_ROWS = """
+hl AS MATERIALIZED (SELECT * FROM lite WHERE hour(time) % 5 <> 2 AND NOT (asset LIKE 'view%' AND day(time) BETWEEN 17 AND 18))"""
+
+
+def _holed(d):
+    """Every asset lacks hours, and some lack two whole days."""
+    panel = d.lite()
+    keep = (F.hour("time") % 5 != 2) & ~(F.col("asset").startswith("view") & F.dayofmonth("time").between(17, 18))
+    return type(panel)(panel.df.filter(keep), panel.features, panel.labels), d.calendar(panel).schedule("oos")
+
+
+@query(
+    "sequence_context_holes",
+    sql.query(
+        *CAL, HOLED_ROWS,
+        """k AS (SELECT l.*, f.fold_idx, row_number() OVER (PARTITION BY asset, fold_idx ORDER BY time DESC) AS back,
+             count(*) OVER (PARTITION BY asset, fold_idx) AS n
+             FROM hl l JOIN oos f ON l.time >= f.train_start AND l.time < f.train_end),
+        q AS (SELECT asset, fold_idx, 'x' AS part, 2 * (least(n, 30) - back) + f AS k,
+             CASE f WHEN 0 THEN log_return_1 ELSE log_volume END AS value
+             FROM k, unnest(range(0, 2)) AS u(f) WHERE back <= 30)""",
+        sql.out("asset fold_idx part k:i value:d", "q"),
+    ),
+)
+def _(d):
+    panel, schedule = _holed(d)
+    made = samples.sequence_context(panel, schedule, 30)
+    return exploded(made, ["asset", "fold_idx"], x=F.flatten("x"))
+
+
+@query(
+    "tabular_context_holes",
+    sql.query(
+        *CAL, HOLED_ROWS,
+        """f1 AS (SELECT asset, fold_idx, min(time) AS time FROM hl JOIN oos f
+             ON time >= f.test_start AND time < f.test_end GROUP BY 1, 2),
+        q AS (SELECT f1.asset, f1.fold_idx, f1.time, 'x' AS part, k,
+             CASE k WHEN 0 THEN log_return_1 ELSE log_volume END AS value
+             FROM f1 JOIN hl ON hl.asset = f1.asset AND hl.time = f1.time, unnest(range(0, 2)) AS u(k))""",
+        sql.out("asset fold_idx time part k:i value:d", "q"),
+    ),
+)
+def _(d):
+    panel, schedule = _holed(d)
+    made = samples.tabular_context(panel, schedule)
+    return exploded(made, ["asset", "fold_idx", "time"], x=F.col("x"))
+
+
 # -- scaling -----------------------------------------------------------------------
 
 COLS = ("log_return_1", "log_volume", "log_return")
@@ -483,6 +544,29 @@ def _(d):
     return done.select("asset", "fold_idx", "step", "time", "prediction")
 
 
+def _expanding_tabular_sql() -> list[str]:
+    """The same on expanding folds from the first row on, whose first three rows have no two lags."""
+    first, lite, _, fits, *rest = _tabular_sql(1.0)
+    fits = fits.replace("log_return AS y\n             FROM lite", "log_return AS y,\n               row_number() OVER w AS rn FROM lite")
+    fits = fits.replace("x1, x2, y FROM lg JOIN oos f\n", "x1, x2, y FROM lg JOIN oos f ON rn > 3\n").replace("             ON lg.time >= f.train_start", "             AND lg.time >= f.train_start")
+    return [first, lite, _splits_sql("expanding") + ", oos AS (SELECT * FROM q)", fits, *rest]
+
+
+@query(
+    "walk_forward_expanding",
+    sql.query(
+        *_expanding_tabular_sql(),
+        sql.out("asset fold_idx step:i time prediction:d last_train_label_ts", "p"),
+    ),
+)
+def _(d):
+    """Growing training windows: normal equations are added up, no row is read per fold."""
+    panel, _, model = _two_lags(d)
+    schedule = cal.splits_of(panel, train="10d", test="24h", step=36, mode="expanding")
+    done = walkforward.walk_forward(panel, schedule, model, horizon=24, lags=2)
+    return done.select("asset", "fold_idx", "step", "time", "prediction", "last_train_label_ts")
+
+
 SEQUENCE = [
     *CAL,
     """f0 AS MATERIALIZED (SELECT l.asset, l.time, f.fold_idx, f.train_end, log_return_1 AS x, log_return AS y
@@ -559,6 +643,30 @@ def _grid_sql() -> str:
     return [*ctes, f"ls AS MATERIALIZED ({union})"]
 
 
+def _expanding_grid_sql() -> list[str]:
+    """The grid on expanding folds, whose validation blocks grow with them."""
+    size = "greatest(floor((date_diff('hour', train_start, train_end) - 24) * 0.3::DOUBLE), 26)"
+    out = []
+    for part in _grid_sql():
+        part = part.replace("JOIN sparse f", "JOIN q f").replace("f.train_end, log_return_1", f"f.train_end, {size} AS size, log_return_1")
+        part = part.replace("date_diff('hour', f0.time, f0.train_end) AS back", "date_diff('hour', f0.time, f0.train_end) AS back, size")
+        out.append(part.replace("24 + 43", "24 + size"))
+    return [*LITE, _splits_sql("expanding"), *out[len(CAL):]]
+
+
+@query(
+    "score_grid_expanding",
+    sql.query(*_expanding_grid_sql(), sql.out("asset trial:i fold_idx val_loss:d", "ls")),
+)
+def _(d):
+    """A search over growing windows: validation losses come from moments, too."""
+    panel = _sequence_panel(d)
+    schedule = cal.splits_of(panel, train="10d", test="24h", step=36, mode="expanding")
+    return tuning.score_grid(
+        panel, schedule, RidgeSequence(), GRID, horizon=24, lookback=2, val_ratio=0.3
+    )
+
+
 def _losses(d):
     panel = _sequence_panel(d)
     return tuning.score_grid(
@@ -614,7 +722,26 @@ class NearestCentroid:
         return np.stack([1.0 - p, p], axis=1)
 
 
-@query("walk_forward_classifier")
+def _classifier_sql() -> list[str]:
+    """Means of the scaled inputs by the sign of the label; the nearer mean's side of the logistic curve."""
+    first, lite, calendar, fits, _, last = _tabular_sql(1.0)
+    return [
+        first, lite, calendar, fits.replace("(y - cy) / sy AS y", "y"),
+        """ct AS (SELECT asset, fold_idx, step,
+             coalesce(avg(x1) FILTER (y > 0), 0) AS u1, coalesce(avg(x2) FILTER (y > 0), 0) AS u2,
+             coalesce(avg(x1) FILTER (y <= 0), 0) AS d1, coalesce(avg(x2) FILTER (y <= 0), 0) AS d2
+             FROM tw GROUP BY 1, 2, 3),
+        pr AS (SELECT ct.asset, ct.fold_idx, step, 1 / (1 + exp(-(
+             pow(pw.x1 - d1, 2) + pow(pw.x2 - d2, 2) - pow(pw.x1 - u1, 2) - pow(pw.x2 - u2, 2)))) AS prediction
+             FROM ct JOIN pw ON pw.asset = ct.asset AND pw.fold_idx = ct.fold_idx)""",
+        last,
+    ]
+
+
+@query(
+    "walk_forward_classifier",
+    sql.query(*_classifier_sql(), sql.out("asset fold_idx step:i time prediction:d", "p")),
+)
 def _(d):
     panel, schedule, _ = _two_lags(d)
     model = EstimatorForecaster(
