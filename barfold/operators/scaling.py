@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barfold.operators import blocks
+from barfold.operators import blocks, selection
 from barfold.operators.calendar import Schedule
 from barfold.operators.folds import fold_position
 from barfold.panel import Panel
@@ -129,15 +129,12 @@ def fold_statistics(
     keys = [panel.asset, "fold_idx"]
     out: list[Column] = []
     if method == "robust":
-        # Exact quartiles are not additive: rows are copied to their folds.
+        # Exact quartiles are not additive, but they can be looked up without copying rows.
         short = Schedule(
             schedule.start, schedule.train - trim, schedule.test, schedule.step,
             schedule.n_folds, schedule.mode, schedule.seconds,
         )
-        slim = panel.df.select(panel.asset, fold_position(panel, schedule).alias(blocks.POS), *columns)
-        hit = blocks.explode_range(slim, "fold_idx", *short.train_folds(F.col(blocks.POS)))
-        at = [0.25, 0.5, 0.75]
-        table = hit.groupBy(*keys).agg(*[F.percentile(c, at).alias(f"{c}__p") for c in columns])
+        table = selection.window_percentiles(panel, short, columns, [0.25, 0.5, 0.75])
         for c in columns:
             p = F.col(f"{c}__p")
             out += [p[1].alias(f"{c}__center"), _or_one(p[2] - p[0]).alias(f"{c}__scale")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barfold.functions import metrics
 from barfold.functions.features import apply_features
-from barfold.operators import backtest, fitting, folds, ledger, normal, quality, samples, tuning, walkforward
+from barfold.operators import backtest, fitting, folds, ledger, normal, quality, selection, tuning, walkforward
 from barfold.operators.calendar import Geometry, Schedule, calendar_of
 from barfold.operators.models import EstimatorForecaster, Forecaster, RidgeDMS, RidgeSequence
 from barfold.operators.moments import Moments
@@ -72,6 +72,34 @@ def test_standard_scaler_of_a_drifting_level(panel, mode):
     assert len(late) == 0 if not len(stats) else all(0.6 < v < 0.8 for v in late) == (mode == "sliding")
 
 
+@pytest.mark.parametrize("mode, train, step, cell_rows, radix", [("sliding", 120, 12, 40, 3), ("expanding", 50, 7, 16, 2), ("sliding", 9, 24, 1000, 64), ("expanding", 120, 12, 7, 50)])
+def test_percentiles_of_windows_equal_those_of_copied_rows(spark, mode, train, step, cell_rows, radix):
+    """Ties, NULLs, a column of NULLs, holes and assets of other lengths; trees of none to several levels."""
+    rng = np.random.default_rng(step)
+    rows = []
+    for asset, n in (("a", 400), ("b", 150), ("c", 1)):
+        for p in range(n):
+            if asset != "b" or p % 5:
+                x = float(rng.integers(0, 6)) if p % 9 else None
+                rows.append((asset, START + pd.Timedelta(hours=p - 20).to_pytimedelta(), x, float(rng.normal()), None))
+    df = spark.createDataFrame(rows, "asset string, time timestamp_ntz, x double, y double, z double")
+    panel, schedule = Panel(df, ("x", "y", "z")), Schedule(START, train, 6, step, 30, mode)
+    hit = folds.assign_folds(panel, schedule, (folds.TRAIN,))
+    want = hit.groupBy("asset", "fold_idx").agg(*[F.percentile(c, [0.25, 0.5, 0.75, 1.0]).alias(f"{c}__p") for c in "xyz"])
+    done = selection.window_percentiles(panel, schedule, ["x", "y", "z"], [0.25, 0.5, 0.75, 1.0], cell_rows=cell_rows, radix=radix)
+    told = {(r.asset, r.fold_idx): r for r in done.collect()}
+    assert len(told) > 30 or train == 9
+    for r in want.collect():
+        if r.x__p is None and r.y__p is None:
+            continue
+        got = told.pop((r.asset, r.fold_idx))
+        for c in ("x__p", "y__p", "z__p"):
+            assert (got[c] is None) == (r[c] is None)
+            if r[c] is not None:
+                np.testing.assert_allclose(got[c], r[c], rtol=1e-12, atol=1e-12)
+    assert not told
+
+
 def test_scaler_sees_training_rows_only(panel, schedule):
     def stats(p):
         return FoldScaler().fit(p, schedule, 12).stats.orderBy("asset", "fold_idx").toPandas()

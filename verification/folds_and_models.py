@@ -415,20 +415,22 @@ for _method in scaling.METHODS:
         return FoldScaler(method).fit(panel, d.calendar(panel).schedule("oos"), 24).stats
 
 
-@query(
-    "scaler_standard_expanding",
-    sql.query(
-        *LITE, _splits_sql("expanding"),
-        """tm AS (SELECT lite.*, fold_idx FROM lite JOIN q ON time >= train_start
-             AND time < train_end - to_hours(24))""",
-        _stats_sql("standard"),
-        sql.out(STAT_COLUMNS, "st"),
-    ),
-)
-def _(d):
-    panel = d.lite()
-    schedule = cal.splits_of(panel, train="10d", test="24h", step=36, mode="expanding")
-    return FoldScaler("standard").fit(panel, schedule, 24).stats
+for _method in ("standard", "robust"):
+
+    @query(
+        f"scaler_{_method}_expanding",
+        sql.query(
+            *LITE, _splits_sql("expanding"),
+            """tm AS (SELECT lite.*, fold_idx FROM lite JOIN q ON time >= train_start
+                 AND time < train_end - to_hours(24))""",
+            _stats_sql(_method),
+            sql.out(STAT_COLUMNS, "st"),
+        ),
+    )
+    def _(d, method=_method):
+        panel = d.lite()
+        schedule = cal.splits_of(panel, train="10d", test="24h", step=36, mode="expanding")
+        return FoldScaler(method).fit(panel, schedule, 24).stats
 
 
 @query(

@@ -257,9 +257,9 @@ def _(d):
     "max_drawdown_exact",
     sql.query(
         *LITE,
-        """mr AS (SELECT asset, time, i, 100 * (exp(log_return) - 1) AS r FROM lite),
+        """mr AS (SELECT asset, time, i, 12 * (exp(log_return) - 1) AS r FROM lite),
         me AS (SELECT *, product(1 + r) OVER (PARTITION BY asset ORDER BY time
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM mr WHERE day(time) <= 2),
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM mr),
         mp AS (SELECT *, max(eq) OVER (PARTITION BY asset ORDER BY time
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM me),
         q AS (SELECT asset, min((eq - peak) / peak) AS max_drawdown FROM mp GROUP BY 1)""",
@@ -270,8 +270,8 @@ def _(d):
     """Leveraged returns that lose more than everything."""
     panel = d.lite(STEADY)
     hours = F.unix_seconds(F.col("time").cast("timestamp")) / 3600
-    rows = panel.df.filter(F.dayofmonth("time") <= 2).select(
-        "asset", hours.cast("long").alias("i"), (100 * F.expm1("log_return")).alias("r")
+    rows = panel.df.select(
+        "asset", hours.cast("long").alias("i"), (12 * F.expm1("log_return")).alias("r")
     )
     return metrics.max_drawdown(rows, ["asset"], "r", "i", exact=True, block_rows=10)
 
