@@ -662,10 +662,8 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = sorted(run(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
-    # 9 and 43 are near copies: the token line adds few shingles to 80 words.
-    kept = {r.doc_id for r in out}
-    assert kept == set(range(40)) - {5} | ({43} if 43 in kept else set())
-    assert len(out) == len(kept)
+    # 43 is a near copy of 9: the token line adds three shingles to its 76.
+    assert [r.doc_id for r in out] == sorted(set(range(40)) - {5})
     docs = spark.createDataFrame(rows, schema)
     for name, stage in STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
