@@ -578,6 +578,65 @@ def test_secrets(spark):
     assert randomness.scan(df.limit(0)).count() == 0
 
 
+def brute_strangeness(match):
+    """How much likelier an even draw makes a string than the model of names, character by character."""
+    s = match.rstrip("=")
+    size = next(len(a) if k < len(randomness.ENCODINGS) - 1 else 64 for k, (_, p, a) in enumerate(randomness.ENCODINGS) if re.match(p, s))
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+    out = -len(s) * math.log(size) - math.log(0.25)
+    for k, c in enumerate(s):
+        if k:
+            out -= math.log(randomness.FOLLOWS[kind(s[k - 1])][kind(c)])
+        at = "abcdefghijklmnopqrstuvwxyz".find(c.lower())
+        out -= math.log(randomness.LETTERS[at] / sum(randomness.LETTERS) if at >= 0 else 0.1 if c.isdigit() else 0.25)
+    return out
+
+
+def test_strangeness_equals_brute_force(spark):
+    rng = random.Random(2)
+    signs = "abcxyzABCXYZ0189+/_-"
+    rows = [("".join(rng.choices(signs[: rng.choice([3, 6, 12, 16, 20])], k=rng.randint(1, 40))) + "=" * rng.randint(0, 2),) for _ in range(200)]
+    df = spark.createDataFrame(rows, "match string").select("match", randomness.strangeness(F.col("match")).alias("e"))
+    for r in df.collect():
+        assert r.e == pytest.approx(brute_strangeness(r.match), rel=1e-9), r.match
+
+
+def test_levels_hold_by_definition():
+    rng = random.Random(3)
+    for _ in range(50):
+        e = [rng.choice([0, 0, 0, rng.uniform(0, 40)]) for _ in range(rng.randint(1, 60))]
+        counts = collections.Counter(max(0, min(randomness.E_MOST, math.floor(x * randomness.E_STEPS))) for x in e)
+        first = randomness.strange_step(counts)
+        kept = sorted(math.floor(x * randomness.E_STEPS) for x in e if math.floor(x * randomness.E_STEPS) >= first)
+        best = 0
+        for step in range(1, randomness.E_MOST + 1):
+            k = sum(n for s, n in counts.items() if s >= step)
+            if k and step / randomness.E_STEPS >= math.log(len(e) / (randomness.FALSE_SECRETS * k)):
+                best = max(best, k)
+        assert len(kept) == best
+    assert randomness.strange_step({}) == randomness.E_MOST + 1 and randomness.refused_steps({}) == 0
+
+
+@pytest.mark.parametrize("crowd", [0, 300])
+def test_random_strings_of_all_shapes_among_plain_ones(spark, crowd):
+    """Keys of letters alone and of 16 characters on are found, names are not, alone or in a crowd of long words."""
+    rng = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shapes = [(lower + upper, 40), (lower + upper, 18), (upper, 20), (lower + upper + digits, 16), (upper + digits, 24), (lower + digits + "-_", 32)]
+    keys = ["".join(rng.choices(a, k=n)) for a, n in shapes for _ in range(3)]
+    names = [
+        "ExtendedConfigurationManager2Impl", "some_long_variable_name", "path/to/some/file_name", "Donaudampfschifffahrtsgesellschaft",
+        "550e8400-e29b-41d4-a716-446655440000", "getHTTPResponseCode404", "2024-01-15T12-30-45-report", "MAX_CONNECTION_RETRY_COUNT", "a" * 24, "thanonontioniner",
+    ]
+    syllables = ["ing", "tion", "er", "an", "the", "lich", "ment", "ou", "re", "st"]
+    words = ["".join(rng.choices(syllables, k=7)) for _ in range(crowd)]
+    rows = list(enumerate([f"see {s} there" for s in [*keys, *names, *words]]))
+    found = {r.doc_id for r in randomness.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if any(s.kind == 3 for s in r.secrets)}
+    assert not {k for k in found if k >= len(keys)}
+    missed = set(range(len(keys))) - found
+    assert len(missed) <= 1, [keys[k] for k in missed]
+
+
 # Quality
 
 
