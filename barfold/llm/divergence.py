@@ -176,11 +176,10 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
     sums = {r.grp: np.array(r[1 : CLASSES + 1], float) for r in own.collect()}
     every = classes.agg(*[F.sum(f"c{k}") for k in range(CLASSES)]).first()
     sums[_ALL] = np.array([x or 0 for x in every], float)
-    floor = F.create_map(*[x for g, n in totals.items() for x in (F.lit(g), F.lit(WORD_SHARE * n))]) if totals else None
+    floors = df.sparkSession.createDataFrame([(g, WORD_SHARE * n) for g, n in totals.items()], "grp string, least double")
     common: dict[str, list[tuple[str, int]]] = {}
-    if floor is not None:
-        for r in both.filter(F.col("n") >= floor[F.col("grp")]).collect():  # at most 1/WORD_SHARE for each
-            common.setdefault(r.grp, []).append((r.word, r.n))
+    for r in both.join(F.broadcast(floors), "grp").filter("n >= least").collect():  # at most 1/WORD_SHARE for each
+        common.setdefault(r.grp, []).append((r.word, r.n))
     out = {}
     for name, counts in sums.items():
         some, total = common.get(name, []), max(1, totals.get(name, 0))
