@@ -471,6 +471,64 @@ def test_shards_are_even_and_keep_groups(spark, nothing):
     assert kd_shards.shard(nothing).count() == 0
 
 
+def test_cuts_are_weighted_medians_of_the_widest_dimension(spark):
+    """Every node by brute force: its dimension, and how near its cut comes to the wanted bytes. Rows repeat."""
+    rng = random.Random(7)
+    rows = [(k, "y" * int(rng.paretovariate(0.7) * 9 % 5000) + str(k % 90), rng.choice(["en", "de", None])) for k in range(600)]
+    rows += [rows[3]] * 40 + [(7000, "hot text " * 9, "en")] * 250
+    meta = kd_shards.coordinates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).cache()
+    root, shards = kd_shards.tree(meta, 6), 6
+    every = meta.collect()
+    tolerance = kd_shards.TOLERANCE * sum(r["size"] for r in every) / shards
+    whole = {d: max(1, max(r[d] for r in every) - min(r[d] for r in every)) for d in kd_shards.DIMENSIONS}
+
+    def best(mine, d, target):
+        done, out = 0, target
+        for key in sorted({r[d] for r in mine}):
+            done += sum(r["size"] for r in mine if r[d] == key)
+            out = min(out, abs(target - done))
+        return out
+
+    def visit(node, mine):
+        if not node.children:
+            return 1
+        wide = sorted(kd_shards.DIMENSIONS, key=lambda d: -(max(r[d] for r in mine) - min(r[d] for r in mine)) / whole[d])
+        target = sum(r["size"] for r in mine) * (node.shards // 2) / node.shards
+        left = [r for r in mine if r[node.dimension] < node.at or (r[node.dimension] == node.at and r["spread"] < node.inner)]
+        off = abs(sum(r["size"] for r in left) - target)
+        if not node.inner:
+            tried = wide[: wide.index(node.dimension) + 1]
+            assert off == pytest.approx(best(mine, node.dimension, target), abs=1e-6)
+            assert all(best(mine, d, target) > tolerance for d in tried[:-1])
+            assert off <= min(best(mine, d, target) for d in tried) + 1e-6
+        else:
+            assert min(best(mine, d, target) for d in wide) > 5 * tolerance
+            # Only the rows of one key are parted, by their spread, as near as whole rows allow.
+            key = [r for r in mine if r[node.dimension] == node.at]
+            assert off <= max(sum(r["size"] for r in key if r["spread"] == s) for s in {r["spread"] for r in key})
+        ids = {id(r) for r in left}
+        return visit(node.children[0], left) + visit(node.children[1], [r for r in mine if id(r) not in ids])
+
+    assert visit(root, every) == shards
+    meta.unpersist()
+
+
+def test_slots_against_sql(spark, tmp_path):
+    """Sizes, checksums' rows and gapless slots of the query's own result, in DuckDB."""
+    import duckdb
+
+    rows = [(k % 500, "t" * (k % 37) + ("é" if k % 3 else ""), "en") for k in range(1500)] + [(None, None, None)] * 5
+    kd_shards.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string"), shards=5).write.parquet(str(tmp_path / "out"))
+    con = duckdb.connect()
+    told = con.sql(f"""
+        WITH o AS (SELECT * FROM read_parquet('{tmp_path}/out/*.parquet'))
+        SELECT count(*), sum(size), count(DISTINCT shard), max(b) - min(b), bool_and(lo = 0 AND hi = n - 1 AND n = k)
+        FROM (SELECT shard, min(slot) AS lo, max(slot) AS hi, count(*) AS n, count(DISTINCT slot) AS k, sum(size) AS b, sum(size) AS size FROM o GROUP BY shard) g
+    """).fetchall()[0]
+    total = sum(len((t or "").encode()) + 8 for _, t, _ in rows)
+    assert told[0] == 5 and told[1] == total and told[2] == 5 and told[3] <= 0.25 * total / 5 and told[4]
+
+
 # Language model
 
 
@@ -501,6 +559,24 @@ def test_mixing_with_a_small_broadcast_is_the_same(docs, monkeypatch):
         assert r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-9)
 
 
+def test_mixing_does_not_depend_on_partitions_or_other_columns(spark, docs, monkeypatch):
+    """The same scores for any cut of the tables; rows without id, and columns named like those of the result."""
+    rows, _ = docs
+    named = [(None if k % 11 == 0 else d, t, 1.0, "x") for k, (d, t, *_) in enumerate(rows)]
+    schema = "doc_id long, text string, score double, word string"
+    monkeypatch.setattr(mixing, "PART_WORDS", 150)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    for parts in (3, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        out = mixing.score(spark.createDataFrame(named, schema).repartition(parts)).collect()
+        seen.append(sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6), r.score) for r in out))
+        assert not any(r.held_out for r in out if r.doc_id is None)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r[:3] for r in seen[0]] == [r[:3] for r in seen[1]]
+    np.testing.assert_allclose([r[3] for r in seen[0]], [r[3] for r in seen[1]], rtol=1e-6)
+
+
 def test_model_is_a_distribution_and_learns():
     """Probabilities of all one-byte continuations add up to 1; frequent words cost less than unseen ones."""
     words, times = ["the", "of", "thing", "\n"], np.array([50.0, 30.0, 2.0, 10.0])
