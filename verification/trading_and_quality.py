@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barfold.functions import metrics
@@ -9,6 +11,7 @@ from barfold.functions.trading import sign_signal, threshold_signal, txn_cost_lo
 from barfold.operators import backtest, ledger, quality
 from barfold.operators.calendar import Schedule
 from barfold.operators.models import RidgeSequence
+from barfold.operators.tuning import sample_space
 from barfold.plans.context import ModelSpec, run_context
 from barfold.plans.produce import produce_forecasts
 from barfold.schema import RUN_KEYS
@@ -16,7 +19,8 @@ from barfold.sources import store
 from barfold.sources.store import ForecastStore
 from verification import sql
 from verification.base import GEOMETRY, STEADY, exploded, query
-from verification.folds_and_models import BACKTEST, METRICS, metrics_sql
+from verification.folds_and_models import BACKTEST, METRICS, SEQUENCE, metrics_sql
+from verification.folds_and_models import CAL as PLAIN_CAL
 
 BARS = sql.bars(STEADY)
 LITE = [BARS, sql.LITE]
@@ -866,3 +870,59 @@ def _(d):
     ctx = run_context(d.bars(), GEOMETRY, models, n_trials=2, longest_lookback=48)
     kept = ForecastStore(d.spark, d.scratch() + "/store")
     return kept.load_units(produce_forecasts(d.spark, ctx, kept))[0]
+
+
+TRIALS = 3
+ALPHAS = [c["alpha"] for c in sample_space(ModelSpec(RidgeSequence()).search_space, TRIALS, 0)]
+_ONCE, _BY_ALPHA = "f0 raw sc z inner_ sw tw pw".split(), "nm wt pr vl".split()
+
+
+def _produced_sql() -> list[str]:
+    """Losses of every penalty on the sparse folds, the best one of each asset, its forecasts of both halves."""
+
+    def named(text: str, half: str, n: int | None = None) -> str:
+        text = re.sub(rf"\b({'|'.join(_ONCE)})\b", rf"\1_{half}", text)
+        return text if n is None else re.sub(rf"\b({'|'.join(_BY_ALPHA)})\b", rf"\1_{half}{n}", text)
+
+    main, normal, loss = SEQUENCE[len(PLAIN_CAL):]
+    ctes = [*PLAIN_CAL]
+    for half in ("sparse", "dense", "oos"):
+        ctes.append(named(main.replace("{folds}", "@"), half).replace("@", half))
+        for n, alpha in enumerate(ALPHAS):
+            ctes.append(named(normal.replace("+ 1.0", f"+ {alpha!r}"), half, n))
+            if half == "sparse":
+                ctes.append(named(loss, half, n))
+    numbers = range(len(ALPHAS))
+    losses = " UNION ALL ".join(f"SELECT asset, {n} AS trial, avg(val_loss) AS score FROM vl_sparse{n} GROUP BY 1" for n in numbers)
+    made = " UNION ALL ".join(
+        f"SELECT '{split}' AS split, {n} AS trial, asset, fold_idx, step, prediction FROM pr_{half}{n}"
+        for split, half in (("in_sample", "dense"), ("oos", "oos")) for n in numbers
+    )
+    return [
+        *ctes,
+        f"""ls AS ({losses}),
+        bs AS (SELECT asset, arg_min(trial, score) AS trial FROM ls GROUP BY 1),
+        pa AS ({made}),
+        hv AS (SELECT 'oos' AS split, fold_idx, test_start FROM oos UNION ALL SELECT 'in_sample', fold_idx, test_start FROM dense),
+        q AS (SELECT pa.asset, 'ridge' AS model, 0 AS seed, pa.split, pa.fold_idx, l.time AS timestamp, step,
+              prediction AS forecast, l.log_return AS actual
+            FROM pa JOIN bs ON bs.asset = pa.asset AND bs.trial = pa.trial
+            JOIN hv ON hv.split = pa.split AND hv.fold_idx = pa.fold_idx
+            JOIN lite l ON l.asset = pa.asset AND l.time = hv.test_start + to_hours(step))""",
+    ]
+
+
+@query(
+    "produce_forecasts_two_inputs",
+    sql.query(
+        *_produced_sql(),
+        sql.out("asset model seed:i split fold_idx timestamp step:i forecast:d actual:d", "q"),
+    ),
+)
+def _(d):
+    """The whole producer on one feature and two steps back, where SQL can search, fit and forecast, too."""
+    models = {"ridge": ModelSpec(RidgeSequence(), lookback=2)}
+    config = [{"name": "LOG_RETURN_1"}, {"name": "LOG_RETURN"}]
+    ctx = run_context(d.bars(), GEOMETRY, models, n_trials=TRIALS, longest_lookback=48, config=config, val_ratio=0.3)
+    kept = ForecastStore(d.spark, d.scratch() + "/store")
+    return kept.load_units(produce_forecasts(d.spark, ctx, kept))[0]
