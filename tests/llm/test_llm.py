@@ -577,6 +577,28 @@ def test_mixing_does_not_depend_on_partitions_or_other_columns(spark, docs, monk
     np.testing.assert_allclose([r[3] for r in seen[0]], [r[3] for r in seen[1]], rtol=1e-6)
 
 
+def test_words_are_drawn_or_spelled(spark):
+    """By definition, for counted and new words, and for one too long for its chance to be a double; the whole is at most 1."""
+    rows = [("a", 60, -2.0), ("b", 30, -1.0), ("once", 1, -9.0), ("new", 0, -3.0), ("x" * 999, 0, -900.0), ("y" * 999, 2, -900.0)]
+    df = spark.createDataFrame(rows, "word string, c long, logp double")
+    got = {r.word: r.logp for r in mixing.with_counts(df, 93, 1).collect()}
+    new = 2 / 95
+    for word, c, logp in rows:
+        want = logp + math.log10(new) if c == 0 else math.log10((1 - new) * c / 93 + new * 10**logp)
+        assert got[word] == pytest.approx(want, rel=1e-9)
+    assert sum(10**x for x in got.values()) <= 1
+    assert mixing.with_counts(df.filter("c = 0"), 0, 0).count() == 2
+
+
+def test_held_out_words_that_are_known_cost_about_the_base(spark):
+    """Prose of a few hundred words in documents of their own: the model is no worse than the counts it has."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(300)]
+    rows = [(k, " ".join(rng.choices(words, weights=[1 / (r + 2) for r in range(300)], k=60))) for k in range(400)]
+    out = [r for r in mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert len(out) > 30 and sum(r.score for r in out) > sum(r.base_score for r in out) * 1.002
+
+
 def test_model_is_a_distribution_and_learns():
     """Probabilities of all one-byte continuations add up to 1; frequent words cost less than unseen ones."""
     words, times = ["the", "of", "thing", "\n"], np.array([50.0, 30.0, 2.0, 10.0])
