@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barfold import schema
@@ -86,17 +86,28 @@ class ForecastStore:
     def _journal(self) -> DataFrame:
         return self._read("status", schema.STATUS)
 
+    def _states(self, runs: Sequence[Run]) -> dict[Run, Row]:
+        """Of each run its present ``status``, the generation last begun (``open``) and that
+        last committed (``done``, if any); runs that were never begun are left out."""
+        rows = self._of_runs(self._journal(), runs)
+        last = rows.groupBy(*RUN_KEYS).agg(
+            F.max_by("status", "at").alias("status"),
+            F.max_by("gen", "at").alias("open"),
+            F.max_by("gen", F.when(F.col("status") == "complete", F.col("at"))).alias("done"),
+        )
+        return {(r.asset, r.model, int(r.seed)): r for r in last.collect()}
+
     def _generations(self, runs: Sequence[Run], *, committed: bool) -> dict[Run, str]:
         """Of each run the generation last committed, or last begun; runs without one are left out."""
-        rows = self._of_runs(self._journal(), runs)
-        if committed:
-            rows = rows.filter(F.col("status") == "complete")
-        last = rows.groupBy(*RUN_KEYS).agg(F.max_by("gen", "at").alias("gen")).collect()
-        return {(r.asset, r.model, int(r.seed)): r.gen for r in last}
+        found = {run: r.done if committed else r.open for run, r in self._states(runs).items()}
+        return {run: gen for run, gen in found.items() if gen is not None}
 
-    def _stored(self, table: str, ddl: str, runs: Sequence[Run], *, committed: bool = False) -> DataFrame:
+    def _stored(
+        self, table: str, ddl: str, runs: Sequence[Run], *, committed: bool = False,
+        gens: Mapping[Run, str] | None = None,
+    ) -> DataFrame:
         """Rows of the runs' open generations, or of their committed ones."""
-        gens = self._generations(runs, committed=committed)
+        gens = self._generations(runs, committed=committed) if gens is None else gens
         rows = [(*run, gen) for run, gen in gens.items()]
         known = self.spark.createDataFrame(rows, "asset string, model string, seed long, gen string")
         kept = self._of_runs(self._read(table, f"gen string, {ddl}"), runs)
@@ -294,19 +305,19 @@ class ForecastStore:
 
     # -- reading runs ----------------------------------------------------------------
 
-    def _gate(self, runs: Sequence[Run], allow_incomplete: bool) -> None:
-        """Runs need a state and, unless allowed otherwise, a committed generation."""
-        state = {tuple(r[k] for k in RUN_KEYS): r["status"] for r in self.status(runs).collect()}
-        done = {} if allow_incomplete else self._generations(runs, committed=True)
+    def _gate(self, runs: Sequence[Run], allow_incomplete: bool) -> dict[Run, str]:
+        """The generations to read: committed ones or, where allowed, open ones."""
+        state = self._states(runs)
         for asset, model, seed in runs:
             run = (asset, model, int(seed))
             if run not in state:
                 raise StoreError(f"run {run} has no status")
-            if not allow_incomplete and run not in done:
+            if not allow_incomplete and state[run].done is None:
                 raise StoreError(
-                    f"run {run} is {state[run]!r}, not 'complete';"
+                    f"run {run} is {state[run].status!r}, not 'complete';"
                     " allow_incomplete=True reads it anyway"
                 )
+        return {run: r.open if allow_incomplete else r.done for run, r in state.items()}
 
     def read_forecasts(self, runs: Sequence[Run], *, committed: bool = False) -> DataFrame:
         """Forecast rows of the runs' open generations, or of their committed ones, under
@@ -316,8 +327,10 @@ class ForecastStore:
     def read_folds(self, runs: Sequence[Run], *, committed: bool = False) -> DataFrame:
         return self._stored("folds", schema.FOLDS, runs, committed=committed)
 
-    def read_meta(self, run: Run, *, committed: bool = False) -> dict:
-        row = self._stored("meta", schema.META, [run], committed=committed).first()
+    def read_meta(
+        self, run: Run, *, committed: bool = False, gens: Mapping[Run, str] | None = None
+    ) -> dict:
+        row = self._stored("meta", schema.META, [run], committed=committed, gens=gens).first()
         if row is None:
             return {}
         meta = json.loads(row["meta"])
@@ -334,15 +347,14 @@ class ForecastStore:
         Under ``allow_incomplete`` the open generation, where what is not stored yet reads
         as empty tables.
         """
-        self._gate([run], allow_incomplete)
-        done = not allow_incomplete
+        gens = self._gate([run], allow_incomplete)
         told = self._of_runs(self._journal(), [run])
-        if done:
+        if not allow_incomplete:
             told = told.filter(F.col("status") == "complete")
         return {
-            "rows": self.read_forecasts([run], committed=done),
-            "folds": self.read_folds([run], committed=done),
-            "meta": self.read_meta(run, committed=done),
+            "rows": check_forecasts(self._stored("forecasts", schema.FORECASTS, [run], gens=gens)),
+            "folds": self._stored("folds", schema.FOLDS, [run], gens=gens),
+            "meta": self.read_meta(run, gens=gens),
             "status": told.orderBy(F.desc("at")).first().asDict(),
         }
 
@@ -352,10 +364,10 @@ class ForecastStore:
         """Rows and folds of many runs as last committed, which must share one calendar."""
         if not runs:
             raise StoreError("no runs given")
-        self._gate(runs, allow_incomplete)
-        folds = self.read_folds(runs, committed=not allow_incomplete)
+        gens = self._gate(runs, allow_incomplete)
+        folds = self._stored("folds", schema.FOLDS, runs, gens=gens)
         quality.enforce({"calendar identity": quality.calendar_identity(folds)})
-        return self.read_forecasts(runs, committed=not allow_incomplete), folds
+        return check_forecasts(self._stored("forecasts", schema.FORECASTS, runs, gens=gens)), folds
 
     def join_features(self, rows: DataFrame, panel: Panel) -> DataFrame:
         """``join_features`` below, against the stored feature set."""

@@ -157,9 +157,10 @@ def test_life_of_a_run(spark, tmp_path):
 
 
 def test_a_writer_that_dies_anywhere_leaves_one_whole_run(spark, tmp_path):
-    """The second attempt of a run ends after each of its steps; readers see the first until the last step is done."""
+    """Readers see the first attempt of a run after each step of the second, and the third once its last step is done."""
     kept = st.ForecastStore(spark, str(tmp_path / "s"))
     rows, folds = _tables(spark)
+    n_rows, n_folds = rows.count(), folds.count()
 
     def steps(value, note):
         yield lambda: kept.begin([RUN])
@@ -171,28 +172,24 @@ def test_a_writer_that_dies_anywhere_leaves_one_whole_run(spark, tmp_path):
 
     def seen():
         unit = kept.load_unit(RUN)
-        values = {r.forecast for r in unit["rows"].select("forecast").distinct().collect()}
-        assert unit["rows"].count() == rows.count() and unit["folds"].count() == folds.count()
-        assert unit["status"]["status"] == "complete" and len(values) == 1
-        assert kept.load_units([RUN])[0].count() == rows.count()
-        return values.pop(), unit["meta"]["note"]
+        values = [r.forecast for r in unit["rows"].select("forecast").collect()]
+        assert len(values) == n_rows and len(unit["folds"].collect()) == n_folds
+        assert unit["status"]["status"] == "complete" and len(set(values)) == 1
+        return values[0], unit["meta"]["note"]
 
     for step in steps(1.0, "first"):
         step()
     assert seen() == (1.0, "first")
-    for last in range(1, 6):
-        for n, step in enumerate(steps(2.0 + last, "again")):
-            if n == last:
-                break
-            step()
-            assert seen() == (1.0, "first")
-        if last == 3:
-            kept.fail([RUN], RuntimeError("lost"))
-            assert seen() == (1.0, "first") and kept.status([RUN]).first().status == "failed"
+    # A writer that dies after a step leaves the store as it is then.
+    for step in list(steps(2.0, "again"))[:-1]:
+        step()
+        assert seen() == (1.0, "first")
+    kept.fail([RUN], RuntimeError("lost"))
+    assert seen() == (1.0, "first") and kept.status([RUN]).first().status == "failed"
     for step in steps(9.0, "last"):
         step()
     assert seen() == (9.0, "last")
-    assert len(kept.clean()) == 6 and seen() == (9.0, "last")
+    assert len(kept.clean()) == 2 and seen() == (9.0, "last")
 
 
 def test_rows_of_a_run_that_was_not_begun_are_refused(spark, tmp_path):
