@@ -12,9 +12,9 @@ The tree goes as deep as there is anything to tell apart. A template whose paths
 is a single path, can't split any more: all its further segments are wildcards, which is settled at once, so long paths
 cost no levels of their own.
 
-Pages are summed up by host and path before anything else, and each level joins sums with sums: parents are few and
-broadcast after a count, and the join of paths with their branches has a unique side, so a hot host is spread over its
-segments and a hot segment can be split.
+Pages are summed up by host and path before anything else, and each level joins sums with sums. Parents and branches
+unlike them, the only ones that paths are joined with, are few and broadcast after a count; beyond it they are joined by
+a shuffle with a unique side, whose hot keys Spark can split.
 
 Defined cases: a null url, or one without ://, has empty host and path and falls under no rule; an empty path is a
 template of its own; repeated rows are rows of their own; pages without labels are judged by the rules alone; an empty
@@ -32,7 +32,7 @@ from barfold.llm.shared import written
 
 #: Chance to take any branch of a parent for unlike it where all are alike.
 LEVEL = 0.05
-#: Up to this many parents of a level are broadcast; more are joined by a shuffle.
+#: Up to this many parents, or branches unlike them, of a level are broadcast; more are joined by a shuffle.
 BROADCAST_PARENTS = 200_000
 #: Labels in favour of the overall share, least labels, and the share of bad from which on a template is rejected.
 PRIOR_WEIGHT, LEAST_LABELS, REJECT_AT = 5.0, 5, 0.8
@@ -117,9 +117,12 @@ def templates(paths: DataFrame) -> DataFrame:
         whole = branches.join(going, ["host", "template"])
         labelled = _unlike(F.col("m"), F.col("n"), F.col("all_m"), F.col("all_n"), F.col("values"))
         unlike = labelled | _unlike(F.col("bad"), F.col("m"), F.col("all_bad"), F.col("all_m"), F.col("values"))
-        named = whole.select("host", "template", "segment", F.when(unlike, F.col("segment")).otherwise(F.lit("*")).alias("shown"))
-        longer = F.concat("template", F.lit("/"), "shown").alias("template")
-        now = written(some.join(named, ["host", "template", "segment"]).select("host", "path", *_SUMS, "segments", longer))
+        own = written(whole.filter(unlike).select("host", "template", "segment", F.lit(True).alias("own")))
+        if own.count() <= BROADCAST_PARENTS:
+            own = F.broadcast(own)
+        shown = F.when(F.col("own"), F.col("segment")).otherwise(F.lit("*"))
+        longer = F.concat("template", F.lit("/"), shown).alias("template")
+        now = written(some.join(own, ["host", "template", "segment"], "left").select("host", "path", *_SUMS, "segments", longer))
         level += 1
     for part in done[1:]:
         done[0] = done[0].unionByName(part)
