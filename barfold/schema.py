@@ -44,6 +44,10 @@ STATUS = (
     " finished_at string, error string, n_folds_oos long, n_folds_insample long,"
     " n_rows_oos long, n_rows_insample long, gen string, at long"
 )
+WRITES = (
+    "table string, asset string, model string, seed long, split string, gen string,"
+    " write string"
+)
 META = "asset string, model string, seed long, meta string"
 CONFIG = "name string, payload string"
 BOUNDARY_COLUMNS = ["fold_idx", "split", "train_start", "train_end", "test_start", "test_end"]

@@ -1,18 +1,22 @@
 """The forecast store: partitioned tables of forecasts, folds and run state.
 
-    <root>/forecasts   gen=/asset=/model=/seed=/split=
-    <root>/folds       gen=/asset=/model=/seed=
-    <root>/meta        gen=/asset=/model=/seed=
+    <root>/forecasts   write=/gen=
+    <root>/folds       write=/gen=
+    <root>/meta        write=/gen=
+    <root>/writes      one small file for each write: what it holds
     <root>/status      one small file for each change of state
     <root>/config      name=
 
-Many runs (asset, model, seed) are written and checked in one job each. Every
-``begin`` opens a new generation; nothing of an earlier one is touched. What a
-run stores goes to its open generation, whose partitions are replaced as a
-whole, so a retried step leaves no mix. ``status`` is a journal: the row that
-says ``complete`` names the generation, and writing it is the one step that
-switches readers over. A writer that dies anywhere leaves the last committed
-generation to be read. ``clean`` removes generations that nobody can read.
+Many runs (asset, model, seed) are written and checked in one job each. A write
+is one folder, whose files hold many runs in the order of their names, so files
+grow with the rows and not with the number of runs. Every ``begin`` opens a new
+generation; nothing of an earlier one is touched. What a run stores goes to its
+open generation. ``writes`` tells which runs (and halves) a write holds; of a
+run and half the last such write is read, as a whole, so a retried step leaves
+no mix. ``status`` is a journal: the row that says ``complete`` names the
+generation, and writing it is the one step that switches readers over. A writer
+that dies anywhere leaves the last committed generation to be read. ``clean``
+removes generations that nobody can read.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -32,9 +38,15 @@ from barfold.operators import blocks, quality
 from barfold.operators.calendar import Calendar
 from barfold.panel import HOUR, Panel
 from barfold.schema import RUN_KEYS, SPLITS
+from barfold.session import stored
 
 Run = tuple[str, str, int]
 
+#: What a write replaces as a whole.
+UNITS = {"forecasts": [*RUN_KEYS, "split"], "folds": RUN_KEYS, "meta": RUN_KEYS}
+#: Most values of a key that a scan is told; more are left to the join.
+LISTED = 64
+
 
 class StoreError(ValueError):
     """Store contents or calls that break the contract."""
@@ -44,6 +56,11 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+def _name() -> str:
+    """A new name; later ones come after earlier ones."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 class ForecastStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -76,9 +93,9 @@ class ForecastStore:
         return self.spark.createDataFrame(rows, "asset string, model string, seed long")
 
     def _of_runs(self, df: DataFrame, runs: Sequence[Run]) -> DataFrame:
-        """Rows of the given runs; the value lists prune partitions of the scan."""
+        """Rows of the given runs; short lists of values reach the scan."""
         for n, name in enumerate(RUN_KEYS):
-            df = df.filter(F.col(name).isin(sorted({r[n] for r in runs})))
+            df = _listed(df, name, {r[n] for r in runs})
         return df.join(self._runs(runs), RUN_KEYS, "left_semi")
 
     # -- generations -------------------------------------------------------------
@@ -110,21 +127,42 @@ class ForecastStore:
         gens = self._generations(runs, committed=committed) if gens is None else gens
         rows = [(*run, gen) for run, gen in gens.items()]
         known = self.spark.createDataFrame(rows, "asset string, model string, seed long, gen string")
-        kept = self._of_runs(self._read(table, f"gen string, {ddl}"), runs)
-        kept = kept.filter(F.col("gen").isin(sorted(set(gens.values()))))
-        return kept.join(known, [*RUN_KEYS, "gen"], "left_semi").drop("gen")
-
-    def _write(self, df: DataFrame, table: str, parts: Sequence[str], *spread: Column) -> None:
-        """Replace the partitions of ``df`` in the open generations of its runs.
-
-        ``spread`` deals the rows of a large run to several tasks.
+        told = self._read("writes", schema.WRITES).filter(F.col("table") == table)
+        # One row per run and half. Stored, so that its size is known where it is joined.
+        last = stored(
+            told.join(known, [*RUN_KEYS, "gen"], "left_semi")
+            .groupBy(*UNITS[table], "gen")
+            .agg(F.max("write").alias("write"))
+        )
+        kept = self._read(table, f"write string, gen string, {ddl}")
+        for n, name in enumerate(RUN_KEYS):
+            kept = _listed(kept, name, {run[n] for run in gens})
+        kept = _listed(kept, "gen", set(gens.values()))
+        # A half that is NULL is found too, and refused by ``check_forecasts``.
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*UNITS[table], "gen", "write")]
+        found = kept.alias("a").join(last.alias("b"), reduce(and_, same), "left_semi")
+        return found.drop("write", "gen")
+
+    def _write(self, df: DataFrame, table: str, *spread: Column) -> None:
+        """Replace what ``df`` has rows for in the open generations of its runs.
+
+        ``spread`` deals the rows of a large run to several tasks. The write counts from
+        the moment its rows of ``writes`` are there.
         """
         opened = self._journal().groupBy(*RUN_KEYS).agg(F.max_by("gen", "at").alias("gen"))
         joined = df.join(opened, RUN_KEYS, "left")
         name = F.concat_ws(" / ", *[F.col(k).cast("string") for k in RUN_KEYS])
         gen = F.coalesce("gen", F.raise_error(F.concat(F.lit("run was not begun: "), name)).cast("string"))
-        out = joined.withColumn("gen", gen).repartition("gen", *parts, *spread)
-        self._replace(out, table, ["gen", *parts])
+        keys, write = UNITS[table], _name()
+        out = joined.withColumn("gen", gen).repartition("gen", *keys, *spread)
+        path = f"{self._path(table)}/write={write}"
+        out.sortWithinPartitions("gen", *keys).write.partitionBy("gen").parquet(path)
+        held = self.spark.read.schema(out.schema).parquet(path).select(*keys, "gen").distinct()
+        split = F.col("split") if "split" in keys else F.lit(None).cast("string")
+        rows = held.select(
+            F.lit(table).alias("table"), *RUN_KEYS, split.alias("split"), "gen", F.lit(write).alias("write")
+        )
+        rows.coalesce(1).write.mode("append").parquet(self._path("writes"))
 
     def clean(self) -> list[str]:
         """Delete the generations that are neither committed nor last begun by any run; their names."""
@@ -135,10 +173,10 @@ class ForecastStore:
         )
         used = last.select(F.explode(F.array("open", "done")).alias("gen")).distinct()
         old = sorted(r.gen for r in journal.select("gen").distinct().join(used, "gen", "left_anti").collect())
-        for gen in old:
-            for table in ("forecasts", "folds", "meta"):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/gen={gen}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        held = self._read("writes", schema.WRITES).select("table", "write", "gen").distinct()
+        for r in held.join(used, "gen", "left_anti").collect():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(r.table)}/write={r.write}/gen={r.gen}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return old
 
     # -- state of runs -----------------------------------------------------------
@@ -196,7 +234,7 @@ class ForecastStore:
         if not runs:
             raise StoreError("no runs given")
         started = _now()
-        gen = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        gen = _name()
         zero = {
             n: F.lit(0).cast("long")
             for n in ("n_folds_oos", "n_folds_insample", "n_rows_oos", "n_rows_insample")
@@ -228,12 +266,12 @@ class ForecastStore:
         if meta is None or not isinstance(meta, DataFrame):
             meta = {r: dict((meta or {}).get(r, {})) for r in runs}
         self.write_meta(meta)
-        counts = {tuple(r[:3]): r for r in self._counts(runs).collect()}
-        for run in runs:
-            got = counts.get((run[0], run[1], int(run[2])))
-            for split, name in (("oos", "n_folds_oos"), ("in_sample", "n_folds_insample")):
-                if got is None or got[name] == 0:
-                    raise StoreError(f"run {run} has no folds of split {split!r}")
+        # Stored, as the check below and the journal want them.
+        counted = stored(self._with_counts(self._state(runs, "complete", None, started), runs))
+        for split, name in (("oos", "n_folds_oos"), ("in_sample", "n_folds_insample")):
+            bare = counted.filter(F.col(name) == 0).orderBy(*RUN_KEYS).first()
+            if bare is not None:
+                raise StoreError(f"run {tuple(bare[k] for k in RUN_KEYS)} has no folds of split {split!r}")
         rows = self._stored("forecasts", schema.FORECASTS, runs)
         folds = self._stored("folds", schema.FOLDS, runs)
         quality.enforce(
@@ -242,8 +280,8 @@ class ForecastStore:
                 horizon=calendar.geometry.horizon,
             )
         )
-        state = self._state(runs, "complete", None, started)
-        self._write_status(self._with_counts(state, runs), self._generations(runs, committed=False))
+        done = counted.withColumn("finished_at", F.lit(_now()))
+        self._write_status(done, self._generations(runs, committed=False))
 
     # -- contents ------------------------------------------------------------------
 
@@ -258,13 +296,13 @@ class ForecastStore:
             quality.enforce(
                 {"writable folds": quality.writable_folds(rows, boundaries, horizon)}
             )
-        # A large run is spread over tasks by time; every task writes few partitions.
+        # A large run is spread over tasks by time.
         spread = F.floor(blocks.grid_position("timestamp", HOUR) / blocks.BLOCK_ROWS)
-        self._write(rows.select(*columns), "forecasts", [*RUN_KEYS, "split"], spread)
+        self._write(rows.select(*columns), "forecasts", spread)
 
     def write_folds(self, folds: DataFrame) -> None:
         columns = self.spark.createDataFrame([], schema.FOLDS).columns
-        self._write(folds.select(*columns), "folds", RUN_KEYS)
+        self._write(folds.select(*columns), "folds")
 
     def write_meta(self, meta: DataFrame | Mapping[Run, Mapping]) -> None:
         """Store the metadata of runs (JSON in column ``meta``, or values per run)."""
@@ -278,7 +316,7 @@ class ForecastStore:
                 text = json.dumps({**identity, **values}, sort_keys=True, default=str)
                 rows.append((asset, model, int(seed), text))
             meta = self.spark.createDataFrame(rows, schema.META)
-        self._write(meta.select(*RUN_KEYS, "meta"), "meta", RUN_KEYS)
+        self._write(meta.select(*RUN_KEYS, "meta"), "meta")
 
     def write_staged(self, rows: DataFrame, name: str) -> DataFrame:
         """Materialise an intermediate table in the store, and return it from there.
@@ -382,6 +420,11 @@ class ForecastStore:
         return join_features(rows, panel)
 
 
+def _listed(df: DataFrame, name: str, values: Collection) -> DataFrame:
+    """Rows whose column is one of a few values; all rows where the values are many."""
+    return df.filter(F.col(name).isin(sorted(values))) if len(values) <= LISTED else df
+
+
 def check_forecasts(rows: DataFrame) -> DataFrame:
     """Fail while reading, not later, on a missing time or an unknown half."""
     bad = F.col("timestamp").isNull() | ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))

@@ -192,6 +192,37 @@ def test_a_writer_that_dies_anywhere_leaves_one_whole_run(spark, tmp_path):
     assert len(kept.clean()) == 2 and seen() == (9.0, "last")
 
 
+def test_files_of_a_write_do_not_grow_with_its_runs(spark, tmp_path):
+    """Many runs share files; a later write of one run and half replaces that alone."""
+    kept = st.ForecastStore(spark, str(tmp_path / "s"))
+    rows, folds = _tables(spark)
+    runs = [(f"a{n:02d}", "m", 0) for n in range(70)]
+    names = spark.createDataFrame([(r[0],) for r in runs], "asset string")
+    many, edges = (t.drop("asset").crossJoin(names) for t in (rows, folds))
+    kept.begin(runs)
+    kept.write_forecasts(many)
+    kept.write_folds(edges)
+    files = list((tmp_path / "s" / "forecasts").rglob("part-*.parquet"))
+    assert 0 < len(files) <= 8
+    again = many.filter("asset = 'a07' AND split = 'oos'").withColumn("forecast", F.lit(9.0))
+    kept.write_forecasts(again)
+    kept.finalize(runs, CAL)
+    got, got_folds = kept.load_units(runs)
+    assert got.count() == 70 * rows.count() and got_folds.count() == 70 * folds.count()
+    nine = got.filter("forecast = 9.0").select("asset", "split").distinct().collect()
+    assert nine == [("a07", "oos")] and got.filter("forecast = 9.0").count() == again.count()
+    one = kept.load_unit(("a07", "m", 0))
+    assert one["rows"].count() == rows.count() and one["status"]["n_rows_oos"] == CAL.oos_rows
+
+
+def test_rows_of_an_unknown_half_are_not_lost_while_reading(spark, tmp_path):
+    kept = st.ForecastStore(spark, str(tmp_path / "s"))
+    kept.begin([RUN])
+    kept.write_forecasts(_tables(spark)[0].withColumn("split", F.lit(None).cast("string")))
+    with pytest.raises(Exception, match="unknown half: NULL"):
+        kept.read_forecasts([RUN]).collect()
+
+
 def test_rows_of_a_run_that_was_not_begun_are_refused(spark, tmp_path):
     kept = st.ForecastStore(spark, str(tmp_path / "s"))
     kept.begin([("other", "m", 0)])
