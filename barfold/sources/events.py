@@ -10,6 +10,8 @@ from barfold.panel import HOUR, Panel
 from barfold.session import require_utc
 
 COHORT_USERS = 50
+#: About so many hours of series are laid out by one task.
+TASK_ROWS = 1 << 17
 
 
 def event_asset(cohort_users: int | None = COHORT_USERS) -> Column:
@@ -64,23 +66,26 @@ def hourly_bars(
         F.max_by("price", "order").alias("close"),
         F.count(F.lit(1)).alias("n"),
     )
-    # One row: the hours every series has to cover.
-    span = events.agg(F.min("ts"), F.max("ts")).first()
-    if span[0] is None:
+    # One row: the hours every series has to cover, and about how many series there are.
+    hour = blocks.grid_position("ts", HOUR)
+    first, last, n_series = events.agg(
+        F.min(hour), F.max(hour), F.approx_count_distinct(event_asset(cohort_users))
+    ).first()
+    if first is None:
         return Panel(
             bars.select("asset", "time", "open", "high", "low", "close",
                         (F.col("n") + 1.0).alias("volume"))
         ).on_grid(HOUR)
-    first, last = [
-        F.lit(t.replace(minute=0, second=0, microsecond=0)).cast("timestamp_ntz") for t in span
-    ]
-    hours = F.sequence(
-        blocks.grid_position(first, HOUR), blocks.grid_position(last, HOUR)
-    )
+    # The table of series is tiny beside their hours: left to its own size it would be
+    # one partition, and a single task would lay out and order the bars of all series.
+    tasks = max(1, -(-n_series * (last - first + 1) // TASK_ROWS))
+    if tasks == int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        tasks += 1  # Spark would take the aggregate's partitions instead, and merge them
     grid = (
         rows.groupBy("asset")
         .agg(F.min_by("price", "order").alias("first_open"))
-        .withColumn(blocks.POS, F.explode(hours))
+        .repartition(tasks, "asset")
+        .withColumn(blocks.POS, F.explode(F.sequence(F.lit(first), F.lit(last))))
         .withColumn("time", blocks.grid_time(blocks.POS, HOUR))
     )
     joined = grid.join(bars, ["asset", "time"], "left")

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from barfold.operators.models import RidgeSequence
 from barfold.plans.context import ModelSpec, run_context
 from barfold.plans.produce import produce_forecasts
 from barfold.panel import Panel
+from barfold.sources import events as ev
 from barfold.sources import bars as files
 from barfold.sources import store as st
 from tests.conftest import bar_frame, to_spark
@@ -92,6 +94,24 @@ def test_raw_files(spark, tmp_path):
     assert [(r.asset, r.time.hour, r.close) for r in got] == [("AAA", 0, 1.5), ("AAA", 1, 1.7)]
 
 
+def test_hours_of_many_series_are_laid_out_by_many_tasks(spark, monkeypatch):
+    """The series are few rows, their hours many: checks that need times alone must not run in one task."""
+    monkeypatch.setattr(ev, "TASK_ROWS", 1000, raising=False)
+    start = F.lit("2024-01-01 00:30:00").cast("timestamp_ntz")
+    events = spark.range(80).select(
+        F.col("id").alias("event_id"), (start + F.make_dt_interval(hours=F.when(F.col("id") < 40, 0).otherwise(99))).alias("ts"),
+        (F.col("id") % 40 * 50).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+    )
+    panel = ev.hourly_bars(events)
+
+    def size(batches):
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in batches)], pa.int64())})
+
+    rows = [r.n for r in panel.df.select("asset", "time").mapInArrow(size, "n long").collect()]
+    assert sum(rows) == 40 * 100 and max(rows) <= 2500, rows
+    assert quality.grid_shape(panel).isEmpty() and quality.hourly_grid(panel).isEmpty()
+
+
 def test_panel_roles(bars):
     panel = bars[1].add_features({"x": F.col("close") * 2}).add_labels({"y": F.col("close")})
     assert (panel.feature_cols, panel.label_cols) == (["x"], ["y"])
