@@ -43,6 +43,9 @@ MOST_INPUTS = 512
 STRETCHES = 32
 FOLDS = 16
 BLOCK_ROWS = 4096
+#: Folds of all series whose edges are found by one task, and rows of edges that it hands on at once.
+TASK_FOLDS = 1 << 15
+EDGE_ROWS = 1 << 16
 
 
 def applies(plan: FoldPlan, panel: Panel, model: Forecaster) -> bool:
@@ -277,18 +280,25 @@ def _fold_edges(layout: Layout, asset: str, schema: T.StructType):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.to_dict("records"):
-                fold = np.arange(row["_low"], row["_high"], dtype=np.int64)
+            # Series with the same span have the same edges.
+            for (begin, last, low, high), same in frame.groupby(["_first", "_last", "_low", "_high"]):
+                fold = np.arange(low, high, dtype=np.int64)
                 if not len(fold):
                     continue
-                first = int(row["_first"]) + (layout.plan.lags + 1 if layout.plan.lags else 0)
+                first = int(begin) + (layout.plan.lags + 1 if layout.plan.lags else 0)
                 w = layout.windows(first, fold)
                 starts = layout.plan.origin + fold * layout.plan.step + layout.plan.train
-                able = (w["n"] > 0) & (starts <= row["_last"])
+                able = (w["n"] > 0) & (starts <= last)
                 edges = layout.edges(first)
-                for role in ROLES:
-                    cell = np.searchsorted(edges, w[role], "left") - 1
-                    yield pd.DataFrame({asset: row[asset], "fold_idx": fold, "role": role, "id": cell, "rows": w["n"]})[able]
+                cells = pd.concat(
+                    pd.DataFrame({"fold_idx": fold, "role": role, "id": np.searchsorted(edges, w[role], "left") - 1, "rows": w["n"]})[able]
+                    for role in ROLES
+                )
+                names, at_once = same[asset].to_numpy(), max(1, EDGE_ROWS // max(1, len(cells)))
+                for a in range(0, len(names), at_once):
+                    some = names[a : a + at_once]
+                    out = cells.iloc[np.tile(np.arange(len(cells)), len(some))]
+                    yield out.assign(**{asset: np.repeat(some, len(cells))})[[asset, *cells.columns]]
 
     return run
 
@@ -303,7 +313,9 @@ def _fold_table(panel: Panel, schedule: Schedule, layout: Layout, spans: DataFra
     step = 4096
     chunks = blocks.explode_range(spans, "_chunk", F.lit(0), F.lit((plan.n_folds - 1) // step))
     ranges = chunks.withColumns({"_low": F.col("_chunk") * step, "_high": F.least(F.lit(plan.n_folds), (F.col("_chunk") + 1) * step)})
-    return ranges.mapInPandas(_fold_edges(layout, asset, schema), schema)
+    # Spans are few bytes, which Spark would leave to one task; their folds are many.
+    tasks = max(1, -(-spans.count() * plan.n_folds // TASK_FOLDS))
+    return ranges.repartition(tasks, asset, "_chunk").mapInPandas(_fold_edges(layout, asset, schema), schema)
 
 
 @dataclass
@@ -385,7 +397,7 @@ def solve_folds(
     before = T.StructType([head[0], T.StructField("group", T.LongType()), *_record_fields()])
     carry = whole.groupBy(asset).applyInPandas(_carried(asset, before), before)
 
-    ends = _fold_table(panel, schedule, layout, spans).filter("id >= 0").withColumn("group", blocks.floor_div(F.col("id"), STRETCHES))
+    ends = stored(_fold_table(panel, schedule, layout, spans).filter("id >= 0").withColumn("group", blocks.floor_div(F.col("id"), STRETCHES)))
     inside = ends.join(upto.drop("group"), [asset, "id"]).select(asset, "fold_idx", "role", "rows", *names)
     ahead = ends.join(carry, [asset, "group"]).select(asset, "fold_idx", F.concat("role", F.lit("+")).alias("role"), "rows", *names)
     seen = records.filter(F.col("kind") == "fold").select(
@@ -397,9 +409,10 @@ def solve_folds(
         parts = parts.join(params.select(asset, F.col("params").alias("_params")), asset, "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for fold, mine in pdf.groupby("fold_idx"):
-            by_role = {r["role"]: r for r in mine.to_dict("records")}
+        out, by_fold = [], {}
+        for row in pdf.to_dict("records"):
+            by_fold.setdefault(row["fold_idx"], {})[row["role"]] = row
+        for fold, by_role in sorted(by_fold.items()):
             if "seen" not in by_role or not any(r in by_role for r in ROLES):
                 continue
             whole = {}
@@ -411,7 +424,7 @@ def solve_folds(
             if "rows" not in whole:
                 raise ValueError(f"{key[0]} fold {fold}: {rows} rows are too few for horizon {plan.horizon}")
             solved = _solved(layout, str(key[0]), int(fold), rows, whole)
-            chosen = json.loads(mine["_params"].iloc[0] or "{}") if tuned else {}
+            chosen = json.loads(by_role["seen"]["_params"] or "{}") if tuned else {}
             solved.last = int(layout.windows(plan.origin, np.array([fold]))["rows"][0]) - 1
             out += emit(key[0], solved, np.asarray(by_role["seen"]["mean"]), int(by_role["seen"]["n"]), chosen)
         return _frame(out, result)

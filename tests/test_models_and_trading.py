@@ -477,3 +477,28 @@ def test_grid_checks(spark):
 def test_calendar_needs_enough_rows(panel):
     with pytest.raises(ValueError, match="calendar"):
         calendar_of(panel, Geometry(8760, 24, 24, 168, 24), longest_lookback=720)
+
+
+def test_edges_of_expanding_folds_are_found_by_many_tasks(spark, monkeypatch):
+    """Spans are one row for each series; their folds must not meet in one task, and no series gets another's."""
+    monkeypatch.setattr(normal, "TASK_FOLDS", 30, raising=False)
+    monkeypatch.setattr(normal, "EDGE_ROWS", 50, raising=False)
+    panel = Panel(to_spark(spark, bar_frame(rows=120)), ("close",), ("volume",)).on_grid()
+    schedule = Schedule(START, 48, 12, 12, 4, "expanding")
+    plan = walkforward.make_plan(
+        panel, schedule, [RidgeSequence()], horizon=12, lookback=2, scaler=None, val_ratio=0.3, lags=0
+    )
+    layout, origin = normal.Layout.of(plan, RidgeSequence()), schedule.origin
+    late = F.when(F.col("id") % 2 == 0, 0).otherwise(5)
+    spans = spark.range(40).select(
+        F.format_string("s%02d", "id").alias("asset"), (F.lit(origin) + late).cast("long").alias("_first"),
+        F.lit(origin + 119).cast("long").alias("_last"),
+    )
+    found = normal._fold_table(panel, schedule, layout, spans)
+    rows = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 40 * schedule.n_folds * 4 and max(rows) < sum(rows) / 2
+    for first, names in ((origin, "s00"), (origin + 5, "s01")):
+        w, edges = layout.windows(first, np.arange(schedule.n_folds)), layout.edges(first)
+        want = {(k, role, int(c), int(w["n"][k])) for role in normal.ROLES for k, c in enumerate(np.searchsorted(edges, w[role], "left") - 1)}
+        got = found.filter(F.col("asset") == names).collect()
+        assert {(r.fold_idx, r.role, r.id, r.rows) for r in got} == want and len(got) == len(want)
