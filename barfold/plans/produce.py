@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +37,6 @@ def produce_forecasts(
     runs = [(asset, name, seed) for name in names for asset in ctx.assets]
     started = store.begin(runs)
     try:
-        # Features are computed once and read back by every fit below.
-        features = store.write_staged(ctx.panel.df, "features")
-        ctx = replace(ctx, panel=replace(ctx.panel, df=features))
         staged, meta = [], []
         for name in names:
             best = search(ctx, store, name, seed, folds_per_task)

@@ -326,6 +326,12 @@ def test_producer_end_to_end(spark, tmp_path):
         ctx.check_panel(ctx.panel, "zzz")
 
 
+def test_context_makes_features_once(spark):
+    ctx = run_context(Panel(to_spark(spark, bar_frame(rows=330))), GEOMETRY, {"seq": ModelSpec(RidgeSequence(), 6)}, longest_lookback=10)
+    assert ctx.panel.df.inputFiles()  # checks, search, fits and folds read them back
+    assert "Window" not in ctx.panel.df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_context_refuses_bad_data(spark):
     pdf = bar_frame(rows=330)
     models = {"seq": ModelSpec(RidgeSequence(), 6)}
