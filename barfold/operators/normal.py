@@ -4,12 +4,13 @@ An expanding fold trains on everything before it, so shipping training rows to
 folds costs the square of the history. Here the rows are read once. The window
 edges of all folds cut a series into stretches; a stretch becomes one record of
 joint second moments of its samples (inputs and targets) and of the level and
-range of its columns. Records are added up along the series, and each fold
-reads the totals at its edges and solves a small system. All penalties of a
-search share the eigenvectors of that system.
+range of its columns. Records are added up along a block of rows in the task that
+makes them, and the totals of the blocks before it are added where a fold reads
+the totals at its edges and solves a small system. All penalties of a search
+share the eigenvectors of that system.
 
-No task holds more than a block of rows with its halo, or ``STRETCHES`` records,
-or the records of ``FOLDS`` folds; the totals of blocks of stretches meet per
+No task holds more than a block of rows with its halo and about ``STRETCHES``
+records, or the records of ``FOLDS`` folds; the totals of blocks meet per
 series. A record is ``(inputs + targets)**2`` doubles, so wide inputs go another
 way (``MOST_INPUTS``). Series must be gap-free (``Panel.on_grid``).
 """
@@ -39,8 +40,8 @@ from barfold.session import stored
 
 #: Most inputs of a model that is fitted from moments.
 MOST_INPUTS = 512
-#: Stretches, and folds, that one task takes together.
-STRETCHES = 32
+#: About so many stretches are in one block; folds that one task takes together.
+STRETCHES = 256
 FOLDS = 16
 BLOCK_ROWS = 4096
 #: Folds of all series whose edges are found by one task, and rows of edges that it hands on at once.
@@ -160,9 +161,11 @@ class Record:
 
     @classmethod
     def unpacked(cls, row) -> Record:
-        mean = np.asarray(row["mean"])
+        # Edges of scaling rows come without joint moments.
+        mean = np.zeros(0) if row["mean"] is None else np.asarray(row["mean"])
+        dev = np.zeros(0) if row["dev"] is None else np.asarray(row["dev"])
         return cls(
-            Moments(row["n"], mean, np.asarray(row["dev"]).reshape(len(mean), len(mean))),
+            Moments(row["n"], mean, dev.reshape(len(mean), len(mean))),
             Moments(row["row_n"], np.asarray(row["row_mean"]), np.asarray(row["row_dev"])),
             np.asarray(row["low"]), np.asarray(row["high"]), row["bad"],
         )
@@ -220,17 +223,22 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
                 samples = np.hstack([inputs[:count], ahead[:count, :, 0]])
         else:
             count, samples = 0, np.zeros((0, layout.inputs + plan.horizon * len(plan.labels)))
-        own = (pos >= max(low, begin)) & (pos < high)
-        stretch = np.searchsorted(edges, pos, "right") - 1
-        out = []
-        for cell in np.unique(stretch[own & (stretch < len(edges) - 1)]):
-            here = np.flatnonzero(own & (stretch == cell))
-            rows = safe[here]
+        # Totals of the block up to the end of each stretch that ends in it.
+        own_from, own_to = max(low, begin), min(high, int(pos[-1]) + 1, int(edges[-1]))
+        cuts = np.unique([own_from, *edges[(edges > own_from) & (edges < own_to)], own_to]) - pos[0]
+        out, total = [], None
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True) if own_from < own_to else ():
+            rows = safe[a:b]
             record = Record(
-                Moments.of(samples[here[here < count]]), Moments.of(rows, diagonal=True),
-                rows.min(axis=0), rows.max(axis=0), float((~fine[here]).sum()),
+                Moments.of(samples[a : min(b, count)]), Moments.of(rows, diagonal=True),
+                rows.min(axis=0), rows.max(axis=0), float((~fine[a:b]).sum()),
             )
-            out.append({asset: key[0], "kind": "stretch", "id": int(cell)} | record.packed())
+            total = record if total is None else total.plus(record)
+            cell = int(np.searchsorted(edges, pos[0] + b, "left")) - 1
+            if edges[cell + 1] == pos[0] + b:
+                out.append({asset: key[0], "kind": "stretch", "id": cell, "block": key[1]} | total.packed())
+        if total is not None and edges[-1] > high:  # later blocks add this to theirs
+            out.append({asset: key[0], "kind": "block", "id": -1, "block": key[1]} | total.packed())
         # Folds whose inputs begin in this block.
         starts = plan.origin + np.arange(plan.n_folds, dtype=np.int64) * plan.step + plan.train
         for fold in np.flatnonzero((starts - layout.lookback >= low) & (starts - layout.lookback < high)).tolist():
@@ -245,31 +253,15 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
     return run
 
 
-def _running(asset: str, schema: T.StructType):
-    """Totals up to each stretch within a group of them."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, out = None, {}
-        for row in pdf.sort_values("id", kind="stable").to_dict("records"):
-            record = Record.unpacked(row)
-            total = record if total is None else total.plus(record)
-            out[int(row["id"])] = {asset: key[0], "id": int(row["id"])} | total.packed()
-        # A stretch across two blocks has two records; the later total has both.
-        return _frame(list(out.values()), schema)
-
-    return run
-
-
 def _carried(asset: str, schema: T.StructType):
-    """What lies before each group of stretches."""
+    """What lies before each block."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total, out = None, []
-        for row in pdf.sort_values("group", kind="stable").to_dict("records"):
-            if total is not None:
-                out.append({asset: key[0], "group": row["group"]} | total.packed())
+        for row in pdf.sort_values("block", kind="stable").to_dict("records"):
             record = Record.unpacked(row)
             total = record if total is None else total.plus(record)
+            out.append({asset: key[0], "block": int(row["block"]) + 1} | total.packed())
         return _frame(out, schema)
 
     return run
@@ -384,22 +376,28 @@ def solve_folds(
     position = fold_position(panel, schedule)
     spans = stored(panel.df.groupBy(asset).agg(F.min(position).alias("_first"), F.max(position).alias("_last")))
     head = [T.StructField(asset, kind), T.StructField("id", T.LongType())]
-    found = T.StructType([head[0], T.StructField("kind", T.StringType()), head[1], *_record_fields()])
+    found = T.StructType([head[0], T.StructField("kind", T.StringType()), head[1], T.StructField("block", T.LongType()), *_record_fields()])
+    # A fold has four edges.
+    block_rows = min(block_rows, max(layout.reach, plan.lags + 1, STRETCHES * plan.step // len(ROLES)))
     halo = _halo_rows(panel, schedule, layout, spans, block_rows)
     records = stored(halo.groupBy(asset, blocks.BLOCK).applyInPandas(_block_records(layout, asset, block_rows, found), found))
 
-    stretches = records.filter(F.col("kind") == "stretch").withColumn("group", blocks.floor_div(F.col("id"), STRETCHES))
-    totals = T.StructType([*head, *_record_fields()])
-    upto = stretches.groupBy(asset, "group").applyInPandas(_running(asset, totals), totals)
-    upto = stored(upto.withColumn("group", blocks.floor_div(F.col("id"), STRETCHES)))
     names = [f.name for f in _record_fields()]
-    whole = upto.groupBy(asset, "group").agg(F.max_by(F.struct(*names), "id").alias("r")).select(asset, "group", "r.*")
-    before = T.StructType([head[0], T.StructField("group", T.LongType()), *_record_fields()])
-    carry = whole.groupBy(asset).applyInPandas(_carried(asset, before), before)
-
-    ends = stored(_fold_table(panel, schedule, layout, spans).filter("id >= 0").withColumn("group", blocks.floor_div(F.col("id"), STRETCHES)))
-    inside = ends.join(upto.drop("group"), [asset, "id"]).select(asset, "fold_idx", "role", "rows", *names)
-    ahead = ends.join(carry, [asset, "group"]).select(asset, "fold_idx", F.concat("role", F.lit("+")).alias("role"), "rows", *names)
+    before = T.StructType([head[0], T.StructField("block", T.LongType()), *_record_fields()])
+    totals = records.filter(F.col("kind") == "block").select(asset, "block", *names)
+    carry = totals.groupBy(asset).applyInPandas(_carried(asset, before), before)
+
+    def read(role):
+        """What a role reads of a record: scaling rows have no use for joint moments."""
+        joint = F.col("role") != "rows"
+        thin = {"n": F.when(joint, F.col("n")).otherwise(0.0), "mean": F.when(joint, F.col("mean")), "dev": F.when(joint, F.col("dev"))}
+        return [asset, "fold_idx", role, "rows", *[thin[k].alias(k) if k in thin else k for k in names]]
+
+    upto = records.filter(F.col("kind") == "stretch").drop("kind")
+    ends = _fold_table(panel, schedule, layout, spans).filter("id >= 0")
+    placed = stored(ends.join(upto.select(asset, "id", "block"), [asset, "id"]))
+    inside = placed.join(upto.drop("block"), [asset, "id"]).select(*read("role"))
+    ahead = placed.join(carry, [asset, "block"]).select(*read(F.concat("role", F.lit("+")).alias("role")))
     seen = records.filter(F.col("kind") == "fold").select(
         asset, F.col("id").alias("fold_idx"), F.lit("seen").alias("role"), F.lit(0).cast("long").alias("rows"), *names
     )

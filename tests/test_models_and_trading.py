@@ -4,10 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barfold.functions import metrics
 from barfold.functions.features import apply_features
-from barfold.operators import backtest, fitting, folds, ledger, normal, quality, selection, tuning, walkforward
+from barfold.operators import backtest, blocks, fitting, folds, ledger, normal, quality, selection, tuning, walkforward
 from barfold.operators.calendar import Geometry, Schedule, calendar_of
 from barfold.operators.models import EstimatorForecaster, Forecaster, RidgeDMS, RidgeSequence
 from barfold.operators.moments import Moments
@@ -502,3 +503,26 @@ def test_edges_of_expanding_folds_are_found_by_many_tasks(spark, monkeypatch):
         want = {(k, role, int(c), int(w["n"][k])) for role in normal.ROLES for k, c in enumerate(np.searchsorted(edges, w[role], "left") - 1)}
         got = found.filter(F.col("asset") == names).collect()
         assert {(r.fold_idx, r.role, r.id, r.rows) for r in got} == want and len(got) == len(want)
+
+
+def test_records_are_summed_where_they_are_made(panel):
+    """A block hands on totals up to the end of each stretch that ends in it, and one total for later blocks."""
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule, model = Schedule(first, 120, 12, 12, 8, "expanding"), RidgeSequence()
+    plan = walkforward.make_plan(panel, schedule, [model], horizon=12, lookback=3, scaler=FoldScaler(), val_ratio=0.2, lags=0)
+    layout, origin = normal.Layout.of(plan, model), schedule.origin
+    rows = panel.df.filter("asset = 'a'").toPandas().sort_values("time").reset_index(drop=True)
+    pdf = rows.assign(_first=origin, **{blocks.POS: origin + np.arange(len(rows))})
+    head = [T.StructField("asset", T.StringType()), T.StructField("kind", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("id", "block")]]
+    edges, size = layout.edges(origin), origin + len(rows)
+
+    def ends(found):
+        return found[found.kind == "stretch"]
+
+    whole = normal._block_records(layout, "asset", size, T.StructType(head + normal._record_fields()))(("a", 0), pdf)
+    assert ends(whole).id.tolist() == list(range(len(edges) - 1)) and (whole.kind != "block").all()
+    np.testing.assert_array_equal(ends(whole).row_n.to_numpy(float), edges[1:] - edges[0])
+    half = int(edges[3]) + 1  # in a stretch
+    parts = normal._block_records(layout, "asset", half, T.StructType(head + normal._record_fields()))(("a", 0), pdf)
+    assert ends(parts).id.tolist() == [0, 1, 2]
+    assert parts[parts.kind == "block"].row_n.tolist() == [half - edges[0]]
