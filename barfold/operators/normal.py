@@ -5,9 +5,11 @@ folds costs the square of the history. Here the rows are read once. The window
 edges of all folds cut a series into stretches; a stretch becomes one record of
 joint second moments of its samples (inputs and targets) and of the level and
 range of its columns. Records are added up along a block of rows in the task that
-makes them, and the totals of the blocks before it are added where a fold reads
-the totals at its edges and solves a small system. All penalties of a search
-share the eigenvectors of that system.
+makes them. A fold whose edges all lie in the block that begins its series is
+solved there, out of the totals at its edges, and hands on its results alone;
+other folds get the totals at their edges and, once for all folds that are solved
+together, those of the blocks before. All penalties of a search share the
+eigenvectors of a fold's small system.
 
 No task holds more than a block of rows with its halo and about ``STRETCHES``
 records, or the records of ``FOLDS`` folds; the totals of blocks meet per
@@ -171,10 +173,59 @@ class Record:
         )
 
 
+def _totals(samples: np.ndarray, rows: np.ndarray, fine: np.ndarray, cuts: np.ndarray) -> list[Record]:
+    """Totals from the first cut up to each of the others, merged as by ``Record.plus``.
+
+    ``cuts`` ascend; the last ones may lie behind the samples.
+    """
+    out, n = [], np.diff(cuts)
+    at, here = cuts[:-1] - cuts[0], rows[cuts[0] : cuts[-1]]
+    row_n, row_mean, off, step, weight = _levels(here, n, at)
+    row_dev = np.add.reduceat(off * off, at, axis=0)
+    row_dev[1:] += step * step * weight[:, None]
+    row_dev = row_dev.cumsum(axis=0)
+    low = np.minimum.accumulate(np.minimum.reduceat(here, at, axis=0), axis=0)
+    high = np.maximum.accumulate(np.maximum.reduceat(here, at, axis=0), axis=0)
+    bad = np.add.reduceat((~fine[cuts[0] : cuts[-1]]).astype(float), at).cumsum()
+    inside = np.minimum(cuts, max(len(samples), int(cuts[0])))
+    some = int(np.count_nonzero(np.diff(inside)))
+    width = samples.shape[1]
+    dev = np.zeros((max(some, 1), width, width))
+    joint_n, mean = np.zeros(1), np.zeros((1, width))
+    if some:
+        n, at = np.diff(inside)[:some], inside[:some] - inside[0]
+        joint_n, mean, off, step, weight = _levels(samples[inside[0] : inside[-1]], n, at)
+        for k in range(some):
+            part = off[at[k] : at[k] + n[k]]
+            np.matmul(part.T, part, out=dev[k])
+            if k:
+                dev[k] += (step[k - 1] * weight[k - 1])[:, None] * step[k - 1]
+                dev[k] += dev[k - 1]
+    for k in range(len(cuts) - 1):
+        j = min(k, max(some, 1) - 1)
+        out.append(
+            Record(
+                Moments(float(joint_n[j]), mean[j], dev[j]), Moments(float(row_n[k]), row_mean[k], row_dev[k]),
+                low[k], high[k], float(bad[k]),
+            )
+        )
+    return out
+
+
+def _levels(values: np.ndarray, n: np.ndarray, at: np.ndarray):
+    """Of stretches of ``n`` rows from ``at`` on: running counts and means, deviations from the mean of
+    each stretch, and how far and with which weight each but the first lies from what is before it."""
+    own = np.add.reduceat(values, at, axis=0) / n[:, None]
+    upto = n.cumsum()
+    mean = own[0] + ((own - own[0]) * n[:, None]).cumsum(axis=0) / upto[:, None]
+    return upto, mean, values - np.repeat(own, n, axis=0), own[1:] - mean[:-1], upto[:-1] * n[1:] / upto[1:]
+
+
 def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
     def column(field: T.StructField) -> pd.Series:
-        listed = isinstance(field.dataType, T.ArrayType)
-        return pd.Series([r.get(field.name) for r in rows], dtype=object if listed else None)
+        values = [r.get(field.name) for r in rows]
+        plain = not isinstance(field.dataType, T.ArrayType) and not any(v is None for v in values)
+        return pd.Series(values, dtype=None if plain else object)
 
     return pd.DataFrame({f.name: column(f) for f in schema.fields})
 
@@ -188,12 +239,23 @@ def _halo_rows(panel: Panel, schedule: Schedule, layout: Layout, spans: DataFram
     cut = blocks.with_halo(
         slim.filter(used), before=plan.lags + 1 if plan.lags else 0, after=layout.reach, block_rows=block_rows
     )
-    return cut.drop(blocks.CORE).join(spans.select(panel.asset, "_first"), panel.asset)
+    return cut.drop(blocks.CORE).join(spans.drop("_last"), panel.asset)
 
 
-def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.StructType):
-    """Records of the stretches of one block, and the inputs of the folds that begin their forecast in it."""
-    plan = layout.plan
+def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.StructType, solve=None):
+    """Records of the stretches of one block, and the inputs of the folds that begin their forecast in it.
+
+    ``solve`` makes results of a fold out of its totals; folds that lie in the block with all
+    that is before them become results, and only the others' stretches and inputs are handed on.
+    """
+    plan, known = layout.plan, {}
+    starts = plan.origin + np.arange(plan.n_folds, dtype=np.int64) * plan.step + plan.train
+
+    def shape(first: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        if first not in known:  # series that begin together have the same edges
+            known.clear()
+            known[first] = layout.windows(first, np.arange(plan.n_folds, dtype=np.int64)), layout.edges(first)
+        return known[first]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(blocks.POS, kind="stable")
@@ -208,7 +270,7 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
         # Lags of a series need rows before them; without these a row is left out.
         first = int(pdf["_first"].iloc[0]) + (plan.lags + 1 if plan.lags else 0)
         begin = max(first, plan.origin)
-        edges = layout.edges(first)
+        w, edges = shape(first)
         base = np.hstack([x, y])
         fine = np.isfinite(base).all(axis=1)
         safe = np.where(np.isfinite(base), base, 0.0)
@@ -225,29 +287,31 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
             count, samples = 0, np.zeros((0, layout.inputs + plan.horizon * len(plan.labels)))
         # Totals of the block up to the end of each stretch that ends in it.
         own_from, own_to = max(low, begin), min(high, int(pos[-1]) + 1, int(edges[-1]))
-        cuts = np.unique([own_from, *edges[(edges > own_from) & (edges < own_to)], own_to]) - pos[0]
-        out, total = [], None
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True) if own_from < own_to else ():
-            rows = safe[a:b]
-            record = Record(
-                Moments.of(samples[a : min(b, count)]), Moments.of(rows, diagonal=True),
-                rows.min(axis=0), rows.max(axis=0), float((~fine[a:b]).sum()),
-            )
-            total = record if total is None else total.plus(record)
-            cell = int(np.searchsorted(edges, pos[0] + b, "left")) - 1
-            if edges[cell + 1] == pos[0] + b:
-                out.append({asset: key[0], "kind": "stretch", "id": cell, "block": key[1]} | total.packed())
-        if total is not None and edges[-1] > high:  # later blocks add this to theirs
-            out.append({asset: key[0], "kind": "block", "id": -1, "block": key[1]} | total.packed())
+        ends = np.unique([*edges[(edges > own_from) & (edges < own_to)], own_to]) if own_from < own_to else np.zeros(0, dtype=np.int64)
+        totals = _totals(samples, safe, fine, np.array([own_from, *ends]) - pos[0]) if len(ends) else []
+        begins = (starts - layout.lookback >= low) & (starts - layout.lookback < high)
+        mine = begins & (w["n"] > 0) & (begin >= low) & (w["rows"] <= own_to) & (solve is not None)
+        wanted = edges if solve is None else np.concatenate([w[role][~mine & (w["n"] > 0)] for role in ROLES])
+        out, cells = [], np.searchsorted(edges, ends, "left") - 1
+        for k in np.flatnonzero(np.isin(ends, edges) & np.isin(ends, wanted)).tolist():
+            out.append({asset: key[0], "kind": "stretch", "id": int(cells[k]), "block": key[1]} | totals[k].packed())
+        if totals and edges[-1] > high:  # later blocks add this to theirs
+            out.append({asset: key[0], "kind": "block", "id": -1, "block": key[1]} | totals[-1].packed())
+        places = {role: np.searchsorted(ends, w[role]) for role in ROLES}
         # Folds whose inputs begin in this block.
-        starts = plan.origin + np.arange(plan.n_folds, dtype=np.int64) * plan.step + plan.train
-        for fold in np.flatnonzero((starts - layout.lookback >= low) & (starts - layout.lookback < high)).tolist():
+        for fold in np.flatnonzero(begins).tolist():
             a, b = np.searchsorted(pos, [starts[fold] - layout.lookback, starts[fold]])
             c = int(np.searchsorted(pos, starts[fold] + min(plan.test, plan.horizon)))
             if b == c:
                 continue
-            seen = x[a:b] if layout.sequence else x[b : b + 1]
-            out.append({asset: key[0], "kind": "fold", "id": fold, "n": float(c - b), "mean": seen[:, list(layout.picked)].ravel()})
+            seen = (x[a:b] if layout.sequence else x[b : b + 1])[:, list(layout.picked)].ravel()
+            if mine[fold]:
+                whole = {role: totals[places[role][fold]] for role in ROLES if w[role][fold] > begin}
+                chosen = pdf["_params"].iloc[0] if "_params" in pdf else None
+                for row in solve(key[0], fold, int(w["n"][fold]), whole, seen, c - b, chosen):
+                    out.append({asset: key[0], "kind": "result"} | row)
+            else:
+                out.append({asset: key[0], "kind": "fold", "id": fold, "n": float(c - b), "mean": seen})
         return _frame(out, schema)
 
     return run
@@ -375,59 +439,88 @@ def solve_folds(
     kind = panel.df.schema[asset].dataType
     position = fold_position(panel, schedule)
     spans = stored(panel.df.groupBy(asset).agg(F.min(position).alias("_first"), F.max(position).alias("_last")))
+    known = spans
+    if params is not None:
+        known = spans.join(params.select(asset, F.col("params").alias("_params")), asset, "left")
     head = [T.StructField(asset, kind), T.StructField("id", T.LongType())]
-    found = T.StructType([head[0], T.StructField("kind", T.StringType()), head[1], T.StructField("block", T.LongType()), *_record_fields()])
+    # A result keeps its columns under numbers, as their names may be those of a record.
+    fields = [f for f in result.fields if f.name != asset]
+    results = [T.StructField(f"_r{k}", f.dataType) for k, f in enumerate(fields)]
+    found = T.StructType(
+        [head[0], T.StructField("kind", T.StringType()), head[1], T.StructField("block", T.LongType()), *_record_fields(), *results]
+    )
+
+    def solve(name, fold: int, rows: int, whole: Mapping[str, Record], seen: np.ndarray, n_test: int, chosen) -> list[dict]:
+        solved = _solved(layout, str(name), fold, rows, whole)
+        solved.last = int(layout.windows(plan.origin, np.array([fold]))["rows"][0]) - 1
+        return emit(name, solved, seen, n_test, json.loads(chosen or "{}"))
+
+    def numbered(*args) -> list[dict]:
+        return [{f"_r{k}": row[f.name] for k, f in enumerate(fields)} for row in solve(*args)]
+
     # A fold has four edges.
     block_rows = min(block_rows, max(layout.reach, plan.lags + 1, STRETCHES * plan.step // len(ROLES)))
-    halo = _halo_rows(panel, schedule, layout, spans, block_rows)
-    records = stored(halo.groupBy(asset, blocks.BLOCK).applyInPandas(_block_records(layout, asset, block_rows, found), found))
+    halo = _halo_rows(panel, schedule, layout, known, block_rows)
+    cut = halo.groupBy(asset, blocks.BLOCK)
+    records = stored(cut.applyInPandas(_block_records(layout, asset, block_rows, found, numbered), found))
+    named = {f.name: F.col(asset) if f.name == asset else F.col(f"_r{fields.index(f)}") for f in result.fields}
+    done = records.filter(F.col("kind") == "result").select(*[c.alias(k) for k, c in named.items()])
+    rest = records.drop(*[f.name for f in results])
+    upto = rest.filter(F.col("kind") == "stretch").drop("kind")
+    if upto.isEmpty():  # no series goes over several blocks
+        return done
 
     names = [f.name for f in _record_fields()]
     before = T.StructType([head[0], T.StructField("block", T.LongType()), *_record_fields()])
-    totals = records.filter(F.col("kind") == "block").select(asset, "block", *names)
+    totals = rest.filter(F.col("kind") == "block").select(asset, "block", *names)
     carry = totals.groupBy(asset).applyInPandas(_carried(asset, before), before)
 
-    def read(role):
-        """What a role reads of a record: scaling rows have no use for joint moments."""
-        joint = F.col("role") != "rows"
-        thin = {"n": F.when(joint, F.col("n")).otherwise(0.0), "mean": F.when(joint, F.col("mean")), "dev": F.when(joint, F.col("dev"))}
-        return [asset, "fold_idx", role, "rows", *[thin[k].alias(k) if k in thin else k for k in names]]
-
-    upto = records.filter(F.col("kind") == "stretch").drop("kind")
+    # Scaling rows have no use for joint moments.
+    joint = F.col("role") != "rows"
+    thin = {"n": F.when(joint, F.col("n")).otherwise(0.0), "mean": F.when(joint, F.col("mean")), "dev": F.when(joint, F.col("dev"))}
+    chunk = blocks.floor_div(F.col("fold_idx"), FOLDS).alias("_chunk")
+    none = F.lit(None).cast("long")
     ends = _fold_table(panel, schedule, layout, spans).filter("id >= 0")
     placed = stored(ends.join(upto.select(asset, "id", "block"), [asset, "id"]))
-    inside = placed.join(upto.drop("block"), [asset, "id"]).select(*read("role"))
-    ahead = placed.join(carry, [asset, "block"]).select(*read(F.concat("role", F.lit("+")).alias("role")))
-    seen = records.filter(F.col("kind") == "fold").select(
-        asset, F.col("id").alias("fold_idx"), F.lit("seen").alias("role"), F.lit(0).cast("long").alias("rows"), *names
+    inside = placed.drop("block").join(upto, [asset, "id"]).select(
+        asset, chunk, "fold_idx", "role", "rows", "block", *[thin[k].alias(k) if k in thin else k for k in names]
+    )
+    # Folds that are solved together share what lies before a block.
+    ahead = placed.select(asset, chunk, "block").distinct().join(carry, [asset, "block"]).select(
+        asset, "_chunk", none.alias("fold_idx"), F.lit("before").alias("role"), none.alias("rows"), "block", *names
+    )
+    seen = rest.filter(F.col("kind") == "fold").select(
+        asset, blocks.floor_div(F.col("id"), FOLDS).alias("_chunk"), F.col("id").alias("fold_idx"),
+        F.lit("seen").alias("role"), none.alias("rows"), none.alias("block"), *names
     )
     parts = inside.unionByName(ahead).unionByName(seen)
     tuned = params is not None
     if tuned:
-        parts = parts.join(params.select(asset, F.col("params").alias("_params")), asset, "left")
+        parts = parts.join(known.select(asset, "_params"), asset, "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, by_fold = [], {}
+        out, by_fold, ahead = [], {}, {}
         for row in pdf.to_dict("records"):
-            by_fold.setdefault(row["fold_idx"], {})[row["role"]] = row
+            if row["role"] == "before":
+                ahead[int(row["block"])] = Record.unpacked(row)
+            else:
+                by_fold.setdefault(int(row["fold_idx"]), {})[row["role"]] = row
         for fold, by_role in sorted(by_fold.items()):
-            if "seen" not in by_role or not any(r in by_role for r in ROLES):
+            if "seen" not in by_role or len(by_role) == 1:
                 continue
             whole = {}
             for role in ROLES:
-                some = [Record.unpacked(by_role[r]) for r in (role + "+", role) if r in by_role]
-                if some:
-                    whole[role] = some[0] if len(some) == 1 else some[0].plus(some[1])
-            rows = max(int(r["rows"]) for r in by_role.values())
+                if role in by_role:
+                    here, earlier = Record.unpacked(by_role[role]), ahead.get(int(by_role[role]["block"]))
+                    whole[role] = here if earlier is None else earlier.plus(here)
+            rows = max(int(by_role[r]["rows"]) for r in whole)
             if "rows" not in whole:
                 raise ValueError(f"{key[0]} fold {fold}: {rows} rows are too few for horizon {plan.horizon}")
-            solved = _solved(layout, str(key[0]), int(fold), rows, whole)
-            chosen = json.loads(by_role["seen"]["_params"] or "{}") if tuned else {}
-            solved.last = int(layout.windows(plan.origin, np.array([fold]))["rows"][0]) - 1
-            out += emit(key[0], solved, np.asarray(by_role["seen"]["mean"]), int(by_role["seen"]["n"]), chosen)
+            head = by_role["seen"]
+            out += solve(key[0], fold, rows, whole, np.asarray(head["mean"]), int(head["n"]), head["_params"] if tuned else None)
         return _frame(out, result)
 
-    return parts.groupBy(asset, blocks.floor_div(F.col("fold_idx"), FOLDS)).applyInPandas(run, result)
+    return done.unionByName(parts.groupBy(asset, "_chunk").applyInPandas(run, result))
 
 
 def forecast_rows(plan: FoldPlan, model: Forecaster, asset: str, outs: Sequence[str]):

@@ -526,3 +526,44 @@ def test_records_are_summed_where_they_are_made(panel):
     parts = normal._block_records(layout, "asset", half, T.StructType(head + normal._record_fields()))(("a", 0), pdf)
     assert ends(parts).id.tolist() == [0, 1, 2]
     assert parts[parts.kind == "block"].row_n.tolist() == [half - edges[0]]
+
+
+def test_folds_of_one_block_are_solved_in_it(panel, monkeypatch):
+    """Such folds hand on their results alone: no stretch leaves the block, and no edge is looked up."""
+    first = panel.df.agg(F.min("time")).first()[0]
+    schedule, grid = Schedule(first, 120, 12, 12, 8, "expanding"), [{"alpha": 1.0}, {"alpha": 50.0}]
+
+    def losses():
+        out = tuning.score_grid(panel, schedule, RidgeSequence(), grid, horizon=12, lookback=3, val_ratio=0.3)
+        return out.toPandas().sort_values(["asset", "trial", "fold_idx"]).reset_index(drop=True)
+
+    def none(*_):
+        raise AssertionError("edges of folds were looked up")
+
+    monkeypatch.setattr(normal, "STRETCHES", 5)  # blocks of 15 rows, whose folds go over several
+    spread = losses()
+    monkeypatch.undo()
+    monkeypatch.setattr(normal, "STRETCHES", 10**9)
+    monkeypatch.setitem(normal.solve_folds.__kwdefaults__, "block_rows", 10**7)  # all hours are below
+    monkeypatch.setattr(normal, "_fold_table", none)
+    whole = losses()
+    assert len(whole) == 2 * 2 * 8
+    pd.testing.assert_frame_equal(whole, spread, rtol=1e-9, atol=1e-12)
+
+
+def test_totals_of_stretches_equal_merged_records():
+    """Also where levels are far apart, and where the last stretches have no samples."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(60, 3)) + np.where(np.arange(60) < 25, 0, 1e6)[:, None]
+    samples, fine, cuts = rows[:41, :2], np.arange(60) % 7 > 0, np.array([4, 10, 25, 26, 40, 50, 60])
+    got, want = normal._totals(samples, rows, fine, cuts), None
+    for a, b, total in zip(cuts[:-1], cuts[1:], got, strict=True):
+        part = normal.Record(
+            Moments.of(samples[a : min(b, 41)]), Moments.of(rows[a:b], diagonal=True),
+            rows[a:b].min(axis=0), rows[a:b].max(axis=0), float((~fine[a:b]).sum()),
+        )
+        want = part if want is None else want.plus(part)
+        for name, value in want.packed().items():
+            np.testing.assert_allclose(total.packed()[name], value, rtol=1e-12, atol=1e-12)
+    empty = normal._totals(rows[:3, :2], rows, fine, np.array([4, 10]))[0]
+    assert empty.joint.n == 0 and empty.joint.dev.shape == (2, 2)
