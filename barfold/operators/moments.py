@@ -62,7 +62,7 @@ class Ridge:
     """Ridge regression of targets on inputs, out of joint moments of ``(inputs, targets)``.
 
     The Gram matrix is decomposed once; every penalty is then a rescaling of its
-    eigenvalues.
+    eigenvalues. Moments and scales may be stacks, of one fit each along the first axis.
     """
 
     x_mean: np.ndarray
@@ -73,38 +73,43 @@ class Ridge:
 
     @classmethod
     def of(cls, joint: Moments, inputs: int, x_scale: np.ndarray, y_scale: np.ndarray) -> Ridge:
-        gram = joint.dev[:inputs, :inputs] / np.outer(x_scale, x_scale)
-        cross = joint.dev[:inputs, inputs:] / np.outer(x_scale, y_scale)
-        return cls.decomposed(gram, cross, joint.mean[:inputs] / x_scale, joint.mean[inputs:] / y_scale)
+        gram, cross = _scaled(joint, inputs, x_scale, y_scale)
+        return cls.decomposed(gram, cross, joint.mean[..., :inputs] / x_scale, joint.mean[..., inputs:] / y_scale)
 
     @classmethod
     def decomposed(cls, gram, cross, x_mean, y_mean) -> Ridge:
         values, vectors = np.linalg.eigh(gram)
-        return cls(x_mean, y_mean, np.maximum(values, 0.0), vectors, vectors.T @ cross)
+        return cls(x_mean, y_mean, np.maximum(values, 0.0), vectors, vectors.swapaxes(-1, -2) @ cross)
 
     def rescaled(self, alpha: float) -> np.ndarray:
         """Weights in the frame of the eigenvectors."""
         total = self.values + alpha
-        usable = total > np.finfo(float).eps * len(total) * max(total.max(initial=0.0), np.finfo(float).tiny)
+        most = np.maximum(total.max(axis=-1, initial=0.0, keepdims=True), np.finfo(float).tiny)
+        usable = total > np.finfo(float).eps * total.shape[-1] * most
         inverse = np.divide(1.0, total, out=np.zeros_like(total), where=usable)
-        return inverse[:, None] * self.turned
+        return inverse[..., None] * self.turned
 
     def weights(self, alpha: float) -> np.ndarray:
         """Least squares with the penalty ``alpha``; of many solutions the smallest."""
         return self.vectors @ self.rescaled(alpha)
 
     def predict(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return self.y_mean + (x - self.x_mean) @ weights
+        return self.y_mean + ((x - self.x_mean)[..., None, :] @ weights)[..., 0, :]
 
 
-def mean_squared_error(ridge: Ridge, weights: np.ndarray, joint: Moments, inputs: int, x_scale: np.ndarray, y_scale: np.ndarray) -> float:
-    """Of predictions on the samples of a record, over samples and targets, in scaled units."""
-    sxx = joint.dev[:inputs, :inputs] / np.outer(x_scale, x_scale)
-    sxy = joint.dev[:inputs, inputs:] / np.outer(x_scale, y_scale)
-    syy = np.diag(joint.dev)[inputs:] / (y_scale * y_scale)
-    spread = syy + (weights * (sxx @ weights - 2 * sxy)).sum(axis=0)
-    off = joint.mean[inputs:] / y_scale - ridge.predict(joint.mean[:inputs] / x_scale, weights)
-    return float(np.mean(np.maximum(spread, 0.0) / joint.n + off * off))
+def _scaled(joint: Moments, inputs: int, x_scale: np.ndarray, y_scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of inputs with inputs and with targets, in scaled units."""
+    rows = joint.dev[..., :inputs, :] / x_scale[..., :, None]
+    return rows[..., :inputs] / x_scale[..., None, :], rows[..., inputs:] / y_scale[..., None, :]
+
+
+def mean_squared_error(ridge: Ridge, weights: np.ndarray, joint: Moments, inputs: int, x_scale: np.ndarray, y_scale: np.ndarray) -> np.ndarray:
+    """Of predictions on the samples of a record, over samples and targets, in scaled units; of stacks one each."""
+    sxx, sxy = _scaled(joint, inputs, x_scale, y_scale)
+    syy = np.diagonal(joint.dev, axis1=-2, axis2=-1)[..., inputs:] / (y_scale * y_scale)
+    spread = syy + (weights * (sxx @ weights - 2 * sxy)).sum(axis=-2)
+    off = joint.mean[..., inputs:] / y_scale - ridge.predict(joint.mean[..., :inputs] / x_scale, weights)
+    return np.mean(np.maximum(spread, 0.0) / np.asarray(joint.n)[..., None] + off * off, axis=-1)
 
 
 def ridge_losses(x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarray, alphas: Sequence[float]) -> list[float]:

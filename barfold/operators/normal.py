@@ -19,6 +19,7 @@ way (``MOST_INPUTS``). Series must be gap-free (``Panel.on_grid``).
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -46,6 +47,8 @@ MOST_INPUTS = 512
 STRETCHES = 256
 FOLDS = 16
 BLOCK_ROWS = 4096
+#: Most doubles of records that are solved or handed on at once, one record at least.
+AT_ONCE = 1 << 20
 #: Folds of all series whose edges are found by one task, and rows of edges that it hands on at once.
 TASK_FOLDS = 1 << 15
 EDGE_ROWS = 1 << 16
@@ -154,9 +157,9 @@ class Record:
             np.minimum(self.low, other.low), np.maximum(self.high, other.high), self.bad + other.bad,
         )
 
-    def packed(self) -> dict:
-        return {
-            "n": self.joint.n, "mean": self.joint.mean, "dev": self.joint.dev.ravel(),
+    def packed(self, joint: bool = True) -> dict:
+        samples = {"n": self.joint.n, "mean": self.joint.mean, "dev": self.joint.dev.ravel()} if joint else {"n": 0.0}
+        return samples | {
             "row_n": self.rows.n, "row_mean": self.rows.mean, "row_dev": self.rows.dev,
             "low": self.low, "high": self.high, "bad": self.bad,
         }
@@ -242,7 +245,41 @@ def _halo_rows(panel: Panel, schedule: Schedule, layout: Layout, spans: DataFram
     return cut.drop(blocks.CORE).join(spans.drop("_last"), panel.asset)
 
 
-def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.StructType, solve=None):
+def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.StructType):
+    """The records of one block as a table."""
+    rows = _block_rows(layout, asset, block_rows)
+    return lambda key, pdf: _frame(rows(key, pdf), schema)
+
+
+def _each_block(asset: str, rows, schema: T.StructType, at_once: int):
+    """What ``rows`` makes of one block after another, out of rows in order of series, block and position.
+
+    Tables of some ``at_once`` records are handed on.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, out = None, []
+        for frame in itertools.chain(frames, [None]):
+            ended = frame is None
+            frame = rest if ended else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if frame is None or not len(frame):
+                continue
+            name, block = frame[asset].to_numpy(), frame[blocks.BLOCK].to_numpy()
+            cuts = [0, *(np.flatnonzero((name[1:] != name[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+            # More rows of the last block may follow.
+            for a, b in itertools.pairwise([*cuts, len(frame)] if ended else cuts):
+                out += rows((name[a], int(block[a])), frame.iloc[a:b])
+                if len(out) >= at_once:
+                    yield _frame(out, schema)
+                    out = []
+            rest = frame.iloc[cuts[-1] :]
+        if out:
+            yield _frame(out, schema)
+
+    return run
+
+
+def _block_rows(layout: Layout, asset: str, block_rows: int, solve=None):
     """Records of the stretches of one block, and the inputs of the folds that begin their forecast in it.
 
     ``solve`` makes results of a fold out of its totals; folds that lie in the block with all
@@ -257,8 +294,7 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
             known[first] = layout.windows(first, np.arange(plan.n_folds, dtype=np.int64)), layout.edges(first)
         return known[first]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(blocks.POS, kind="stable")
+    def run(key: tuple, pdf: pd.DataFrame) -> list[dict]:
         pos = pdf[blocks.POS].to_numpy()
         if (np.diff(pos) != 1).any():
             raise ValueError(f"{key[0]}: the series has holes or repeated rows; verify its grid")
@@ -291,13 +327,16 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
         totals = _totals(samples, safe, fine, np.array([own_from, *ends]) - pos[0]) if len(ends) else []
         begins = (starts - layout.lookback >= low) & (starts - layout.lookback < high)
         mine = begins & (w["n"] > 0) & (begin >= low) & (w["rows"] <= own_to) & (solve is not None)
-        wanted = edges if solve is None else np.concatenate([w[role][~mine & (w["n"] > 0)] for role in ROLES])
-        out, cells = [], np.searchsorted(edges, ends, "left") - 1
-        for k in np.flatnonzero(np.isin(ends, edges) & np.isin(ends, wanted)).tolist():
-            out.append({asset: key[0], "kind": "stretch", "id": int(cells[k]), "block": key[1]} | totals[k].packed())
+        rest, cells = ~mine & (w["n"] > 0), np.searchsorted(edges, ends, "left") - 1
+        scaling = edges if solve is None else w["rows"][rest]
+        # Where only scaling rows end, nothing is read of the samples.
+        fitted = np.isin(ends, edges if solve is None else np.concatenate([w[role][rest] for role in ROLES[1:]]))
+        out = []
+        for k in np.flatnonzero(fitted | np.isin(ends, scaling)).tolist():
+            out.append({asset: key[0], "kind": "stretch", "id": int(cells[k]), "block": key[1]} | totals[k].packed(joint=fitted[k]))
         if totals and edges[-1] > high:  # later blocks add this to theirs
             out.append({asset: key[0], "kind": "block", "id": -1, "block": key[1]} | totals[-1].packed())
-        places = {role: np.searchsorted(ends, w[role]) for role in ROLES}
+        places, ready = {role: np.searchsorted(ends, w[role]) for role in ROLES}, []
         # Folds whose inputs begin in this block.
         for fold in np.flatnonzero(begins).tolist():
             a, b = np.searchsorted(pos, [starts[fold] - layout.lookback, starts[fold]])
@@ -307,12 +346,13 @@ def _block_records(layout: Layout, asset: str, block_rows: int, schema: T.Struct
             seen = (x[a:b] if layout.sequence else x[b : b + 1])[:, list(layout.picked)].ravel()
             if mine[fold]:
                 whole = {role: totals[places[role][fold]] for role in ROLES if w[role][fold] > begin}
-                chosen = pdf["_params"].iloc[0] if "_params" in pdf else None
-                for row in solve(key[0], fold, int(w["n"][fold]), whole, seen, c - b, chosen):
-                    out.append({asset: key[0], "kind": "result"} | row)
+                ready.append((fold, int(w["n"][fold]), whole, seen, c - b))
             else:
                 out.append({asset: key[0], "kind": "fold", "id": fold, "n": float(c - b), "mean": seen})
-        return _frame(out, schema)
+        if ready:
+            chosen = pdf["_params"].iloc[0] if "_params" in pdf else None
+            out += [{asset: key[0], "kind": "result"} | row for row in solve(key[0], ready, chosen)]
+        return out
 
     return run
 
@@ -375,52 +415,81 @@ def _fold_table(panel: Panel, schedule: Schedule, layout: Layout, spans: DataFra
 
 
 @dataclass
-class Solved:
-    """One fold, ready for any penalty."""
+class Batch:
+    """Folds of one series, stacked and ready for any penalty."""
 
-    fold: int
-    last: int
     ridge: Ridge
     x_scale: np.ndarray
     y_scale: np.ndarray
     val: Moments
     inputs: int
+    known: dict[float, tuple]
+
+    def fitted(self, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and validation losses of all folds."""
+        if alpha not in self.known:
+            weights = self.ridge.weights(alpha)
+            some = Moments(np.where(self.val.n > 0, self.val.n, 1.0), self.val.mean, self.val.dev)
+            self.known[alpha] = weights, mean_squared_error(self.ridge, weights, some, self.inputs, self.x_scale, self.y_scale)
+        return self.known[alpha]
+
+
+@dataclass
+class Solved:
+    """One fold, ready for any penalty: its place in a batch."""
+
+    fold: int
+    last: int
+    batch: Batch
+    place: int
 
     def loss(self, alpha: float) -> float | None:
-        if not self.val.n:
-            return None
-        return mean_squared_error(self.ridge, self.ridge.weights(alpha), self.val, self.inputs, self.x_scale, self.y_scale)
+        return float(self.batch.fitted(alpha)[1][self.place]) if self.batch.val.n[self.place] else None
 
     def forecast(self, alpha: float, seen: np.ndarray) -> np.ndarray:
-        return self.ridge.predict(seen / self.x_scale, self.ridge.weights(alpha)) * self.y_scale
+        batch, k = self.batch, self.place
+        off = seen / batch.x_scale[k] - batch.ridge.x_mean[k]
+        return (batch.ridge.y_mean[k] + off @ batch.fitted(alpha)[0][k]) * batch.y_scale[k]
 
 
-def _solved(layout: Layout, name: str, fold: int, rows: int, totals: Mapping[str, Record]) -> Solved:
+def _stacked(parts: Sequence[Moments]) -> Moments:
+    return Moments(np.array([m.n for m in parts]), np.stack([m.mean for m in parts]), np.stack([m.dev for m in parts]))
+
+
+def _solved(layout: Layout, name: str, folds: Sequence[tuple[int, int, Mapping[str, Record]]]) -> list[Solved]:
+    """Folds of one series, each with the number of its rows and the totals at its edges."""
     plan = layout.plan
-    if totals["rows"].bad:
-        raise ValueError(f"{name} fold {fold}: missing values or infinities in training rows")
-    joint = totals["train"].joint if "train" in totals else None
-    if joint is None or joint.n < 1:
-        raise ValueError(f"{name} fold {fold}: {rows} rows are too few for horizon {plan.horizon}")
-    scale = totals["rows"]
+    for fold, rows, totals in folds:
+        if totals["rows"].bad:
+            raise ValueError(f"{name} fold {fold}: missing values or infinities in training rows")
+        if "train" not in totals or totals["train"].joint.n < 1:
+            raise ValueError(f"{name} fold {fold}: {rows} rows are too few for horizon {plan.horizon}")
+    scale = [totals["rows"] for _, _, totals in folds]
+    low, high = np.stack([r.low for r in scale]), np.stack([r.high for r in scale])
     if plan.method == "standard":
-        spread = np.sqrt(np.maximum(scale.rows.dev / scale.rows.n, 0.0))
+        level = _stacked([r.rows for r in scale])
+        spread = np.sqrt(np.maximum(level.dev / level.n[:, None], 0.0))
     elif plan.method == "minmax":
-        spread = scale.high - scale.low
+        spread = high - low
     else:
-        spread = np.ones(len(scale.low))
-    spread = np.where((scale.low == scale.high) | (spread == 0), 1.0, spread)
+        spread = np.ones(low.shape)
+    spread = np.where((low == high) | (spread == 0), 1.0, spread)
     n = len(layout.names)
     if plan.scaled:
-        spread[:n] = np.where([c in plan.scaled for c in layout.names], spread[:n], 1.0)
+        spread[:, :n] = np.where([c in plan.scaled for c in layout.names], spread[:, :n], 1.0)
     if not plan.scale_labels:
-        spread[n:] = 1.0
-    x_scale = np.tile(spread[list(layout.picked)], max(1, layout.lookback))
-    y_scale = np.tile(spread[n:], plan.horizon) if layout.sequence else np.full(plan.horizon, spread[n])
-    empty = Moments(0.0, np.zeros_like(joint.mean), np.zeros_like(joint.dev))
-    val = totals["val_to"].joint if "val_to" in totals else empty
-    val = val.minus(totals["val_from"].joint if "val_from" in totals else empty) if layout.sequence else empty
-    return Solved(fold, 0, Ridge.of(joint, layout.inputs, x_scale, y_scale), x_scale, y_scale, val, layout.inputs)
+        spread[:, n:] = 1.0
+    x_scale = np.tile(spread[:, list(layout.picked)], max(1, layout.lookback))
+    y_scale = np.tile(spread[:, n:] if layout.sequence else spread[:, n : n + 1], plan.horizon)
+    joint = _stacked([totals["train"].joint for _, _, totals in folds])
+    empty = Moments(0.0, np.zeros_like(joint.mean[0]), np.zeros_like(joint.dev[0]))
+    val = []
+    for _, _, totals in folds:
+        upto, part = (totals[k].joint if k in totals and layout.sequence else empty for k in ("val_to", "val_from"))
+        val.append(upto.minus(part))
+    batch = Batch(Ridge.of(joint, layout.inputs, x_scale, y_scale), x_scale, y_scale, _stacked(val), layout.inputs, {})
+    last = layout.windows(plan.origin, np.array([fold for fold, _, _ in folds]))["rows"] - 1
+    return [Solved(fold, int(last[k]), batch, k) for k, (fold, _, _) in enumerate(folds)]
 
 
 def solve_folds(
@@ -450,10 +519,14 @@ def solve_folds(
         [head[0], T.StructField("kind", T.StringType()), head[1], T.StructField("block", T.LongType()), *_record_fields(), *results]
     )
 
-    def solve(name, fold: int, rows: int, whole: Mapping[str, Record], seen: np.ndarray, n_test: int, chosen) -> list[dict]:
-        solved = _solved(layout, str(name), fold, rows, whole)
-        solved.last = int(layout.windows(plan.origin, np.array([fold]))["rows"][0]) - 1
-        return emit(name, solved, seen, n_test, json.loads(chosen or "{}"))
+    at_once = max(1, AT_ONCE // (layout.inputs + plan.horizon * len(plan.labels)) ** 2)
+
+    def solve(name, folds: Sequence[tuple], chosen: str | None) -> Iterator[dict]:
+        params = json.loads(chosen or "{}")
+        for a in range(0, len(folds), at_once):
+            some = folds[a : a + at_once]
+            for solved, (*_, seen, n_test) in zip(_solved(layout, str(name), [f[:3] for f in some]), some, strict=True):
+                yield from emit(name, solved, seen, n_test, params)
 
     def numbered(*args) -> list[dict]:
         return [{f"_r{k}": row[f.name] for k, f in enumerate(fields)} for row in solve(*args)]
@@ -461,8 +534,9 @@ def solve_folds(
     # A fold has four edges.
     block_rows = min(block_rows, max(layout.reach, plan.lags + 1, STRETCHES * plan.step // len(ROLES)))
     halo = _halo_rows(panel, schedule, layout, known, block_rows)
-    cut = halo.groupBy(asset, blocks.BLOCK)
-    records = stored(cut.applyInPandas(_block_records(layout, asset, block_rows, found, numbered), found))
+    cut = halo.repartition(asset, blocks.BLOCK).sortWithinPartitions(asset, blocks.BLOCK, blocks.POS)
+    made = _each_block(asset, _block_rows(layout, asset, block_rows, numbered), found, at_once)
+    records = stored(cut.mapInPandas(made, found))
     named = {f.name: F.col(asset) if f.name == asset else F.col(f"_r{fields.index(f)}") for f in result.fields}
     done = records.filter(F.col("kind") == "result").select(*[c.alias(k) for k, c in named.items()])
     rest = records.drop(*[f.name for f in results])
@@ -499,7 +573,7 @@ def solve_folds(
         parts = parts.join(known.select(asset, "_params"), asset, "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, by_fold, ahead = [], {}, {}
+        ready, by_fold, ahead, chosen = [], {}, {}, None
         for row in pdf.to_dict("records"):
             if row["role"] == "before":
                 ahead[int(row["block"])] = Record.unpacked(row)
@@ -517,8 +591,9 @@ def solve_folds(
             if "rows" not in whole:
                 raise ValueError(f"{key[0]} fold {fold}: {rows} rows are too few for horizon {plan.horizon}")
             head = by_role["seen"]
-            out += solve(key[0], fold, rows, whole, np.asarray(head["mean"]), int(head["n"]), head["_params"] if tuned else None)
-        return _frame(out, result)
+            chosen = head["_params"] if tuned else None
+            ready.append((fold, rows, whole, np.asarray(head["mean"]), int(head["n"])))
+        return _frame(list(solve(key[0], ready, chosen)), result)
 
     return done.unionByName(parts.groupBy(asset, "_chunk").applyInPandas(run, result))
 

@@ -567,3 +567,20 @@ def test_totals_of_stretches_equal_merged_records():
             np.testing.assert_allclose(total.packed()[name], value, rtol=1e-12, atol=1e-12)
     empty = normal._totals(rows[:3, :2], rows, fine, np.array([4, 10]))[0]
     assert empty.joint.n == 0 and empty.joint.dev.shape == (2, 2)
+
+
+def test_blocks_are_whole_however_rows_arrive():
+    """Tables of rows end anywhere; a block is handed on once and whole, and no longer than need be kept."""
+    names = ["a"] * 5 + ["b"] * 1 + ["c"] * 6
+    pdf = pd.DataFrame({"asset": names, blocks.BLOCK: [0] * 2 + [1] * 3 + [1] + [1] * 6, blocks.POS: range(12)})
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("first", "rows")])
+
+    def rows(key, part):
+        assert (part.asset == key[0]).all() and (part[blocks.BLOCK] == key[1]).all()
+        return [{"first": int(part[blocks.POS].iloc[0]), "rows": len(part)}]
+
+    for size in (1, 4, 5, 12):
+        frames = (pdf.iloc[a : a + size] for a in range(0, 12, size))
+        found = list(normal._each_block("asset", rows, schema, 2)(frames))
+        assert pd.concat(found).values.tolist() == [[0, 2], [2, 3], [5, 1], [6, 6]] and len(found) == 2
+    assert list(normal._each_block("asset", rows, schema, 2)(iter([]))) == []
