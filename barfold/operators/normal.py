@@ -47,6 +47,8 @@ MOST_INPUTS = 512
 STRETCHES = 256
 FOLDS = 16
 BLOCK_ROWS = 4096
+#: About so many rows are in the blocks of one task.
+TASK_ROWS = 1 << 16
 #: Most doubles of records that are solved or handed on at once, one record at least.
 AT_ONCE = 1 << 20
 #: Folds of all series whose edges are found by one task, and rows of edges that it hands on at once.
@@ -534,7 +536,9 @@ def solve_folds(
     # A fold has four edges.
     block_rows = min(block_rows, max(layout.reach, plan.lags + 1, STRETCHES * plan.step // len(ROLES)))
     halo = _halo_rows(panel, schedule, layout, known, block_rows)
-    cut = halo.repartition(asset, blocks.BLOCK).sortWithinPartitions(asset, blocks.BLOCK, blocks.POS)
+    # Left to the size of its rows, Spark would merge the blocks into few tasks, whose work is in Python.
+    n_rows = spans.agg(F.sum(F.col("_last") - F.col("_first") + 1)).first()[0] or 0
+    cut = halo.repartition(max(1, -(-n_rows // TASK_ROWS)), asset, blocks.BLOCK).sortWithinPartitions(asset, blocks.BLOCK, blocks.POS)
     made = _each_block(asset, _block_rows(layout, asset, block_rows, numbered), found, at_once)
     records = stored(cut.mapInPandas(made, found))
     named = {f.name: F.col(asset) if f.name == asset else F.col(f"_r{fields.index(f)}") for f in result.fields}
